@@ -22,6 +22,11 @@ DEFAULT_TOP_IDS = 10
 NAMED_TYPES = ("insert", "update", "delete", "import")
 
 
+def _sorted(df: DataFrame, ordered: bool, *keys) -> DataFrame:
+    """Report order; a pack numbers its rows itself and skips the sort."""
+    return df.orderBy(*keys) if ordered else df
+
+
 # --- from the counts table ------------------------------------------------
 
 
@@ -62,139 +67,133 @@ def _database_sums(counts: DataFrame) -> DataFrame:
     )
 
 
-def missing_exported_databases(counts: DataFrame) -> DataFrame:
-    return _database_sums(counts).where("exported = 0 and imported > 0").select("database").orderBy("database")
+def missing_exported_databases(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    out = _database_sums(counts).where("exported = 0 and imported > 0").select("database")
+    return _sorted(out, ordered, "database")
 
 
-def missing_imported_databases(counts: DataFrame) -> DataFrame:
-    return _database_sums(counts).where("imported = 0 and exported > 0").select("database").orderBy("database")
+def missing_imported_databases(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    out = _database_sums(counts).where("imported = 0 and exported > 0").select("database")
+    return _sorted(out, ordered, "database")
 
 
-def _missing_collections(counts: DataFrame, missing: str, present: str, known: str) -> DataFrame:
+def _missing_collections(counts: DataFrame, missing: str, present: str, known: str, ordered: bool) -> DataFrame:
     known_databases = _database_sums(counts).where(f"{known} > 0").select("database")
-    return (
+    out = (
         counts.where(f"{missing} = 0 and {present} > 0")
         .join(known_databases, "database", "left_semi")
         .select("database", "collection")
         .distinct()
-        .orderBy("database", "collection")
     )
+    return _sorted(out, ordered, "database", "collection")
 
 
-def missing_exported_collections(counts: DataFrame) -> DataFrame:
-    return _missing_collections(counts, "exported_count", "imported_count", "exported")
+def missing_exported_collections(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _missing_collections(counts, "exported_count", "imported_count", "exported", ordered)
 
 
-def missing_imported_collections(counts: DataFrame) -> DataFrame:
-    return _missing_collections(counts, "imported_count", "exported_count", "imported")
+def missing_imported_collections(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _missing_collections(counts, "imported_count", "exported_count", "imported", ordered)
 
 
-def _missing_id_counts(counts: DataFrame, missing: str, present: str) -> DataFrame:
-    return (
-        _partly_missing(counts, missing, present)
-        .select(
-            "database",
-            "collection",
-            present,
-            missing,
-            percent_half_up(F.col(missing), F.col(present)).alias("percentage_missing"),
-        )
-        .orderBy(F.desc(missing), "database", "collection")
+def _missing_id_counts(counts: DataFrame, missing: str, present: str, ordered: bool) -> DataFrame:
+    out = _partly_missing(counts, missing, present).select(
+        "database",
+        "collection",
+        present,
+        missing,
+        percent_half_up(F.col(missing), F.col(present)).alias("percentage_missing"),
     )
+    return _sorted(out, ordered, F.desc(missing), "database", "collection")
 
 
-def missing_exported_id_counts(counts: DataFrame) -> DataFrame:
-    return _missing_id_counts(counts, "missing_exported_count", "imported_count")
+def missing_exported_id_counts(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _missing_id_counts(counts, "missing_exported_count", "imported_count", ordered)
 
 
-def missing_imported_id_counts(counts: DataFrame) -> DataFrame:
-    return _missing_id_counts(counts, "missing_imported_count", "exported_count")
+def missing_imported_id_counts(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _missing_id_counts(counts, "missing_imported_count", "exported_count", ordered)
 
 
-def _mismatch_counts(counts: DataFrame, mismatched: str, present: str) -> DataFrame:
-    return (
-        counts.where(F.col(mismatched) > 0)
-        .select(
-            "database",
-            "collection",
-            present,
-            mismatched,
-            percent_half_up(F.col(mismatched), F.col(present)).alias("percentage_mismatched"),
-        )
-        .orderBy("database", "collection")
+def _mismatch_counts(counts: DataFrame, mismatched: str, present: str, ordered: bool) -> DataFrame:
+    out = counts.where(F.col(mismatched) > 0).select(
+        "database",
+        "collection",
+        present,
+        mismatched,
+        percent_half_up(F.col(mismatched), F.col(present)).alias("percentage_mismatched"),
     )
+    return _sorted(out, ordered, "database", "collection")
 
 
-def mismatched_earlier_in_export_count(counts: DataFrame) -> DataFrame:
-    return _mismatch_counts(counts, "mismatched_timestamps_earlier_in_export_count", "exported_count")
+def mismatched_earlier_in_export_count(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _mismatch_counts(counts, "mismatched_timestamps_earlier_in_export_count", "exported_count", ordered)
 
 
-def mismatched_earlier_in_import_count(counts: DataFrame) -> DataFrame:
-    return _mismatch_counts(counts, "mismatched_timestamps_earlier_in_import_count", "imported_count")
+def mismatched_earlier_in_import_count(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    return _mismatch_counts(counts, "mismatched_timestamps_earlier_in_import_count", "imported_count", ordered)
 
 
-def import_totals_by_collection(counts: DataFrame) -> DataFrame:
-    return (
-        counts.where("imported_count > 0")
-        .select("database", "collection", "imported_count", "latest_import_timestamp", "earliest_import_timestamp")
-        .orderBy("database", "collection")
+def import_totals_by_collection(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    out = counts.where("imported_count > 0").select(
+        "database", "collection", "imported_count", "latest_import_timestamp", "earliest_import_timestamp"
     )
-
-
-def export_totals_by_collection(counts: DataFrame) -> DataFrame:
-    return (
-        counts.where("exported_count > 0")
-        .select(
-            "database",
-            "collection",
-            "exported_count",
-            "exported_count_from_data_load",
-            "exported_count_from_streaming_feed",
-            "latest_export_timestamp",
-            "earliest_export_timestamp",
-        )
-        .orderBy("database", "collection")
+    return _sorted(out, ordered, "database", "collection")
+
+
+def export_totals_by_collection(counts: DataFrame, ordered: bool = True) -> DataFrame:
+    out = counts.where("exported_count > 0").select(
+        "database",
+        "collection",
+        "exported_count",
+        "exported_count_from_data_load",
+        "exported_count_from_streaming_feed",
+        "latest_export_timestamp",
+        "earliest_export_timestamp",
     )
+    return _sorted(out, ordered, "database", "collection")
 
 
 # --- from the id-level tables ---------------------------------------------
 
 
-def _top_ids(df: DataFrame, columns: list[str], n: int) -> DataFrame:
+def _top_ids(df: DataFrame, columns: list[str], n: int, ordered: bool) -> DataFrame:
     top = top_n_per_group(df.select(*columns), ["database", "collection"], [F.desc("id")], n)
-    return top.orderBy("database", "collection", "id")
+    return _sorted(top, ordered, "database", "collection", "id")
 
 
-def missing_exported_ids(missing_exports: DataFrame, n: int = DEFAULT_TOP_IDS) -> DataFrame:
+def missing_exported_ids(missing_exports: DataFrame, n: int = DEFAULT_TOP_IDS, ordered: bool = True) -> DataFrame:
     return _top_ids(
         missing_exports,
         ["database", "collection", "id", "import_timestamp", "import_component", "import_type"],
         n,
+        ordered,
     )
 
 
-def missing_imported_ids(missing_imports: DataFrame, n: int = DEFAULT_TOP_IDS) -> DataFrame:
+def missing_imported_ids(missing_imports: DataFrame, n: int = DEFAULT_TOP_IDS, ordered: bool = True) -> DataFrame:
     return _top_ids(
         missing_imports,
         ["database", "collection", "id", "export_timestamp", "export_component", "export_type"],
         n,
+        ordered,
     )
 
 
-def _timestamps_earlier(mismatched: DataFrame, side: str, n: int) -> DataFrame:
+def _timestamps_earlier(mismatched: DataFrame, side: str, n: int, ordered: bool) -> DataFrame:
     columns = [
         "database", "collection", "id", "export_component", "export_type",
         "earliest_timestamp", "latest_timestamp", "earliest_manifest",
     ]
-    return _top_ids(mismatched.where(F.lower("earliest_manifest") == side), columns, n)
+    return _top_ids(mismatched.where(F.lower("earliest_manifest") == side), columns, n, ordered)
 
 
-def timestamps_earlier_in_export(mismatched: DataFrame, n: int = DEFAULT_TOP_IDS) -> DataFrame:
-    return _timestamps_earlier(mismatched, "export", n)
+def timestamps_earlier_in_export(mismatched: DataFrame, n: int = DEFAULT_TOP_IDS, ordered: bool = True) -> DataFrame:
+    return _timestamps_earlier(mismatched, "export", n, ordered)
 
 
-def timestamps_earlier_in_import(mismatched: DataFrame, n: int = DEFAULT_TOP_IDS) -> DataFrame:
-    return _timestamps_earlier(mismatched, "import", n)
+def timestamps_earlier_in_import(mismatched: DataFrame, n: int = DEFAULT_TOP_IDS, ordered: bool = True) -> DataFrame:
+    return _timestamps_earlier(mismatched, "import", n, ordered)
 
 
 def missing_exported_ids_after_date(missing_exports: DataFrame, after_ms: int) -> DataFrame:
@@ -214,13 +213,14 @@ def _type_tallies(missing: DataFrame, side: str, type_col: str) -> DataFrame:
     return missing.agg(*tallies).selectExpr(f"stack({len(labels)}, {pairs}) as (label, id_count)")
 
 
-def individual_type_totals(missing_imports: DataFrame, missing_exports: DataFrame) -> DataFrame:
+def individual_type_totals(
+    missing_imports: DataFrame, missing_exports: DataFrame, ordered: bool = True
+) -> DataFrame:
     """Twelve labelled counts; each side is scanned and aggregated once."""
-    return (
-        _type_tallies(missing_imports, "imports", "export_type")
-        .unionByName(_type_tallies(missing_exports, "exports", "import_type"))
-        .orderBy("label", "id_count")
+    out = _type_tallies(missing_imports, "imports", "export_type").unionByName(
+        _type_tallies(missing_exports, "exports", "import_type")
     )
+    return _sorted(out, ordered, "label", "id_count")
 
 
 def union_all_labelled(missing_imports: DataFrame, missing_exports: DataFrame) -> DataFrame:
@@ -283,26 +283,26 @@ _BY_ID = ("database", "collection", "id")
 
 # Report names, types, order and header setting.
 REPORTS = (
-    Report("main", 1, "Missing exported databases", False, lambda t: missing_exported_databases(t.counts), text_order=("database",)),
-    Report("main", 2, "Missing exported collections", False, lambda t: missing_exported_collections(t.counts), text_order=_BY_COLLECTION),
+    Report("main", 1, "Missing exported databases", False, lambda t: missing_exported_databases(t.counts, False), text_order=("database",)),
+    Report("main", 2, "Missing exported collections", False, lambda t: missing_exported_collections(t.counts, False), text_order=_BY_COLLECTION),
     Report("main", 3, "Export totals", True, lambda t: export_totals(t.counts)),
     Report("main", 4, "Import totals", True, lambda t: import_totals(t.counts)),
     Report("main", 5, "Missing exported totals", True, lambda t: missing_exported_totals(t.counts)),
     Report("main", 6, "Missing imported totals", True, lambda t: missing_imported_totals(t.counts)),
-    Report("main", 7, "Missing exported id counts", True, lambda t: missing_exported_id_counts(t.counts), "-missing_exported_count", _BY_COLLECTION),
-    Report("main", 8, "Mismatched timestamps count earlier in the export", True, lambda t: mismatched_earlier_in_export_count(t.counts), text_order=_BY_COLLECTION),
-    Report("additional", 1, "Missing imported databases", False, lambda t: missing_imported_databases(t.counts), text_order=("database",)),
-    Report("additional", 2, "Missing imported collections", False, lambda t: missing_imported_collections(t.counts), text_order=_BY_COLLECTION),
-    Report("additional", 3, "Missing imported id counts", True, lambda t: missing_imported_id_counts(t.counts), "-missing_imported_count", _BY_COLLECTION),
-    Report("additional", 4, "Missing imported ids", False, lambda t: missing_imported_ids(t.missing_imports, t.top_ids), text_order=_BY_ID),
-    Report("additional", 5, "Mismatched timestamps count earlier in the import", True, lambda t: mismatched_earlier_in_import_count(t.counts), text_order=_BY_COLLECTION),
-    Report("additional", 6, "Timestamps earlier in export", True, lambda t: timestamps_earlier_in_export(t.mismatched, t.top_ids), text_order=_BY_ID),
-    Report("additional", 7, "Timestamps earlier in import", True, lambda t: timestamps_earlier_in_import(t.mismatched, t.top_ids), text_order=_BY_ID),
-    Report("additional", 8, "Missing exported ids", False, lambda t: missing_exported_ids(t.missing_exports, t.top_ids), text_order=_BY_ID),
-    Report("additional", 9, "Import totals by collection", True, lambda t: import_totals_by_collection(t.counts), text_order=_BY_COLLECTION),
-    Report("additional", 10, "Export totals by collection", True, lambda t: export_totals_by_collection(t.counts), text_order=_BY_COLLECTION),
+    Report("main", 7, "Missing exported id counts", True, lambda t: missing_exported_id_counts(t.counts, False), "-missing_exported_count", _BY_COLLECTION),
+    Report("main", 8, "Mismatched timestamps count earlier in the export", True, lambda t: mismatched_earlier_in_export_count(t.counts, False), text_order=_BY_COLLECTION),
+    Report("additional", 1, "Missing imported databases", False, lambda t: missing_imported_databases(t.counts, False), text_order=("database",)),
+    Report("additional", 2, "Missing imported collections", False, lambda t: missing_imported_collections(t.counts, False), text_order=_BY_COLLECTION),
+    Report("additional", 3, "Missing imported id counts", True, lambda t: missing_imported_id_counts(t.counts, False), "-missing_imported_count", _BY_COLLECTION),
+    Report("additional", 4, "Missing imported ids", False, lambda t: missing_imported_ids(t.missing_imports, t.top_ids, False), text_order=_BY_ID),
+    Report("additional", 5, "Mismatched timestamps count earlier in the import", True, lambda t: mismatched_earlier_in_import_count(t.counts, False), text_order=_BY_COLLECTION),
+    Report("additional", 6, "Timestamps earlier in export", True, lambda t: timestamps_earlier_in_export(t.mismatched, t.top_ids, False), text_order=_BY_ID),
+    Report("additional", 7, "Timestamps earlier in import", True, lambda t: timestamps_earlier_in_import(t.mismatched, t.top_ids, False), text_order=_BY_ID),
+    Report("additional", 8, "Missing exported ids", False, lambda t: missing_exported_ids(t.missing_exports, t.top_ids, False), text_order=_BY_ID),
+    Report("additional", 9, "Import totals by collection", True, lambda t: import_totals_by_collection(t.counts, False), text_order=_BY_COLLECTION),
+    Report("additional", 10, "Export totals by collection", True, lambda t: export_totals_by_collection(t.counts, False), text_order=_BY_COLLECTION),
     Report("specific", 1, "Output missing exported ids after given timestamp", False, lambda t: missing_exported_ids_after_date(t.missing_exports, t.after_ms), text_order=_BY_ID),
-    Report("specific", 6, "Individual types totals", False, lambda t: individual_type_totals(t.missing_imports, t.missing_exports), text_order=("label",)),
+    Report("specific", 6, "Individual types totals", False, lambda t: individual_type_totals(t.missing_imports, t.missing_exports, False), text_order=("label",)),
 )
 
 

@@ -335,7 +335,7 @@ def _pack_sql():
             f"""select '{r.query_type}' as query_type, cast({r.order} as integer) as query_order,
                 '{r.name}' as query_name, row_no, cast(j as varchar) as row_json, {text} as row_text
                 from (select row_no, to_json(struct_pack(*columns(* exclude row_no))) as j from (
-                  select row_no, coalesce(columns(* exclude row_no)::varchar, 'null') as '\0' from (
+                  select row_no, coalesce(columns(* exclude row_no)::varchar, 'null') as '\\0' from (
                     select row_number() over (order by {order}) as row_no, b.* from ({body}) b)))"""
         )
     return " union all ".join(parts)
