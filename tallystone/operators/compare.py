@@ -74,15 +74,16 @@ def store_lookup_compare(expected: DataFrame, store: DataFrame, expect_present:
     """For each expected record: is its key stored, and is it equal after masking.
 
     ``expected`` and ``store`` have ``topic, id, value``; a store has one row
-    per key.  ``passed`` flips when the records must be absent.
+    per key.  Other columns of ``expected`` pass through.  ``passed`` flips
+    when the records must be absent.
     """
     stored = store.select("topic", "id", F.col("value").alias("stored"))
     joined = expected.join(stored, ["topic", "id"], "left")
     found = F.col("stored").isNotNull()
     same = found & F.coalesce(mask_fields(F.col("value")) == mask_fields(F.col("stored")), F.lit(False))
-    return joined.select(
-        "topic", "id", found.alias("found"), same.alias("matches"), (same if expect_present else ~found).alias("passed")
-    )
+    passed = same if expect_present else ~found
+    kept = [c for c in expected.columns if c != "value"]
+    return joined.select(*kept, found.alias("found"), same.alias("matches"), passed.alias("passed"))
 
 
 def dlq_not_in_store(dlq: DataFrame, store: DataFrame, metadata: DataFrame) -> DataFrame:

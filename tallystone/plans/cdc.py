@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W  # noqa: F401
 from pyspark.sql import functions as F
 
 from tallystone.functions import ids, payload
-from tallystone.operators import compare, envelope, versions
+from tallystone.operators import checks, compare, envelope, versions
 from tallystone.plans import bindings as b
 from tallystone.plans.registry import query
-from tallystone.session import scratch_path
 from tallystone.sources import sinks
 
 KEYS = ["topic", "id"]
@@ -224,8 +222,8 @@ def _(spark, sf_dir):
          from e join latest l on e.topic = l.topic and e.id = l.id""",
 )
 def _(spark, sf_dir):
-    # expected messages differ from the stored one in volatile fields only
-    # when they are the stored version; the version is kept as a stable field
+    # the body is volatile and masked; the version is a stable field, so only
+    # messages that are the stored version compare equal
     rows = records(spark, sf_dir)
     text = F.to_json(
         F.struct(
@@ -235,14 +233,7 @@ def _(spark, sf_dir):
     )
     docs = rows.select("topic", "id", "version", "event_id", text.alias("value"))
     newest = versions.latest_version_per_id(docs, KEYS, ORDER).select("topic", "id", "value")
-    checked = compare.store_lookup_compare(docs, newest)
-    traced = docs.select("event_id", "topic", "id", "value")
-    stored = newest.withColumnRenamed("value", "stored")
-    joined = traced.join(stored, KEYS, "left")
-    found = F.col("stored").isNotNull()
-    same = found & (payload.mask_fields(F.col("value")) == payload.mask_fields(F.col("stored")))
-    del checked
-    return joined.select("event_id", found.alias("found"), same.alias("passed"))
+    return compare.store_lookup_compare(docs, newest).select("event_id", "found", "passed")
 
 
 @query(
@@ -373,8 +364,6 @@ def _(spark, sf_dir):
          union all select 'export', (select count(*) from latest), (select count(*) from (select distinct topic, id from accepted)), true""",
 )
 def _(spark, sf_dir):
-    from tallystone.operators import checks
-
     rows = records(spark, sf_dir).select("topic", "id", "version", "event_id")
     daily = checks.row_count_check(rows, rows.agg(F.count("*").alias("expected")), "daily")
     ids_only = rows.select("topic", "id").distinct().agg(F.count("*").alias("expected"))
