@@ -15,7 +15,7 @@ def row_count_check(df: DataFrame, expected: DataFrame | int, name: str) -> Data
     else:
         # both sides are single-row aggregates
         counted = counted.withColumn("_one", F.lit(1)).join(
-            expected.withColumn("_one", F.lit(1)), "_one"
+            F.broadcast(expected.withColumn("_one", F.lit(1))), "_one"
         )
     return counted.select(
         F.lit(name).alias("name"), "actual", "expected", (F.col("actual") == F.col("expected")).alias("passed")

@@ -7,28 +7,18 @@ from pyspark.sql import functions as F
 
 
 def contract_people(contracts: DataFrame) -> DataFrame:
-    """One row per contract and person on it, with the contract's dates."""
+    """One row per contract and person on it, with the contract's dates and periods."""
     return contracts.select(
         F.col("_id.contractId").alias("contractId"),
         F.explode("people").alias("citizenId"),
         "closedDate",
         F.col("claimSuspension.suspensionDate").alias("suspendedDate"),
+        "assessmentPeriods",
     )
 
 
-def contract_periods(contracts: DataFrame) -> DataFrame:
-    """One row per assessment period of a contract."""
-    return contracts.select(
-        F.col("_id.contractId").alias("contractId"), F.explode("assessmentPeriods").alias("p")
-    ).select("contractId", "p.assessmentPeriodId", "p.startDate", "p.endDate")
-
-
-def _statement_pay(statements: DataFrame) -> DataFrame:
-    return statements.select(
-        F.col("assessmentPeriod.contractId").alias("contractId"),
-        F.col("assessmentPeriod.assessmentPeriodId").alias("assessmentPeriodId"),
-        "takeHomePay",
-    )
+def _is_open(today: Column) -> Column:
+    return F.col("closedDate").isNull() | (F.col("closedDate") >= today)
 
 
 def claimant_status(claimants: DataFrame, contracts: DataFrame, today: Column) -> DataFrame:
@@ -37,7 +27,7 @@ def claimant_status(claimants: DataFrame, contracts: DataFrame, today: Column) -
     A contract closed before ``today`` (yyyymmdd) does not count.  The contract
     side is reduced to one row per citizen before the join.
     """
-    open_now = F.col("closedDate").isNull() | (F.col("closedDate") >= today)
+    open_now = _is_open(today)
     per_citizen = contract_people(contracts).groupBy("citizenId").agg(
         F.count_if(open_now).alias("open_contracts"),
         F.count_if(open_now & F.col("suspendedDate").isNotNull()).alias("suspended_contracts"),
@@ -54,32 +44,59 @@ def claimant_status(claimants: DataFrame, contracts: DataFrame, today: Column) -
     )
 
 
+AWARD_COLUMNS = (
+    "citizenId", "nino", "found", "contractId", "suspendedDate",
+    "assessmentPeriodId", "startDate", "endDate", "takeHomePay",
+)
+
+
 def claimant_award_join(claimants: DataFrame, contracts: DataFrame, statements: DataFrame, today: Column) -> DataFrame:
     """Awards of every claimant: open contracts, their periods and take-home pay.
 
-    Statements join to periods on (contract, period) and contracts to claimants
-    on the citizen; claimants without an open contract come back as not found.
+    Built from three disjoint parts so that every large join is an inner join,
+    which the adaptive plan can split on either side: one contract may own a
+    third of all statements, one citizen a third of all contracts.
+
+    1. contracts with statements: the period is looked up in the contract's own
+       array (a bounded list inside one document), so periods are never joined;
+    2. open contracts without a statement;
+    3. claimants without an open contract (``found`` is false).
     """
-    open_now = F.col("closedDate").isNull() | (F.col("closedDate") >= today)
-    periods = contract_periods(contracts).join(
-        _statement_pay(statements), ["contractId", "assessmentPeriodId"]
+    who = claimants.select(F.col("_id.citizenId").alias("citizenId"), "nino")
+    people = contract_people(contracts).where(_is_open(today))
+    held = who.join(people, "citizenId")
+    pay = statements.select(
+        F.col("assessmentPeriod.contractId").alias("contractId"),
+        F.col("assessmentPeriod.assessmentPeriodId").alias("assessmentPeriodId"),
+        "takeHomePay",
     )
-    awards = contract_people(contracts).where(open_now).join(periods, "contractId", "left")
-    return (
-        claimants.select(F.col("_id.citizenId").alias("citizenId"), "nino")
-        .join(awards, "citizenId", "left")
+    period = F.get(
+        F.filter("assessmentPeriods", lambda p: p["assessmentPeriodId"] == F.col("assessmentPeriodId")), F.lit(0)
+    )
+    awarded = (
+        held.join(pay, "contractId")
+        .withColumn("period", period)
+        .select("*", "period.startDate", "period.endDate", F.lit(True).alias("found"))
+        .select(*AWARD_COLUMNS)
+    )
+    blank = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    no_award = [
+        blank("assessmentPeriodId", "string"), blank("startDate", "int"),
+        blank("endDate", "int"), blank("takeHomePay", "string"),
+    ]
+    unpaid = (
+        held.drop("assessmentPeriods")
+        .join(pay.select("contractId").distinct(), "contractId", "left_anti")
+        .select("citizenId", "nino", F.lit(True).alias("found"), "contractId", "suspendedDate", *no_award)
+    )
+    absent = (
+        who.join(people.select("citizenId").distinct(), "citizenId", "left_anti")
         .select(
-            "citizenId",
-            "nino",
-            F.col("contractId").isNotNull().alias("found"),
-            "contractId",
-            "suspendedDate",
-            "assessmentPeriodId",
-            "startDate",
-            "endDate",
-            "takeHomePay",
+            "citizenId", "nino", F.lit(False).alias("found"),
+            blank("contractId", "string"), blank("suspendedDate", "int"), *no_award,
         )
     )
+    return awarded.unionByName(unpaid).unionByName(absent)
 
 
 def claimant_date_query(awards: DataFrame, from_date: Column, to_date: Column) -> DataFrame:
