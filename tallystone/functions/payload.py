@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallystone.functions import dates, ids
+from tallystone.functions.once import computed_once
 
 # Fields that differ between runs and the text that hides them.
 VOLATILE_TOP_LEVEL = ("unitOfWorkId", "timestamp", "traceId", "put_time", "version", "body", "reason")
@@ -139,33 +140,41 @@ DATE_FLAGS = {
 }
 
 
-def _path(name: str) -> str:
-    return f"$['{name}']"
+RECORD_SCHEMA = (
+    "`@type` string, _id string, _lastModifiedDateTime string, createdDateTime string, "
+    "_removedDateTime string, _archivedDateTime string, _removed string, _archived string"
+)
+TAGGED_DATE = r'^\{\s*"\$date"\s*:\s*"([^"]*)"\s*\}$'
 
 
-def date_text(record: Column, name: str) -> Column:
+def parse_record(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Add the known fields of a record, parsed once.
+
+    Objects (tagged dates, ids, wrapped bodies) arrive as compact JSON text.
+    """
+    return computed_once(df, **{name: F.from_json(column, RECORD_SCHEMA)})
+
+
+def date_text(raw: Column) -> Column:
     """A date field as text, whether plain or wrapped in ``$date``; empty is NULL."""
-    raw = F.get_json_object(record, _path(name))
-    inner = F.get_json_object(record, f"$['{name}']['$date']")
-    return F.nullif(F.when(raw.startswith("{"), inner).otherwise(raw), F.lit(""))
+    return F.nullif(F.when(raw.startswith("{"), F.regexp_extract(raw, TAGGED_DATE, 1)).otherwise(raw), F.lit(""))
 
 
-def date_was_wrapped(record: Column, name: str) -> Column:
-    """Whether the field is an object holding ``$date``."""
-    return F.get_json_object(record, f"$['{name}']['$date']").isNotNull()
+def date_was_wrapped(raw: Column) -> Column:
+    """Whether a date field is an object holding ``$date``."""
+    return F.coalesce(raw.rlike(TAGGED_DATE), F.lit(False))
 
 
-def normalise_date(record: Column, name: str) -> Column:
+def normalise_date(raw: Column) -> Column:
     """A date field in the common form ``…SSS+0000``."""
-    return dates.format_iso(dates.parse_iso(date_text(record, name)))
+    return dates.format_iso(dates.parse_iso(date_text(raw)))
 
 
-def normalise_dates(df: DataFrame, record: str) -> DataFrame:
-    """Add the four normalised dates and one alteration flag for each."""
-    body = F.col(record)
-    out = {name: normalise_date(body, name) for name in DATE_FLAGS}
+def normalise_dates(df: DataFrame, parsed: str) -> DataFrame:
+    """Add the four normalised dates of a parsed record and one alteration flag each."""
+    out = {name: normalise_date(F.col(parsed)[name]) for name in DATE_FLAGS}
     for name, flag in DATE_FLAGS.items():
-        out[flag] = date_was_wrapped(body, name)
+        out[flag] = date_was_wrapped(F.col(parsed)[name])
     return df.withColumns(out)
 
 
@@ -188,59 +197,59 @@ def timestamp_created_from(last_modified: Column, created: Column, wrapped: Colu
 def unwrap_removed_archived(df: DataFrame, record: str) -> DataFrame:
     """Make a ``_removed``/``_archived`` body the record itself and flag it.
 
-    Outer removal and archive dates move into the body that replaces them.
+    Adds ``parsed`` (fields of the record after unwrapping) and ``outer`` (fields
+    before); only wrapped rows are parsed a second time.
     """
-    body = F.col(record)
-    removed = F.get_json_object(body, _path("_removed"))
-    archived = F.get_json_object(body, _path("_archived"))
-    return df.withColumns(
+    opened = parse_record(df, record, "outer")
+    inside = F.coalesce("outer._removed", "outer._archived")
+    opened = computed_once(
+        opened.withColumn("inside", inside), inner=F.from_json("inside", RECORD_SCHEMA)
+    )
+    wrapped = F.col("inside").isNotNull()
+    removed = F.col("outer._removed").isNotNull()
+    return opened.withColumns(
         {
-            record: F.coalesce(removed, archived, body),
-            "historic_removed_record_altered_on_import": removed.isNotNull(),
-            "historic_archived_record_altered_on_import": removed.isNull() & archived.isNotNull(),
-            "outer_removed": date_text(body, "_removedDateTime"),
-            "outer_archived": date_text(body, "_archivedDateTime"),
-            "removed_wrapped": date_was_wrapped(body, "_removedDateTime"),
-            "archived_wrapped": date_was_wrapped(body, "_archivedDateTime"),
+            record: F.coalesce("inside", record),
+            "parsed": F.when(wrapped, F.col("inner")).otherwise(F.col("outer")),
+            "historic_removed_record_altered_on_import": removed,
+            "historic_archived_record_altered_on_import": wrapped & ~removed,
         }
-    )
+    ).drop("inside", "inner")
 
 
-def default_record_type(record: Column, unwrapped: Column | None = None) -> Column:
+def default_record_type(parsed: Column, unwrapped: Column | None = None) -> Column:
     """``@type`` of the payload, else MONGO_IMPORT; unwrapped bodies are deletes."""
-    plain = F.coalesce(F.get_json_object(record, _path("@type")), F.lit("MONGO_IMPORT"))
+    plain = F.coalesce(parsed["@type"], F.lit("MONGO_IMPORT"))
     return plain if unwrapped is None else F.when(unwrapped, "MONGO_DELETE").otherwise(plain)
 
 
 def normalise_historic(df: DataFrame, record: str = "record") -> DataFrame:
-    """All clean-up steps of a historic record in one projection chain.
+    """All clean-up steps of a historic record.
 
     Output: type, id and its flag, last-modified text, where that came from,
     the six other alteration flags and the record body.
     """
     opened = unwrap_removed_archived(df, record)
-    body = F.col(record)
-    id_text = F.get_json_object(body, "$._id")
-    last = date_text(body, "_lastModifiedDateTime")
-    created = date_text(body, "createdDateTime")
-    last_wrapped = date_was_wrapped(body, "_lastModifiedDateTime")
+    parsed, outer = F.col("parsed"), F.col("outer")
+    last, created = date_text(parsed["_lastModifiedDateTime"]), date_text(parsed["createdDateTime"])
+    last_wrapped = date_was_wrapped(parsed["_lastModifiedDateTime"])
     moved = F.col("historic_removed_record_altered_on_import") | F.col(
         "historic_archived_record_altered_on_import"
     )
     iso = lambda text: dates.format_iso(dates.parse_iso(text))
+    # the removal or archive date may sit beside the wrapped body or inside it
+    either = lambda name: date_was_wrapped(outer[name]) | date_was_wrapped(parsed[name])
     return opened.withColumns(
         {
-            "record_type": default_record_type(body, moved),
-            "id": ids.strip_mongo_id(id_text),
-            "mongo_format_stripped_from_id": ids.mongo_format_stripped(id_text),
+            "record_type": default_record_type(parsed, moved),
+            "id": ids.strip_mongo_id(parsed["_id"]),
+            "mongo_format_stripped_from_id": ids.mongo_format_stripped(parsed["_id"]),
             "last_modified": record_timestamp(iso(last), iso(created)),
             "timestamp_created_from": timestamp_created_from(last, created, last_wrapped),
             # a filled-in last-modified date counts as altered, like an unwrapped one
             "last_modified_date_time_was_altered": last_wrapped | last.isNull(),
-            "created_date_time_was_altered": date_was_wrapped(body, "createdDateTime"),
-            "removed_date_time_was_altered": F.col("removed_wrapped")
-            | date_was_wrapped(body, "_removedDateTime"),
-            "archived_date_time_was_altered": F.col("archived_wrapped")
-            | date_was_wrapped(body, "_archivedDateTime"),
+            "created_date_time_was_altered": date_was_wrapped(parsed["createdDateTime"]),
+            "removed_date_time_was_altered": either("_removedDateTime"),
+            "archived_date_time_was_altered": either("_archivedDateTime"),
         }
-    ).drop("outer_removed", "outer_archived", "removed_wrapped", "archived_wrapped")
+    ).drop("parsed", "outer")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates, ids, payload
+from tallystone.functions.once import computed_once
 from tallystone.functions.topics import message_family
 
-# One envelope followed by an end marker; see parse_envelope.
+# One envelope followed by an end marker; see with_envelope.
 _PARSE_SCHEMA = """array<struct<
   `@type`: string, version: string, timestamp: string, traceId: string, unitOfWorkId: string,
   message: struct<
@@ -33,8 +34,8 @@ WRONG_KEY = "incorrect encryptedEncryptionKey"
 WRAPPED_KEY_PATTERN = r"^[A-Za-z0-9+/]{32,}={0,2}$"
 
 
-def parse_envelope(value: Column) -> Column:
-    """Envelope struct of a message, NULL when the text is not one JSON object.
+def with_envelope(messages: DataFrame, value: str = "value", name: str = "envelope") -> DataFrame:
+    """Add the envelope struct of each message, NULL unless it is one JSON object.
 
     The JSON readers stop at the end of the first value and would accept
     trailing text.  Parsing ``[value, {"_end": hash}]`` makes them read it all:
@@ -42,10 +43,11 @@ def parse_envelope(value: Column) -> Column:
     is parsed once for both the check and the fields.
     """
     marker = F.xxhash64(value).cast("string")
-    wrapped = F.concat(F.lit("["), value, F.lit(',{"_end":"'), marker, F.lit('"}]'))
-    parsed = F.from_json(wrapped, _PARSE_SCHEMA)
-    complete = (F.size(parsed) == 2) & (F.try_element_at(parsed, F.lit(2))["_end"] == marker)
-    return F.when(complete, F.get(parsed, F.lit(0)))
+    wrapped = F.concat(F.lit("["), F.col(value), F.lit(',{"_end":"'), marker, F.lit('"}]'))
+    parsed = computed_once(messages, _parsed=F.from_json(wrapped, _PARSE_SCHEMA), _marker=marker)
+    complete = (F.size("_parsed") == 2) & (F.try_element_at("_parsed", F.lit(2))["_end"] == F.col("_marker"))
+    envelope = F.when(complete, F.get("_parsed", F.lit(0)))
+    return parsed.withColumn(name, envelope).drop("_parsed", "_marker")
 
 
 def _object_kind(message: Column) -> Column:
@@ -81,7 +83,7 @@ def key_violation(envelope: Column) -> Column:
 
 def read_messages(messages: DataFrame, value: str = "value", topic: str = "topic") -> DataFrame:
     """Messages with their parsed envelope and rejection reason."""
-    parsed = messages.withColumn("envelope", parse_envelope(F.col(value)))
+    parsed = with_envelope(messages, value)
     return parsed.withColumn("reason", rejection_reason(F.col("envelope"), F.col(topic)))
 
 
@@ -128,20 +130,23 @@ def metadata_rows(records: DataFrame, wrapped: bool = False) -> DataFrame:
     )
 
 
-def strict_violations(messages: DataFrame, value: str = "value") -> DataFrame:
-    """Number of messages per reason that must fail a strict load.
-
-    Missing or empty last-modified dates are accepted.
-    """
-    parsed = messages.select(parse_envelope(F.col(value)).alias("envelope"))
+def _strict_violation() -> Column:
     message = F.col("envelope")["message"]
-    violation = (
+    return (
         F.when(F.col("envelope").isNull(), INVALID_JSON)
         .when(message["dbObject"].isNull() | (_object_kind(message) == "VOID"), MISSING_OBJECT)
         .otherwise(key_violation(F.col("envelope")))
     )
+
+
+def strict_violations(messages: DataFrame, value: str = "value") -> DataFrame:
+    """Number of messages per reason that must fail a strict load.
+
+    Missing or empty last-modified dates are accepted.
+    """
     return (
-        parsed.select(violation.alias("violation"))
+        with_envelope(messages.select(value), value)
+        .select(_strict_violation().alias("violation"))
         .where("violation is not null")
         .groupBy("violation")
         .agg(F.count("*").alias("messages"))
@@ -150,12 +155,7 @@ def strict_violations(messages: DataFrame, value: str = "value") -> DataFrame:
 
 def strict_ingest(messages: DataFrame, value: str = "value") -> DataFrame:
     """Parsed messages; reading the result fails on the first bad message."""
-    parsed = messages.withColumn("envelope", parse_envelope(F.col(value)))
-    message = F.col("envelope")["message"]
-    violation = (
-        F.when(F.col("envelope").isNull(), INVALID_JSON)
-        .when(message["dbObject"].isNull() | (_object_kind(message) == "VOID"), MISSING_OBJECT)
-        .otherwise(key_violation(F.col("envelope")))
-    )
+    parsed = with_envelope(messages, value)
+    violation = _strict_violation()
     checked = F.when(violation.isNotNull(), F.raise_error(violation).cast("string")).otherwise(F.col(value))
     return parsed.withColumn(value, checked)

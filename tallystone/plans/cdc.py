@@ -470,7 +470,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     h = b.historic_records(spark, sf_dir)
     opened = payload.unwrap_removed_archived(h, "record")
-    return opened.select("k", payload.default_record_type(F.col("record")).alias("record_type"))
+    return opened.select("k", payload.default_record_type(F.col("parsed")).alias("record_type"))
 
 
 @query(
