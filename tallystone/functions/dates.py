@@ -54,7 +54,7 @@ def offset_date(day: Column, days: Column | int | None, months: Column | int | N
 
 def date_to_int(day: Column) -> Column:
     """Date as a yyyymmdd integer."""
-    return F.date_format(day, "yyyyMMdd").cast("int")
+    return F.year(day) * 10000 + F.month(day) * 100 + F.day(day)
 
 
 def int_to_date(value: Column) -> Column:

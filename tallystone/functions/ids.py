@@ -34,11 +34,15 @@ def qualified_id(id_text: Column, wrapped: bool) -> Column:
     return wrap_id(id_text) if wrapped else F.replace(id_text, F.lit(" "), F.lit(""))
 
 
+def _bare_oid(text: Column, pattern: str) -> Column:
+    # the plain substring test spares almost all ids the regular expression
+    wrapped = F.contains(text, F.lit("$oid")) & text.rlike(pattern)
+    return F.when(wrapped, F.regexp_extract(text, pattern, 1)).otherwise(text)
+
+
 def strip_oid(id_text: Column) -> Column:
     """``{"$oid": x}`` becomes ``x``; anything else is unchanged."""
-    return F.when(id_text.rlike(OID_PATTERN), F.regexp_extract(id_text, OID_PATTERN, 1)).otherwise(
-        id_text
-    )
+    return _bare_oid(id_text, OID_PATTERN)
 
 
 def strip_embedded_dates(id_text: Column) -> Column:
@@ -58,10 +62,7 @@ def mongo_format_stripped(id_text: Column) -> Column:
 
 def manifest_output_id(raw_id: Column) -> Column:
     """Id shown in reports: the bare object id, else the text of the manifest."""
-    for pattern in (OID_PATTERN, OID_IN_CSV_PATTERN):
-        bare = F.regexp_extract(raw_id, pattern, 1)
-        raw_id = F.when(raw_id.rlike(pattern), bare).otherwise(raw_id)
-    return raw_id
+    return _bare_oid(_bare_oid(raw_id, OID_PATTERN), OID_IN_CSV_PATTERN)
 
 
 def manifest_match_id(raw_id: Column) -> Column:

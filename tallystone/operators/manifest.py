@@ -47,29 +47,37 @@ def cutoff_window(manifest: DataFrame, start_ms: int | None, end_ms: int | None,
     return out
 
 
-def _newest(side: str, detail: bool) -> Column:
-    """Newest line of one side.
-
-    Structs compare field by field, so the short form used for counting picks
-    the same timestamp and component as the detailed form.
-    """
-    fields = [F.col("timestamp"), F.col("component")]
-    if detail:
-        fields += [F.col("type"), F.col("source"), F.col("id")]
-    return F.max(F.when(F.col("side") == side, F.struct(*fields))).alias(side)
+def _from_load() -> Column:
+    return F.coalesce(F.col("component") == DATA_LOAD_COMPONENT, F.lit(False))
 
 
-def _paired(imports: DataFrame, exports: DataFrame, detail: bool) -> DataFrame:
-    columns = ["timestamp", "component"] + (["type", "source", "id"] if detail else [])
+def _lines(imports: DataFrame, exports: DataFrame, *columns: str) -> DataFrame:
     side = lambda df, name: df.select(
         F.lit(name).alias("side"),
         "database",
         "collection",
         manifest_match_id(F.col("id")).alias("match_id"),
+        "timestamp",
+        "component",
         *columns,
     )
-    lines = side(imports, "imp").unionByName(side(exports, "exp"))
-    return lines.groupBy(*KEYS).agg(_newest("imp", detail), _newest("exp", detail))
+    return side(imports, "imp").unionByName(side(exports, "exp"))
+
+
+def _newest_line(side: str) -> Column:
+    """Newest line of one side; structs compare field by field, so ties are settled."""
+    line = F.struct("timestamp", _from_load().alias("loaded"), "component", "type", "source", "id")
+    return F.max(F.when(F.col("side") == side, line)).alias(side)
+
+
+def _newest_stamp(side: str) -> Column:
+    """Timestamp and load flag of the newest line in one number.
+
+    The pair orders exactly as the first two fields of :func:`_newest_line`, and a
+    fixed-width buffer lets Spark use a hash aggregate without any sort.
+    """
+    stamp = F.col("timestamp") * 2 + _from_load().cast("long")
+    return F.max(F.when(F.col("side") == side, stamp)).alias(side)
 
 
 def match_manifests(imports: DataFrame, exports: DataFrame) -> DataFrame:
@@ -79,7 +87,10 @@ def match_manifests(imports: DataFrame, exports: DataFrame) -> DataFrame:
     ``earliest_manifest`` is NULL when both sides carry the same timestamp.
     """
     imp, exp = F.col("imp.timestamp"), F.col("exp.timestamp")
-    return _paired(imports, exports, detail=True).select(
+    pairs = _lines(imports, exports, "type", "source", "id").groupBy(*KEYS).agg(
+        _newest_line("imp"), _newest_line("exp")
+    )
+    return pairs.select(
         F.coalesce(
             manifest_output_id(F.col("imp.id")), manifest_output_id(F.col("exp.id"))
         ).alias("id"),
@@ -103,12 +114,13 @@ def match_manifests(imports: DataFrame, exports: DataFrame) -> DataFrame:
 
 def match_for_counts(imports: DataFrame, exports: DataFrame) -> DataFrame:
     """The columns of :func:`match_manifests` that counting needs, and no others."""
-    return _paired(imports, exports, detail=False).select(
+    pairs = _lines(imports, exports).groupBy(*KEYS).agg(_newest_stamp("imp"), _newest_stamp("exp"))
+    return pairs.select(
         "database",
         "collection",
-        F.col("imp.timestamp").alias("import_timestamp"),
-        F.col("exp.timestamp").alias("export_timestamp"),
-        F.col("exp.component").alias("export_component"),
+        F.shiftright("imp", 1).alias("import_timestamp"),
+        F.shiftright("exp", 1).alias("export_timestamp"),
+        (F.col("exp") % 2 != 0).alias("export_from_load"),
     )
 
 
@@ -119,14 +131,17 @@ def collection_counts(matched: DataFrame) -> DataFrame:
     leaves one row per collection and task.
     """
     imp, exp = F.col("import_timestamp"), F.col("export_timestamp")
-    loaded = F.col("export_component") == DATA_LOAD_COMPONENT
+    if "export_from_load" in matched.columns:
+        loaded = F.col("export_from_load")
+    else:
+        loaded = F.coalesce(F.col("export_component") == DATA_LOAD_COMPONENT, F.lit(False))
     return (
         matched.groupBy("database", "collection")
         .agg(
             F.count(imp).alias("imported_count"),
             F.count(exp).alias("exported_count"),
             F.count_if(exp.isNotNull() & loaded).alias("exported_count_from_data_load"),
-            F.count_if(exp.isNotNull() & ~F.coalesce(loaded, F.lit(False))).alias(
+            F.count_if(exp.isNotNull() & ~loaded).alias(
                 "exported_count_from_streaming_feed"
             ),
             F.count_if(imp.isNull()).alias("missing_imported_count"),

@@ -72,20 +72,25 @@ def message_version_filter(statements: DataFrame, raw: Column, id_col: Column) -
     )
 
 
-def lower_case_keys(text: Column) -> Column:
-    """JSON text with every object key in lower case; values are untouched.
+def _json_pieces(text: Column) -> Column:
+    """JSON text cut into keys (with their colon), strings and everything between.
 
-    A key is a string directly followed by a colon.  Strings are matched whole,
-    so a colon or quote inside a value is never taken for a key.
+    Strings are matched whole, so a colon, quote or word inside a value is never
+    taken for structure.
     """
-    keys = F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
-    lowered = F.transform(keys, lambda t: F.when(t.rlike(r'^".*"\s*:$'), F.lower(t)).otherwise(t))
-    return F.concat_ws("", lowered)
+    return F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+
+
+def lower_case_keys(text: Column) -> Column:
+    """JSON text with every object key in lower case; values are untouched."""
+    lower = lambda p: F.when(p.rlike(r'^".*"\s*:$'), F.lower(p)).otherwise(p)
+    return F.concat_ws("", F.transform(_json_pieces(text), lower))
 
 
 def nulls_as_text(text: Column) -> Column:
     """JSON text with each null literal replaced by the text ``"null"``."""
-    return F.regexp_replace(text, r'(?<=[:,\[])\s*null(?=\s*[,}\]])', '"null"')
+    fill = lambda p: F.when(p.startswith('"'), p).otherwise(F.regexp_replace(p, r"\bnull\b", '"null"'))
+    return F.concat_ws("", F.transform(_json_pieces(text), fill))
 
 
 def product_contract(contracts: DataFrame, people_json: Column) -> DataFrame:

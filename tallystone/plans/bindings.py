@@ -24,6 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core when a scan has fewer tasks than the session has slots.
+
+    A small single file is one task, however costly the work per row.  A large
+    table already has far more splits than slots and is left as it is.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
 # --- manifests ------------------------------------------------------------
 
 
@@ -92,7 +102,7 @@ def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     4 broken JSON, 5 no last-modified, 6 neither date, 7 plain dbObject,
     8 no encrypted key, 9 empty key, 10 wrong key.
     """
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     kind = F.col("event_id") % 50
     stamp = dates.format_iso(F.col("ts"))
     created = F.lit("2015-03-20T12:23:25.183+0000")
@@ -135,7 +145,7 @@ def historic_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     Shapes by ``k % 8``: 0 plain, 1 string date, 2 ``$oid`` id, 3 id with an
     embedded date, 4 no last-modified, 5 neither date, 6 removed, 7 archived.
     """
-    o = table(spark, sf_dir, "orders")
+    o = spread(table(spark, sf_dir, "orders"))
     kind = F.col("o_orderkey") % 8
     stamp = F.concat(F.date_format("o_orderdate", dates.MILLIS_PATTERN), F.lit("Z"))
     key = F.col("o_orderkey").cast("string")
