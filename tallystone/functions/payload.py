@@ -66,42 +66,40 @@ def replace_value(df: DataFrame, column: str, key: str, new_value: Column) -> Da
 # --- payloads of unknown shape -------------------------------------------
 
 
-def _edit_text(text: str | None, key: str, replacement, drop: bool) -> str | None:
-    if text is None:
-        return None
-    root = json.loads(text)
-    pending = [root]
-    while pending:
-        node = pending.pop()
-        if not isinstance(node, dict):
-            continue
-        if key in node:
-            if drop:
-                del node[key]
-            else:
-                node[key] = replacement
-        pending.extend(node.values())
-    return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
-
-
-def json_drop_key(text: Column, key: str) -> Column:
-    """As :func:`drop_key`, for JSON text whose shape is not known in advance."""
+def _edited(text: Column, key: str, replacement, drop: bool) -> Column:
+    # everything the workers need is defined inside, so it travels with the task
+    def edit(document):
+        if document is None:
+            return None
+        root = json.loads(document)
+        pending = [root]
+        while pending:
+            node = pending.pop()
+            if not isinstance(node, dict):
+                continue
+            if key in node:
+                if drop:
+                    del node[key]
+                else:
+                    node[key] = replacement
+            pending.extend(node.values())
+        return json.dumps(root, separators=(",", ":"), ensure_ascii=False)
 
     @F.pandas_udf("string")
     def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: _edit_text(t, key, None, True))
+        return batch.map(edit)
 
     return run(text)
 
 
-def json_replace_value(text: Column, key: str, new_value) -> Column:
-    """As :func:`replace_value`, for JSON text whose shape is not known in advance."""
+def json_drop_key(text: Column, key: str) -> Column:
+    """As :func:`drop_key`, for JSON text whose shape is not known in advance."""
+    return _edited(text, key, None, True)
 
-    @F.pandas_udf("string")
-    def run(batch: pd.Series) -> pd.Series:
-        return batch.map(lambda t: _edit_text(t, key, new_value, False))
 
-    return run(text)
+def json_replace_value(text: Column, key: str, new_value) -> Column:
+    """As :func:`replace_value`, for JSON text whose shape is not known in advance."""
+    return _edited(text, key, new_value, False)
 
 
 # --- masking --------------------------------------------------------------

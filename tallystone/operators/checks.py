@@ -64,7 +64,9 @@ def csv_violations(lines: DataFrame, columns: dict[str, str], value: str = "valu
     """
     names = list(columns)
     header_ok = F.col(value) == ",".join(names)
-    width = F.size(F.split(F.col(value), ","))
+    # separators inside quoted fields do not count
+    bare = F.regexp_replace(value, r'"(?:[^"]|"")*"', "")
+    width = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
     is_header = F.col("line_no") == 1
     return lines.groupBy("file").agg(
         F.count_if(~is_header).alias("rows"),

@@ -190,6 +190,55 @@ def missing_imports(matched: DataFrame, import_collections: DataFrame | None = N
     )
 
 
+def _one_sided(present: DataFrame, other: DataFrame) -> DataFrame:
+    """Newest line of every id of ``present`` that ``other`` does not hold.
+
+    The other side only contributes its keys, so its lines cross the shuffle
+    without their detail columns.
+    """
+    key = [F.col("database"), F.col("collection"), manifest_match_id(F.col("id")).alias("match_id")]
+    line = F.struct("timestamp", _from_load().alias("loaded"), "component", "type", "source", "id")
+    nothing = F.lit(None).cast(
+        "struct<timestamp:bigint,loaded:boolean,component:string,type:string,source:string,id:string>"
+    )
+    lines = present.select(*key, line.alias("line"), F.lit(False).alias("other")).union(
+        other.select(*key, nothing.alias("line"), F.lit(True).alias("other"))
+    )
+    return (
+        lines.groupBy(*KEYS)
+        .agg(F.max("line").alias("line"), F.bool_or("other").alias("other"))
+        .where(~F.col("other"))
+        .select(
+            manifest_output_id(F.col("line.id")).alias("id"),
+            "database",
+            "collection",
+            "line.timestamp",
+            "line.component",
+            "line.type",
+        )
+    )
+
+
+def missing_exports_of(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """:func:`missing_exports` straight from the manifests, for when only this is wanted."""
+    return (
+        _one_sided(imports, exports)
+        .join(collections_of(exports), ["database", "collection"], "left_semi")
+        .toDF("database", "collection", "id", "import_timestamp", "import_component", "import_type")
+        .select("id", "database", "collection", "import_timestamp", "import_component", "import_type")
+    )
+
+
+def missing_imports_of(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """:func:`missing_imports` straight from the manifests, for when only this is wanted."""
+    return (
+        _one_sided(exports, imports)
+        .join(collections_of(imports), ["database", "collection"], "left_semi")
+        .toDF("database", "collection", "id", "export_timestamp", "export_component", "export_type")
+        .select("id", "database", "collection", "export_timestamp", "export_component", "export_type")
+    )
+
+
 def mismatched_timestamps(matched: DataFrame) -> DataFrame:
     """Ids on both sides whose timestamps differ."""
     return matched.where("import_timestamp <> export_timestamp").select(*MATCHED_COLUMNS)

@@ -71,13 +71,11 @@ def counts_table(spark, sf_dir):
 
 
 def missing_exports_table(spark, sf_dir):
-    imports, exports = sides(spark, sf_dir)
-    return m.missing_exports(m.match_manifests(imports, exports), m.collections_of(exports))
+    return m.missing_exports_of(*sides(spark, sf_dir))
 
 
 def missing_imports_table(spark, sf_dir):
-    imports, exports = sides(spark, sf_dir)
-    return m.missing_imports(m.match_manifests(imports, exports), m.collections_of(imports))
+    return m.missing_imports_of(*sides(spark, sf_dir))
 
 
 def mismatched_table(spark, sf_dir):

@@ -163,3 +163,12 @@ def test_repeated_lines_count_once(spark):
     assert (c.imported_count, c.exported_count, c.exported_count_from_streaming_feed) == (1, 1, 1)
     d = m.collection_counts(m.match_manifests(imp, exp)).collect()[0]
     assert c == d
+
+
+def test_direct_form_of_the_missing_tables(spark, tables, tmp_path):
+    imp, exp = fx.write(str(tmp_path))
+    cut = lambda path: m.cutoff_window(scan_manifest_csv(spark, path), None, fx.CUTOFF_END_MS, fx.MARGIN_MINUTES)
+    got = sorted(rows(m.missing_exports_of(cut(imp), cut(exp))))
+    assert got == sorted(rows(tables.missing_exports)) and len(got) == 6
+    got = sorted(rows(m.missing_imports_of(cut(imp), cut(exp))))
+    assert got == sorted(rows(tables.missing_imports)) and len(got) == 5

@@ -158,6 +158,13 @@ def test_csv_gate_fails_the_load(spark, tmp_path, text, fails):
         assert [tuple(r) for r in load()] == [("x", 1), ("y", 2)]
 
 
+def test_quoted_separators_do_not_widen_a_row(spark):
+    lines = [("f", 1, "a,b"), ("f", 2, '"x,y",1'), ("f", 3, '"say ""a,b""",2'), ("g", 1, "a,b"), ("g", 2, "x"), ("g", 3, "x,1,2")]
+    df = spark.createDataFrame(lines, "file string, line_no int, value string")
+    got = {r.file: (r.rows, r.bad_headers, r.short_rows, r.long_rows, r.accepted) for r in checks.csv_violations(df, {"a": "string", "b": "int"}).collect()}
+    assert got == {"f": (2, 0, 0, 0, True), "g": (2, 0, 1, 1, False)}
+
+
 def test_counts_and_status(spark):
     df = spark.range(40)
     assert checks.row_count_check(df, 40, "x").first().passed
