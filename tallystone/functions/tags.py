@@ -17,9 +17,10 @@ def tags_subset(subset: Column, superset: Column) -> Column:
 
 
 def path_parts(path: Column) -> Column:
-    """Path components with ``.db`` and folder-marker suffixes removed."""
-    unmarked = F.regexp_replace(path, r"_\$folder\$$", "")
-    return F.transform(F.split(unmarked, "/"), lambda p: F.regexp_replace(p, r"\.db$", ""))
+    """Path components; the folder marker at the end and ``.db`` endings are removed."""
+    unmarked = F.when(path.endswith("_$folder$"), F.left(path, F.length(path) - 9)).otherwise(path)
+    bare = lambda p: F.when(p.endswith(".db"), F.replace(p, F.lit(".db"), F.lit(""))).otherwise(p)
+    return F.transform(F.split(unmarked, "/"), bare)
 
 
 def part_from_end(parts: Column, n: int) -> Column:

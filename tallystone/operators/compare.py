@@ -62,18 +62,21 @@ def result_set_verify(golden: DataFrame, actual: DataFrame) -> DataFrame:
 def snapshot_containment(expected: DataFrame, actual: DataFrame, column: str = "value") -> DataFrame:
     """Expected JSON records with no equal record in ``actual``, key order ignored.
 
-    Only SHA-256 digests of the canonical text are shuffled for the comparison;
-    whole documents move no further than the final lookup of missing digests.
+    Records are matched on the SHA-256 digest of their canonical text.  Actual
+    records cross the shuffle as digests only; expected ones bring their text
+    along, so neither side is read twice.
     """
-    canonical = lambda df: df.select(canonical_json(F.col(column)).alias(column))
-    digest = F.unhex(F.sha2(F.col(column), 256)).alias("digest")
-    wanted = canonical(expected)
-    absent = set_contains(wanted.select(digest), canonical(actual).select(digest))
+    digest = F.unhex(F.sha2("text", 256)).alias("digest")
+    side = lambda df: df.select(canonical_json(F.col(column)).alias("text"))
+    nothing = F.lit(None).cast("string").alias("text")
+    both = side(expected).select(digest, "text", F.lit(False).alias("stored")).union(
+        side(actual).select(digest, nothing, F.lit(True).alias("stored"))
+    )
     return (
-        wanted.select(column, digest)
-        .join(absent, "digest", "left_semi")
+        both.groupBy("digest")
+        .agg(F.max("text").alias(column), F.bool_or("stored").alias("stored"))
+        .where(~F.col("stored"))
         .select(column)
-        .distinct()
     )
 
 

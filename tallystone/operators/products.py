@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.functions import dates
+from tallystone.functions.once import computed_once
 from tallystone.operators.versions import latest_version_per_id
 
 # Statement type kept by the reconsideration view and its reason.
@@ -19,16 +20,20 @@ def obligation_flatten(documents: DataFrame) -> DataFrame:
     Empty arrays give one row with NULL.  Both arrays are exploded row by row,
     so the step needs no shuffle.
     """
-    modified = dates.parse_iso(F.col("_lastModifiedDateTime.d_date"))
-    return documents.select(
+    dated = computed_once(
+        documents,
+        changed=dates.int_to_date(F.col("statusLastChangedDate")),
+        modified=dates.parse_iso(F.col("_lastModifiedDateTime.d_date")),
+    )
+    return dated.select(
         F.col("_id.youthObligationDetailsId").alias("obligation_id"),
         F.col("claimantId").alias("claimant_id"),
-        dates.int_to_date(F.col("statusLastChangedDate")).alias("status_last_changed_date"),
-        dates.int_to_date(F.col("statusLastChangedDate")).cast("timestamp").alias("status_last_changed_ts"),
+        F.col("changed").alias("status_last_changed_date"),
+        F.col("changed").cast("timestamp").alias("status_last_changed_ts"),
         F.col("youthObligationReferrals").alias("referrals"),
         F.col("youthObligationStatus").alias("status"),
-        modified.cast("date").alias("last_modified_date"),
-        modified.alias("last_modified_ts"),
+        F.col("modified").cast("date").alias("last_modified_date"),
+        F.col("modified").alias("last_modified_ts"),
         F.explode_outer("youthObligationEasements").alias("easement"),
     ).select("*", F.explode_outer("referrals").alias("referral")).drop("referrals")
 

@@ -195,7 +195,7 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     day = dates.date_to_int(F.col("o_orderdate").cast("date"))
-    return table(spark, sf_dir, "orders").select(
+    return spread(table(spark, sf_dir, "orders")).select(
         F.struct(F.concat(F.lit("k-"), F.col("o_orderkey")).alias("contractId")).alias("_id"),
         F.array(F.concat(F.lit("c-"), F.col("o_custkey"))).alias("people"),
         F.when(F.col("o_orderstatus") == "F", day).alias("closedDate"),

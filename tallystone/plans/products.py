@@ -76,7 +76,7 @@ def _obligations(spark, sf_dir):
         lambda i: F.concat(F.lit(word), i.cast("string")),
     )
     stamp = F.concat(F.date_format("o_orderdate", dates.MILLIS_PATTERN), F.lit("Z"))
-    return b.table(spark, sf_dir, "orders").select(
+    return b.spread(b.table(spark, sf_dir, "orders")).select(
         F.struct(F.concat(F.lit("y-"), k).alias("youthObligationDetailsId")).alias("_id"),
         F.concat(F.lit("c-"), F.col("o_custkey")).alias("claimantId"),
         F.col("o_orderstatus").alias("youthObligationStatus"),
@@ -105,7 +105,7 @@ def _statement_versions(spark, sf_dir):
     """Every line item as a version of the statement of its order."""
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
     money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    return b.table(spark, sf_dir, "lineitem").select(
+    return b.spread(b.table(spark, sf_dir, "lineitem")).select(
         F.concat(F.lit("s-"), F.col("l_orderkey")).alias("id"),
         F.unix_millis("l_shipdate").alias("version"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("sequence"),

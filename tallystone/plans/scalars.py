@@ -240,7 +240,7 @@ def _(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     """Object paths naming a region as database and a nation as table, in several depths."""
-    e = b.table(spark, sf_dir, "events")
+    e = b.spread(b.table(spark, sf_dir, "events"))
     n = b.table(spark, sf_dir, "nation").join(
         b.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )
