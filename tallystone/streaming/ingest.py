@@ -107,14 +107,26 @@ def ingest_stream(messages: DataFrame, layout: Layout, available_now: bool = Tru
     return writer.start()
 
 
-def store_versions(spark: SparkSession, layout: Layout) -> DataFrame:
-    """All stored versions (several batches may hold the same key)."""
-    return spark.read.schema(RECORD_SCHEMA).parquet(layout.store)
+def store_versions(spark: SparkSession, layout: Layout, after_batch: int | None = None) -> DataFrame:
+    """Stored versions (several batches may hold the same key), optionally of later batches only."""
+    log = spark.read.schema(RECORD_SCHEMA + ", batch_id bigint").parquet(layout.store)
+    if after_batch is not None:
+        log = log.where(F.col("batch_id") > after_batch)
+    return log.drop("batch_id")
 
 
-def current_state(spark: SparkSession, layout: Layout) -> DataFrame:
-    """Newest version of every key."""
-    return latest_version_per_id(store_versions(spark, layout), KEYS, ORDER)
+def current_state(
+    spark: SparkSession, layout: Layout, compacted: str | None = None, through_batch: int | None = None
+) -> DataFrame:
+    """Newest version of every key.
+
+    With a compacted folder only the batches after ``through_batch`` are read
+    from the log; older batch folders are pruned.
+    """
+    log = store_versions(spark, layout, through_batch if compacted else None)
+    if compacted:
+        log = log.unionByName(spark.read.schema(RECORD_SCHEMA).parquet(compacted).drop("bucket"))
+    return latest_version_per_id(log, KEYS, ORDER)
 
 
 def compact(spark: SparkSession, layout: Layout, target: str) -> DataFrame:

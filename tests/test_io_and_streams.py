@@ -190,6 +190,7 @@ def test_stream_equals_batch_and_survives_a_replay(spark, sf_dir, folder):
     assert ingest.store_versions(spark, layout).count() >= before
     compacted = ingest.compact(spark, layout, folder + "/compacted")
     assert key(compacted) == batch
+    assert key(ingest.current_state(spark, layout, folder + "/compacted", 0)) == batch
     done = ingest.reconcile(spark, layout, F.lit("2024-01-01").cast("timestamp"))
     assert done.where("reconciled_result = 0").count() == 0
 

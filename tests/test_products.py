@@ -119,6 +119,45 @@ def test_awards_match_brute_force(spark, sf_dir):
     assert got == want
 
 
+def test_awards_with_a_dominant_contract(spark):
+    """One contract owns a third of all statements; joins are shuffled and split."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1b",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.0",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "8k",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = 9000
+        contract = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 500)
+        s = spark.range(n).select(
+            F.struct(F.concat_ws("-", F.lit("p"), contract, F.col("id") % 4).alias("assessmentPeriodId"), F.concat(F.lit("k"), contract).alias("contractId")).alias("assessmentPeriod"),
+            F.col("id").cast("string").alias("takeHomePay"),
+        )
+        k = spark.range(600).select(
+            F.struct(F.concat(F.lit("k"), F.col("id")).alias("contractId")).alias("_id"),
+            F.array(F.concat(F.lit("c"), F.col("id") % 7)).alias("people"),
+            F.lit(None).cast("int").alias("closedDate"),
+            F.struct(F.lit(None).cast("int").alias("suspensionDate")).alias("claimSuspension"),
+            F.transform(F.array(*[F.lit(i) for i in range(4)]), lambda i: F.struct(F.concat_ws("-", F.lit("p"), F.col("id"), i).alias("assessmentPeriodId"), (i + 1).alias("startDate"), (i + 2).alias("endDate"))).alias("assessmentPeriods"),
+        )
+        c = spark.range(8).select(F.struct(F.concat(F.lit("c"), F.col("id")).alias("citizenId")).alias("_id"), F.col("id").cast("string").alias("nino"))
+        awards = claimants.claimant_award_join(c, k, s, F.lit(20240101))
+        got = awards.groupBy("found", F.col("contractId") == "k0", F.col("takeHomePay").isNull()).count().collect()
+        tally = {tuple(r[:3]): r[3] for r in got}
+        # contracts 500..599 have no statement, claimant 7 has no contract
+        hot = sum(1 for i in range(n) if i % 3 == 0 or i % 500 == 0)
+        assert tally == {(True, True, False): hot, (True, False, False): n - hot, (True, False, True): 100, (False, None, True): 1}
+        assert awards.where("startDate is null and takeHomePay is not null").count() == 0
+    finally:
+        for key, v in old.items():
+            spark.conf.unset(key) if v is None else spark.conf.set(key, v)
+
+
 def test_path_depths(spark):
     paths = ["a/DB.db/t/f", "a/DB/t/d=1/f", "a/b/DB.db/t_$folder$", "x/y", "a/other/t/f", "DB/DB/t/f"]
     df = spark.createDataFrame([(p,) for p in paths], "path string")
