@@ -25,6 +25,7 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str = "row_no")
     Rows are range-partitioned by (group, order), written once, numbered inside
     each slice and shifted by the sizes of the earlier slices.  Only the
     slice sizes (one row per slice and group) pass through a single window.
+    ``order`` should tell rows apart: equal rows always share a slice.
     """
     sliced = materialise(
         df.repartitionByRange(group, *order).withColumn("slice", F.spark_partition_id()), "numbered"

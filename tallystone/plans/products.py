@@ -159,7 +159,7 @@ def _(spark, sf_dir):
        from orders""",
 )
 def _(spark, sf_dir):
-    o = b.table(spark, sf_dir, "orders")
+    o = b.spread(b.table(spark, sf_dir, "orders"))
     day = dates.date_to_int(F.col("o_orderdate").cast("date"))
     docs = o.select(
         F.struct(F.concat(F.lit("k-"), F.col("o_orderkey")).alias("contractId")).alias("_id"),

@@ -48,6 +48,8 @@ def test_lower_case_keys_and_null_texts(spark):
     plain = spark.createDataFrame([('{"a":null,"b":"x"}',)], "t string")
     assert plain.select(products.nulls_as_text(F.col("t"))).first()[0] == '{"a":"null","b":"x"}'
     tricky = json.loads(df.select(products.nulls_as_text(F.col("t"))).first()[0])
+    both = json.loads(df.select(products.lower_keys_and_fill_nulls(F.col("t"))).first()[0])
+    assert both == {**lowered, "middlename": "null", "list": ["null", 1]}
     assert tricky["note"] == 'Say "Key": null, ok' and tricky["middleName"] == "null" and tricky["list"] == ["null", 1]
 
 
