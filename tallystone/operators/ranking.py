@@ -33,12 +33,16 @@ def numbered(df: DataFrame, group: str, order: list[str], name: str = "row_no")
     sizes = sliced.groupBy(group, "slice").agg(F.count("*").alias("slice_rows"))
     before = W.partitionBy(group).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     offsets = sizes.select(
-        group, "slice", F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("shift")
+        F.col(group).alias("_group"),
+        F.col("slice").alias("_slice"),
+        F.coalesce(F.sum("slice_rows").over(before), F.lit(0)).alias("shift"),
     )
+    # null-safe, so rows without a group are numbered like any other
+    same = F.col(group).eqNullSafe(F.col("_group")) & (F.col("slice") == F.col("_slice"))
     within = F.row_number().over(W.partitionBy(group, "slice").orderBy(*order))
     return (
         sliced.withColumn("within", within)
-        .join(offsets, [group, "slice"])
+        .join(offsets, same)
         .withColumn(name, F.col("within") + F.col("shift"))
-        .drop("slice", "within", "shift")
+        .drop("slice", "within", "shift", "_group", "_slice")
     )

@@ -81,7 +81,7 @@ def path_candidates(path: Column) -> Column:
 
 
 def path_to_db_table(paths: DataFrame, databases: DataFrame) -> DataFrame:
-    """Database and table named by each path; NULLs when no known database is in it.
+    """Database and table named by each distinct path; NULLs when no known database is in it.
 
     ``paths``: ``path``; ``databases``: distinct ``db``.  Each path offers three
     candidates; the nearest known one wins, picked by an aggregate on the path.

@@ -144,6 +144,12 @@ def test_row_numbers_with_a_dominant_group(spark):
     assert got == want
 
 
+def test_rows_without_a_group_are_numbered(spark):
+    df = spark.createDataFrame([(None, 2), (None, 1), ("a", 5)], "g string, v int")
+    got = {(r.g, r.v): r.row_no for r in ranking.numbered(df, "g", ["v"]).collect()}
+    assert got == {(None, 1): 1, (None, 2): 2, ("a", 5): 1}
+
+
 def test_top_n_limits_before_the_shuffle(spark):
     df = spark.range(1000).select((F.col("id") % 3).alias("g"), F.col("id").alias("v"))
     top = ranking.top_n_per_group(df, ["g"], [F.desc("v")], 4)
