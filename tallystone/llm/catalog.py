@@ -1,8 +1,10 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import sharding, urls, warc
+from tallystone.llm import packing, sharding, tokenfile, urls, warc
 
 QUERIES = {
+    "op2_packing": packing.query,
+    "op3_token_files": tokenfile.query,
     "op8_warc": warc.query,
     "op9_sharding": sharding.query,
     "op10_url_filters": urls.query,
