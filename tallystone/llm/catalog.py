@@ -1,8 +1,10 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import packing, sharding, tokenfile, urls, warc
+from tallystone.llm import ledger, packing, quality, sharding, tokenfile, urls, warc
 
 QUERIES = {
+    "op4_secrets": ledger.query,
+    "op5_quality": quality.query,
     "op2_packing": packing.query,
     "op3_token_files": tokenfile.query,
     "op8_warc": warc.query,
