@@ -1,12 +1,13 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import ledger, packing, quality, sharding, tokenfile, urls, warc
+from tallystone.llm import jaccard, ledger, packing, quality, sharding, tokenfile, urls, warc
 
 QUERIES = {
     "op4_secrets": ledger.query,
     "op5_quality": quality.query,
     "op2_packing": packing.query,
     "op3_token_files": tokenfile.query,
+    "op6_jaccard_join": jaccard.query,
     "op8_warc": warc.query,
     "op9_sharding": sharding.query,
     "op10_url_filters": urls.query,
