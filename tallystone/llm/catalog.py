@@ -1,6 +1,6 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import jaccard, ledger, packing, quality, sharding, tokenfile, urls, warc
+from tallystone.llm import decontaminate, jaccard, ledger, packing, quality, sharding, tokenfile, urls, warc
 
 QUERIES = {
     "op4_secrets": ledger.query,
@@ -8,11 +8,13 @@ QUERIES = {
     "op2_packing": packing.query,
     "op3_token_files": tokenfile.query,
     "op6_jaccard_join": jaccard.query,
+    "op7_decontamination": decontaminate.query,
     "op8_warc": warc.query,
     "op9_sharding": sharding.query,
     "op10_url_filters": urls.query,
 }
 ORACLES = {
+    "op7_decontamination": decontaminate.SQL,
     "op8_warc": warc.SQL,
     "op10_url_filters": urls.SQL,
 }
