@@ -1,8 +1,9 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import decontaminate, jaccard, ledger, packing, quality, sharding, tokenfile, urls, warc
+from tallystone.llm import decontaminate, jaccard, ledger, packing, quality, sharding, substrings, tokenfile, urls, warc
 
 QUERIES = {
+    "op1_suffix_dedup": substrings.query,
     "op4_secrets": ledger.query,
     "op5_quality": quality.query,
     "op2_packing": packing.query,

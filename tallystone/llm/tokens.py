@@ -18,7 +18,7 @@ from tallystone.llm.common import process_cache
 _WIDE = "\x85\xa0  -     　"  # white space beyond ASCII
 _RUN = re.compile(f"[\t\r\x0b\x0c\x00{_WIDE}]|[ \n][ \n]|<\\|")
 _ODD = re.compile("[\x00\x1c-\x1f~]|<\\|")
-KEEP = 400_000  # pieces a worker remembers; beyond that it starts anew
+KEEP = 600_000  # pieces a worker remembers; beyond that only the often used ones stay
 
 
 def vocabulary(name: str) -> str:
@@ -46,12 +46,21 @@ class Encoder:
             self.bytes_of = np.zeros(max(i for _, i in by_id) + 1, np.int64)
             self.bytes_of[[i for _, i in by_id]] = [len(w) for w, _ in by_id]
         self.known: dict[str, int] = {}
-        self._restart()
-
-    def _restart(self):
-        self.known.clear()
         self.ids, self.used, self.rows = np.zeros(0, np.uint32), 0, 0
-        self.begins, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.begins, self.counts, self.hits = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _forget(self):
+        """Keep the pieces used most, half of what may be kept at most."""
+        hits = self.hits[: self.rows]
+        least = max(2, int(np.partition(hits, -(KEEP // 2))[-(KEEP // 2)]) + 1)
+        keep = hits >= least
+        pieces = [p for p, k in zip(self.known, keep, strict=True) if k]
+        begins, counts = self.begins[: self.rows][keep], self.counts[: self.rows][keep]
+        ends = np.cumsum(counts)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - counts), counts)
+        self.ids, self.used, self.rows = self.ids[at], len(at), len(pieces)
+        self.begins, self.counts, self.hits = ends - counts, counts, hits[keep]
+        self.known = dict(zip(pieces, range(len(pieces)), strict=True))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -67,7 +76,7 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> None:
         if self.word_ends:
-            ids = np.array(self.tok.encode(" ~ ".join(pieces), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast([" ~ ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             edges = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]])
             begins, counts = edges[:-1] + 1, np.diff(edges) - 1
         else:
@@ -75,7 +84,7 @@ class Encoder:
             blank = [p for p in pieces if p in ("", "\n")]
             pieces = [p for p in pieces if p not in ("", "\n")]
             real = [("\n" + p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p) for p in pieces]
-            ids = np.array(self.tok.encode("".join(real), add_special_tokens=False).ids, np.uint32)
+            ids = np.array(self.tok.encode_batch_fast(["".join(real)], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(r.encode()) for r in real]), "right")
             first = np.array([p[0] == "\x00" for p in pieces], np.int64)
             begins = np.concatenate([[0], ends])[:-1] + first
@@ -91,7 +100,7 @@ class Encoder:
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need, np.uint32)])
         if rows > len(self.begins):
             grow = np.zeros(2 * rows, np.int64)
-            self.begins, self.counts = np.concatenate([self.begins[: self.rows], grow]), np.concatenate([self.counts[: self.rows], grow])
+            self.begins, self.counts, self.hits = (np.concatenate([x[: self.rows], grow]) for x in (self.begins, self.counts, self.hits))
         self.ids[self.used : need] = ids
         self.begins[self.rows : rows], self.counts[self.rows : rows] = self.used + begins, counts
         self.known.update(zip(pieces, range(self.rows, rows), strict=True))
@@ -114,7 +123,7 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.rows > KEEP:
-            self._restart()
+            self._forget()
         split = [self._pieces(t) for t in texts]
         odd = [i for i, p in enumerate(split) if p is None]
         flat: list[str] = []
@@ -124,6 +133,7 @@ class Encoder:
         if missing:
             self._learn(missing)
         codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.hits[: self.rows] += np.bincount(codes, minlength=self.rows)
         lengths = self.counts[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0

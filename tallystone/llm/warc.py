@@ -135,7 +135,8 @@ def read_archives(index: DataFrame, gap: int = 64 << 10, most: int = 8 << 20) ->
     read at once, up to ``most`` bytes a read (a longer record is read alone).
     """
     spark = index.sparkSession
-    ranges = index.select("path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    files = max(1, index.select("path").distinct().count())  # a task per file: the index is small, what it points to is not
+    ranges = index.select("path", "offset", "length").repartition(files, "path").sortWithinPartitions("path", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])

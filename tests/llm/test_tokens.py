@@ -91,3 +91,14 @@ def test_neighbours_by_score():
     tails = [np.array(x, np.uint32) for x in ([1, 2, 3, 4, 5, 6], [70, 71, 72, 73], [1, 2, 3, 9], [80, 81, 82])]
     first = packing.fill(tails, 10)[0]
     assert [i for i, _, _ in first] == [0, 2]
+
+
+def test_a_full_memory_keeps_the_ids_right(monkeypatch):
+    from tallystone.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEEP", 50)
+    enc = Encoder(vocabulary("byte_bpe_50k.json"))
+    for turn in range(6):
+        texts = [f"often used words {turn} and {turn * 7 + i} once\nnext" for i in range(40)]
+        ids, at = enc.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [enc.tok.encode(t).ids for t in texts]
