@@ -35,7 +35,7 @@ from tallystone.session import materialise
 BINS = 16
 PACKED = "kind int, batch long, bucket long, keys binary, docs binary, heavy_keys binary, heavy_counts binary, heavy_first long"
 REPLY = "batch long, kind int, keys binary, docs binary, heavy_keys binary, heavy_counts binary, heavy_first long"
-SETS = "rid long, doc_id long, n long, sig1 long, sig2 long, shared long, tokens binary, bins binary"
+SETS = "rid long, doc_id long, digest long, n long, sig1 long, sig2 long, shared long, tokens binary, bins binary"
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,7 +57,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
     """One row per document: rid, doc_id, set size, set digest, and for those that may have
     a partner their shingles of document frequency 2 or more, rare first."""
     spark = docs.sparkSession
-    rows = texts(docs, id_col, text_col)
+    rows = texts(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = buckets_for(2.0 * total, spark, 24 << 20)
 
@@ -68,7 +68,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
         def flush():
             nonlocal seq
             ids = [d for h in held for d in h[0]]
-            sizes = np.concatenate([h[3] for h in held])
+            sizes, digests = (np.concatenate([h[c] for h in held]) for c in (3, 4))
             starts = np.cumsum([0, *[len(h[0]) for h in held]])
             keys = np.concatenate([h[1] for h in held])
             owner = np.concatenate([h[2] + s for h, s in zip(held, starts, strict=False)]).astype(np.uint32)
@@ -97,7 +97,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
             np.add.at(sig2, owner, owned(keys, np.ones(len(keys), np.int64)))
             names = np.array([0 if d is None else d for d in ids], np.int64)
             null = np.array([d is None for d in ids], np.int64)
-            meta = np.concatenate([names, null, sizes.astype(np.int64), sig1.view(np.int64), sig2.view(np.int64)])
+            meta = np.concatenate([names, null, digests, sizes.astype(np.int64), sig1.view(np.int64), sig2.view(np.int64)])
             out.append((1, batch, batch % buckets, meta.tobytes(), owner[at].tobytes(), heavy_keys.tobytes(), heavy_counts.tobytes(), len(ids)))
             seq += 1
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=labels)
@@ -107,7 +107,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
         for batch in sliced(batches, "text", 2 << 20):
             offsets, raw = string_parts(batch.column("text"))
             keys, owner, sizes = shingle_sets(offsets, raw, k)
-            held.append((batch.column("doc_id").to_pylist(), keys, owner, sizes))
+            held.append((batch.column("doc_id").to_pylist(), keys, owner, sizes, batch.column("digest").to_numpy()))
             size += len(raw)
             if size >= batch_bytes or sum(len(h[0]) for h in held) >= 1 << 19:
                 yield flush()
@@ -145,7 +145,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
         meta = frame[frame["kind"] == 1].iloc[0]
         frame = frame[frame["kind"] == 0]
         batch, n_docs = int(meta["batch"]), int(meta["heavy_first"])
-        names, null, sizes, sig1, sig2 = np.frombuffer(meta["keys"], np.int64).reshape(5, n_docs)
+        names, null, digests, sizes, sig1, sig2 = np.frombuffer(meta["keys"], np.int64).reshape(6, n_docs)
         heavy_keys = np.frombuffer(meta["heavy_keys"], np.uint64)
         heavy_df = np.zeros(len(heavy_keys), np.uint32)
         keys, docs, df = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
@@ -173,6 +173,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
             {
                 "rid": (np.int64(batch) << 20) + np.arange(n_docs),
                 "doc_id": pd.array([None if x else d for d, x in zip(names, null, strict=True)], "Int64"),
+                "digest": digests,
                 "n": sizes,
                 "sig1": sig1,
                 "sig2": sig2,
@@ -240,14 +241,15 @@ def _may_link(percent: int):
 
 
 def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 6) -> DataFrame:
-    """rid, doc_id, n_shingles, component_id and ``first`` of every row.
+    """rid, doc_id, digest, n_shingles, component_id and ``first`` of every row.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lowered. Two rows link
     if 100 * shared shingles >= percent * shingles of both. ``component_id`` is the
     smallest doc_id reachable over links (null ids only if there is no other), ``first``
     marks one row per component, that with the smallest doc_id. A null text or one
     without words has no shingles and links with nothing; repeated rows have equal sets
-    and link. ``rid`` numbers the rows. An empty table gives no rows.
+    and link. ``rid`` numbers the
+    rows, ``digest`` is xxhash64 of the text. An empty table gives no rows.
     """
     spark = docs.sparkSession
     finish_steps(spark)
@@ -294,11 +296,11 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         if last:
             break
     comps = members.join(labels.withColumnRenamed("rid", "rep"), "rep").select("rid", "comp")
-    out = sets.select("rid", "doc_id", F.col("n").alias("n_shingles")).join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    out = sets.select("rid", "doc_id", "digest", F.col("n").alias("n_shingles")).join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     out = materialise(out, "component-rows")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "rid"))
     firsts = out.groupBy("comp").agg(least.alias("least")).select("comp", F.col("least.doc_id").alias("component_id"), F.col("least.rid").alias("least"))
-    return out.join(firsts, "comp").select("rid", "doc_id", "n_shingles", "component_id", (F.col("rid") == F.col("least")).alias("first"))
+    return out.join(firsts, "comp").select("rid", "doc_id", "digest", "n_shingles", "component_id", (F.col("rid") == F.col("least")).alias("first"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

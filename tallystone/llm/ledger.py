@@ -15,6 +15,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -67,25 +68,19 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
     return [(kind, start, end) for start, _, end, kind in sorted(out)]
 
 
-def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, blob and ``secrets`` (kind, start, end of every span) of every row; fills ``ledger``.
-
-    A null or empty text is a blob without findings. Every row keeps its id, null ids
-    and repeated rows too; equal texts are scanned once. The distinct blobs are reduced
-    before the shuffle, so a text that a third of all rows hold is sent once per task.
-    """
+def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
+    """Scan what the ledger does not have yet of the texts and rules, and append it."""
     spark = docs.sparkSession
     finish_steps(spark)
-    rows = texts(docs, id_col, text_col).withColumn("blob", F.sha2("text", 256))
+    text = F.coalesce(named(text_col), F.lit(""))
+    # reduced before the shuffle: a text that a third of all rows hold is sent once per task
+    blobs = docs.select(text.alias("text"), F.sha2(text, 256).alias("blob")).groupBy("blob").agg(F.first("text").alias("text"))
     versions = F.array(*[F.lit(r.version) for r in rules])
-    blobs = rows.groupBy("blob").agg(F.first("text").alias("text"))
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(ledger)
-    known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    if known:
+    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         seen = spark.read.parquet(ledger).groupBy("blob").agg(F.flatten(F.collect_set("versions")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left").withColumn("missing", F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>"))))
-        blobs = blobs.filter(F.size("missing") > 0).drop("seen")
+        missing = F.array_except(versions, F.coalesce("seen", F.array().cast("array<string>")))
+        blobs = blobs.join(seen, "blob", "left").withColumn("missing", missing).filter(F.size("missing") > 0).drop("seen")
     else:
         blobs = blobs.withColumn("missing", versions)
     by_version = {r.version: r for r in rules}
@@ -99,14 +94,27 @@ def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col:
                 found.append([{"kind": k, "start": a, "end": b} for k, a, b in find(text, wanted)])
             yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("missing"), pa.array(found, kind)], names=["blob", "versions", "secrets"])
 
-    blobs.mapInArrow(run, f"blob string, versions array<string>, secrets {SPAN}").write.mode("append").parquet(ledger)
+    blobs.select("blob", "text", "missing").mapInArrow(run, f"blob string, versions array<string>, secrets {SPAN}").write.mode("append").parquet(ledger)
+
+
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and ``secrets`` (kind, start, end; by start, then rule) of the blobs with any."""
     kinds = [r.kind for r in rules]
-    found = spark.read.parquet(ledger).withColumn("one", F.explode("secrets")).filter(F.col("one.kind").isin(kinds))
     rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("one.kind"))
+    found = spark.read.parquet(ledger).withColumn("one", F.explode("secrets")).filter(F.col("one.kind").isin(kinds))
     found = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("one.start", rank.alias("rank"), "one.kind", "one.end"))).alias("all"))
-    spans = F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
-    found = found.select("blob", spans.alias("secrets"))
-    out = rows.select("doc_id", "blob").join(found, "blob", "left")
+    return found.select("blob", F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("secrets"))
+
+
+def scan(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, blob and ``secrets`` of every row; fills ``ledger``.
+
+    A null or empty text is a blob without findings. Every row keeps its id, null ids
+    and repeated rows too; equal texts are scanned once. An empty table gives no rows.
+    """
+    record(docs, ledger, rules, text_col)
+    rows = texts(docs, id_col, text_col).select("doc_id", F.sha2("text", 256).alias("blob"))
+    out = rows.join(findings(docs.sparkSession, ledger, rules), "blob", "left")
     return out.select("doc_id", "blob", F.coalesce("secrets", F.array().cast(SPAN)).alias("secrets"))
 
 
@@ -115,23 +123,29 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
-    """The same rows with each secret replaced by ``mark``; overlapping spans give one mark. Null texts stay null."""
+def redact(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text", mark: str = "[secret]") -> DataFrame:
+    """The same rows and columns, each secret of ``text_col`` replaced by ``mark``; fills ``ledger``.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index(text_col)
-            out = []
-            for text in batch.column(at).to_pylist():
-                parts, done = [], 0
-                for _, lo, hi in find(text or "", rules):
-                    if lo >= done:
-                        parts += [text[done:lo], mark]
-                    done = max(done, hi)
-                out.append(text if not parts else "".join(parts) + text[done:])
-            yield batch.set_column(at, text_col, pa.array(out, batch.schema.field(at).type))
-
-    return docs.mapInArrow(run, docs.schema)
+    Overlapping spans give one mark. Texts without secrets, null and empty ones stay as they are.
+    """
+    record(docs, ledger, rules, text_col)
+    name, spans = "secrets of the blob", "array<struct<kind:string,start:int,end:int>>"
+    found = findings(docs.sparkSession, ledger, rules).withColumnRenamed("secrets", name).withColumnRenamed("blob", "blob of the text")
+    rows = docs.join(found, F.sha2(F.coalesce(named(text_col), F.lit("")), 256) == F.col("`blob of the text`"), "left").drop("blob of the text")
+
+    def cut(words: pd.Series, secrets: pd.Series) -> pd.Series:
+        out = []
+        for text, own in zip(words, secrets, strict=True):
+            parts, done = [], 0
+            for s in own if own is not None else ():
+                if s["start"] >= done:
+                    parts += [text[done : s["start"]], mark]
+                done = max(done, s["end"])
+            out.append("".join(parts) + text[done:] if parts else text)
+        return pd.Series(out, dtype=object)
+
+    clean = F.pandas_udf(cut, "string")(named(text_col), F.col(f"`{name}`").cast(spans))
+    return rows.withColumn(text_col, F.when(F.col(f"`{name}`").isNull(), named(text_col)).otherwise(clean)).select(*[named(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,8 @@ def test_no_rows(spark, rows):
     assert ledger.scan(rows([]), scratch_path(spark, "ledger")).count() == 0
 
 
-def test_redact(rows):
-    out = {r.doc_id: r.text for r in ledger.redact(rows([(1, "a password=hunter22 b"), (2, None), (3, "clean")])).collect()}
-    assert out == {1: "a [secret] b", 2: None, 3: "clean"}
+def test_redact(spark, rows):
+    docs = rows([(1, "a password=hunter22 b"), (2, None), (3, "clean"), (4, "token=" + "ab" * 14 + " é"), (5, "a password=hunter22 b")])
+    out = ledger.redact(docs, scratch_path(spark, "ledger"))
+    assert out.columns == docs.columns
+    assert {r.doc_id: r.text for r in out.collect()} == {1: "a [secret] b", 2: None, 3: "clean", 4: "[secret] é", 5: "a [secret] b"}
