@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISO_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSSXX"
+# A year or a day alone is no timestamp.
+ISO_SHAPE = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}\.\d{1,9}(Z|[+-]\d{2}:?\d{2})?$"
 MILLIS_PATTERN = "yyyy-MM-dd'T'HH:mm:ss.SSS"
 
 # Fixed value: version given to records that carry no date at all.
@@ -13,8 +15,8 @@ EPOCH_DEFAULT = "1980-01-01T00:00:00.000+0000"
 
 
 def parse_iso(text: Column) -> Column:
-    """ISO text with a fraction and ``Z``/``+0000``/no suffix to timestamp, else NULL."""
-    return F.try_to_timestamp(text)
+    """ISO text with seconds, a fraction and ``Z``/``+0000``/no suffix to timestamp, else NULL."""
+    return F.when(text.rlike(ISO_SHAPE), F.try_to_timestamp(text))
 
 
 def iso_to_millis(text: Column, minutes: int | Column = 0) -> Column:

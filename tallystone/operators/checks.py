@@ -60,19 +60,27 @@ def declared_schema(columns: dict[str, str]) -> T.StructType:
 def csv_violations(lines: DataFrame, columns: dict[str, str], value: str = "value") -> DataFrame:
     """Violations per file of raw CSV lines: wrong header and rows of another width.
 
-    ``lines`` has ``file, line_no, value``; line 1 is the header.
+    ``lines`` has ``file, line_no, value``; the smallest line number (any type
+    that orders) is the header.
     """
     names = list(columns)
-    header_ok = F.col(value) == ",".join(names)
     # separators inside quoted fields do not count
-    bare = F.regexp_replace(value, r'"(?:[^"]|"")*"', "")
+    bare = F.regexp_replace(value, r'"[^"]*+(?:""[^"]*+)*+"', "")
     width = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    is_header = F.col("line_no") == 1
-    return lines.groupBy("file").agg(
-        F.count_if(~is_header).alias("rows"),
-        F.count_if(is_header & ~header_ok).alias("bad_headers"),
-        F.count_if(~is_header & (width < len(names))).alias("short_rows"),
-        F.count_if(~is_header & (width > len(names))).alias("long_rows"),
+    head = F.min_by(F.struct(F.col(value).alias("text"), width.alias("width")), "line_no")
+    counted = lines.groupBy("file").agg(
+        F.count("*").alias("n"),
+        F.count_if(width < len(names)).alias("short"),
+        F.count_if(width > len(names)).alias("long"),
+        head.alias("head"),
+    )
+    one = lambda test: test.cast("int")
+    return counted.select(
+        "file",
+        (F.col("n") - 1).alias("rows"),
+        one(F.col("head.text") != ",".join(names)).cast("long").alias("bad_headers"),
+        (F.col("short") - one(F.col("head.width") < len(names))).alias("short_rows"),
+        (F.col("long") - one(F.col("head.width") > len(names))).alias("long_rows"),
     ).withColumn(
         "accepted",
         (F.col("bad_headers") == 0) & (F.col("short_rows") == 0) & (F.col("long_rows") == 0),
@@ -80,8 +88,12 @@ def csv_violations(lines: DataFrame, columns: dict[str, str], value: str = "valu
 
 
 def read_csv_strict(spark, path: str, columns: dict[str, str]) -> DataFrame:
-    """Read declared-column CSV; a wrong header or a row of another width fails the job."""
-    return spark.read.csv(
+    """Read declared-column CSV; a wrong header or a row of another width fails the job.
+
+    Columns are not pruned in the parser, so a count or a narrow select sees a
+    broken row as a full read does.
+    """
+    return spark.read.option("columnPruning", "false").csv(
         path,
         schema=declared_schema(columns),
         header=True,

@@ -64,10 +64,11 @@ def snapshot_containment(expected: DataFrame, actual: DataFrame, column: str = "
 
     Records are matched on the SHA-256 digest of their canonical text.  Actual
     records cross the shuffle as digests only; expected ones bring their text
-    along, so neither side is read twice.
+    along, so neither side is read twice.  Text that is no JSON is compared as
+    it stands.
     """
     digest = F.unhex(F.sha2("text", 256)).alias("digest")
-    side = lambda df: df.select(canonical_json(F.col(column)).alias("text"))
+    side = lambda df: df.select(F.coalesce(canonical_json(F.col(column)), F.col(column)).alias("text"))
     nothing = F.lit(None).cast("string").alias("text")
     both = side(expected).select(digest, "text", F.lit(False).alias("stored")).union(
         side(actual).select(digest, nothing, F.lit(True).alias("stored"))
@@ -105,12 +106,19 @@ def dlq_not_in_store(dlq: DataFrame, store: DataFrame, metadata: DataFrame) -> D
     """Dead letters found in neither the store nor the metadata (all should be).
 
     ``dlq``: ``topic, key, sequence``; ``store``: ``topic, id, version`` rows;
-    ``metadata``: ``topic_name, hbase_id``.
+    ``metadata``: ``topic_name, hbase_id``, both with ``sequence``.  A letter without
+    a key is compared by its NULL key.
     """
     stored = store.select("topic", F.col("id").alias("key"), "sequence").distinct()
     noted = metadata.select(F.col("topic_name").alias("topic"), F.col("hbase_id").alias("key"), "sequence").distinct()
-    on = ["topic", "key", "sequence"]
-    return dlq.join(stored, on, "left_anti").join(noted, on, "left_anti")
+    names = ["topic", "key", "sequence"]
+
+    def absent(letters, held):
+        held = held.toDF(*[f"held_{n}" for n in names])
+        same = [letters[n].eqNullSafe(F.col(f"held_{n}")) for n in names]
+        return letters.join(held, same, "left_anti")
+
+    return absent(absent(dlq, stored), noted)
 
 
 def metadata_lookup(metadata: DataFrame, id_like: str | Column, topic: str | Column, timestamp: Column | None = None) -> DataFrame:

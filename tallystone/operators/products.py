@@ -38,6 +38,7 @@ def obligation_flatten(documents: DataFrame) -> DataFrame:
     ).select("*", F.explode_outer("referrals").alias("referral")).drop("referrals")
 
 
+# The amounts of a statement.
 STATEMENT_AMOUNTS = (
     "standardAllowanceElement", "housingElement", "housingElementRent", "housingElementServiceCharges",
     "childElement", "disabledChildElement", "childcareElement", "carerElement", "takeHomePay",
@@ -49,11 +50,13 @@ STATEMENT_AMOUNTS = (
 def statement_fact(statements: DataFrame) -> DataFrame:
     """Newest version of each statement as a flat row, marked ``LATEST``.
 
-    Amounts stay text.  ``statements`` has ``id`` (statement id), ``version``,
+    Amounts stay text; all are in the result, NULL where the input has no such
+    column.  ``statements`` has ``id`` (statement id), ``version``,
     ``sequence`` and the nested document columns.
     """
     newest = latest_version_per_id(statements, ["id"], ["version", "sequence"])
-    amounts = [F.col(c).alias(c.lower()) for c in STATEMENT_AMOUNTS if c in newest.columns]
+    held = set(newest.columns)
+    amounts = [(F.col(c) if c in held else F.lit(None).cast("string")).alias(c.lower()) for c in STATEMENT_AMOUNTS]
     period = F.col("assessmentPeriod")
     day = lambda name: dates.int_to_date(period[name])
     return newest.select(
@@ -81,12 +84,14 @@ def _json_pieces(text: Column) -> Column:
     """JSON text cut into keys (with their colon), strings and everything between.
 
     Strings are matched whole, so a colon, quote or word inside a value is never
-    taken for structure.
+    taken for structure.  The pattern is unrolled and possessive: the matcher
+    keeps no state per character, however long the string.
     """
-    return F.regexp_extract_all(text, F.lit(r'"(?:[^"\\]|\\.)*"\s*:|"(?:[^"\\]|\\.)*"|[^"]+'), F.lit(0))
+    string = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+    return F.regexp_extract_all(text, F.lit(rf"(?s){string}\s*+:|{string}|[^\"]++"), F.lit(0))
 
 
-_IS_KEY = r'^".*"\s*:$'
+_IS_KEY = r'(?s)^".*"\s*:$'
 
 
 def _lower_key(piece: Column) -> Column:

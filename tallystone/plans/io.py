@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallystone.operators import envelope
@@ -10,7 +13,7 @@ from tallystone.plans import bindings as b
 from tallystone.plans import cdc
 from tallystone.plans.recon import BASE_SQL, sides
 from tallystone.plans.registry import query
-from tallystone.session import scratch_path
+from tallystone.session import materialise, scratch_path
 from tallystone.sources import generate, kafka, readers, sinks, tables
 from tallystone.streaming import ingest
 
@@ -78,12 +81,24 @@ def _(spark, sf_dir):
 
 @query(
     "scan_corrupt_gzip",
-    "select event_type as coll, count(*) as lines from events group by 1",
+    "select event_type as coll, count(*) as lines, true as damage_fails from events group by 1",
 )
 def _(spark, sf_dir):
-    # strict read: a damaged archive raises instead of losing its lines (see tests)
-    lines = readers.scan_jsonl_partitioned(spark, _daily_folder(spark, sf_dir))
-    return lines.groupBy("coll").agg(F.count("*").alias("lines"))
+    # the same folder with one archive that breaks off: a strict read of it must raise, not lose lines
+    path = _daily_folder(spark, sf_dir)
+    broken = f"{path}/y=1999/m=01/d=01/db=events/coll=broken"
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path(f"{broken}/part-0.txt.gz")
+    lines = readers.scan_jsonl_partitioned(spark, path).groupBy("coll").agg(F.count("*").alias("lines"))
+    good = materialise(lines, "lines")
+    out = fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).create(fs_path)
+    out.write(bytearray(b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03cut off"))
+    out.close()
+    try:
+        readers.scan_jsonl_partitioned(spark, path).write.format("noop").mode("overwrite").save()
+        fails = False
+    except Exception as problem:  # noqa: BLE001
+        fails = "EOF" in str(problem) or "gzip" in str(problem).lower() or "FAILED_READ_FILE" in str(problem)
+    return good.select("coll", "lines", F.lit(fails).alias("damage_fails"))
 
 
 @query(
@@ -147,10 +162,21 @@ def _(spark, sf_dir):
     return files.groupBy(coll.alias("coll")).agg(F.count_distinct(folder).alias("folders"))
 
 
-@query("prefix_size_and_count", "select true as has_bytes, true as exists")
+@query(
+    "prefix_size_and_count",
+    "select event_type as coll, cast(sum(strlen(props) + 1) as bigint) as total_bytes, true as exists from events group by 1",
+)
 def _(spark, sf_dir):
-    totals = readers.prefix_size_and_count(_listing(spark, sf_dir))
-    return totals.select((F.col("total_bytes") > F.col("files")).alias("has_bytes"), "exists")
+    # plain text lines, so the bytes under each prefix are those of the rows
+    path = scratch_path(spark, "sizes")
+    e = b.table(spark, sf_dir, "events")
+    e.select("props", F.col("event_type").alias("coll")).write.partitionBy("coll").option("compression", "none").text(path)
+    kinds = [r.coll for r in e.select(F.col("event_type").alias("coll")).distinct().collect()]  # one prefix per event type
+    parts = [
+        readers.prefix_size_and_count(readers.file_listing(spark, f"{path}/coll={kind}")).select(F.lit(kind).alias("coll"), "total_bytes", "exists")
+        for kind in kinds
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -232,10 +258,14 @@ def _(spark, sf_dir):
 
 @query(
     "generate_claimants",
-    """with s as (select c_custkey, greatest(c_custkey % 3, 1) as n, case when c_custkey % 2 = 0 then 2 else 1 end as people from customer)
-       select 'claimants' as kind, cast(sum(n * people) as bigint) as documents from s
-       union all select 'contracts', cast(sum(n) as bigint) from s
-       union all select 'statements', cast(sum(n * 2) as bigint) from s""",
+    """with s as (select c_custkey, unnest(range(greatest(c_custkey % 3, 1))) from customer),
+       p as (select *, unnest([0, 1]) as i from s)
+       select 'contract' as kind, case when c_custkey % 2 = 0 then 2 else 1 end as people,
+         case when c_custkey % 5 = 0 then 20240329 end as closed, case when c_custkey % 7 = 0 then 20240330 end as suspended,
+         cast(null as varchar) as pay, cast(null as integer) as starts, cast(null as integer) as ends, count(*) as documents from s group by all
+       union all select 'claimant', null, null, null, null, null, null, cast(sum(case when c_custkey % 2 = 0 then 2 else 1 end) as bigint) from s
+       union all select 'statement', null, null, null, case i when 0 then '601.88' else '433.32' end,
+         case i when 0 then 20231228 else 20240128 end, case i when 0 then 20240127 else 20240227 end, count(*) from p group by all""",
 )
 def _(spark, sf_dir):
     k = F.col("c_custkey")
@@ -249,8 +279,17 @@ def _(spark, sf_dir):
         F.array(period(-3, -2, "601.88"), period(-2, -1, "433.32")).alias("assessment_periods"),
     )
     made = generate.generate_claimants(scenarios, F.lit("2024-03-31").cast("date"))
-    tallies = [df.agg(F.count("*").alias("documents")).select(F.lit(n).alias("kind"), "documents") for n, df in made.items()]
-    return tallies[0].unionByName(tallies[1]).unionByName(tallies[2])
+    none = F.lit(None).cast("int")
+    count = F.count("*").alias("documents")
+    contracts = made["contracts"].groupBy(
+        F.size("people").alias("people"), F.col("closedDate").alias("closed"), F.col("claimSuspension.suspensionDate").alias("suspended")
+    ).agg(count).select(F.lit("contract").alias("kind"), "*", F.lit(None).cast("string").alias("pay"), none.alias("starts"), none.alias("ends"))
+    people = made["claimants"].agg(count).select(F.lit("claimant").alias("kind"), "documents")
+    # a period's dates: days first, months second
+    paid = made["statements"].groupBy(
+        F.col("takeHomePay").alias("pay"), F.col("assessmentPeriod.startDate").alias("starts"), F.col("assessmentPeriod.endDate").alias("ends")
+    ).agg(count).select(F.lit("statement").alias("kind"), "*")
+    return contracts.unionByName(people, allowMissingColumns=True).unionByName(paid, allowMissingColumns=True)
 
 
 # --- streaming ------------------------------------------------------------

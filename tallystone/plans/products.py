@@ -8,7 +8,8 @@ from tallystone.functions import dates
 from tallystone.operators import checks, claimants, products, versions
 from tallystone.plans import bindings as b
 from tallystone.plans.registry import query
-from tallystone.session import scratch_path
+from tallystone.session import materialise, scratch_path
+from tallystone.sources import readers
 
 TODAY = 19990101
 FROM_DATE, TO_DATE = 19980315, 19990630
@@ -76,7 +77,7 @@ def _obligations(spark, sf_dir):
         lambda i: F.concat(F.lit(word), i.cast("string")),
     )
     stamp = F.concat(F.date_format("o_orderdate", dates.MILLIS_PATTERN), F.lit("Z"))
-    return b.spread(b.table(spark, sf_dir, "orders")).select(
+    return b.table(spark, sf_dir, "orders").select(
         F.struct(F.concat(F.lit("y-"), k).alias("youthObligationDetailsId")).alias("_id"),
         F.concat(F.lit("c-"), F.col("o_custkey")).alias("claimantId"),
         F.col("o_orderstatus").alias("youthObligationStatus"),
@@ -104,8 +105,7 @@ def _(spark, sf_dir):
 def _statement_versions(spark, sf_dir):
     """Every line item as a version of the statement of its order."""
     month = F.trunc(F.col("l_shipdate").cast("date"), "month")
-    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
-    return b.spread(b.table(spark, sf_dir, "lineitem")).select(
+    return b.table(spark, sf_dir, "lineitem").select(
         F.concat(F.lit("s-"), F.col("l_orderkey")).alias("id"),
         F.unix_millis("l_shipdate").alias("version"),
         F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("sequence"),
@@ -115,23 +115,26 @@ def _statement_versions(spark, sf_dir):
             dates.date_to_int(month).alias("startDate"),
             dates.date_to_int(F.last_day(month)).alias("endDate"),
         ).alias("assessmentPeriod"),
-        money("l_extendedprice").alias("takeHomePay"),
-        money("l_quantity").alias("totalPayment"),
+        *[(F.col("l_extendedprice") + i).cast("decimal(18,2)").cast("string").alias(c) for i, c in enumerate(products.STATEMENT_AMOUNTS)],
     )
 
 
+_AMOUNT_NAMES = ", ".join(c.lower() for c in products.STATEMENT_AMOUNTS)
+_AMOUNT_SQL = ", ".join(f"cast(cast(l_extendedprice + {i} as decimal(18,2)) as varchar) as {c.lower()}" for i, c in enumerate(products.STATEMENT_AMOUNTS))
+
+
 @query(
     "product_statement_fact",
-    """select statement_id, contract_id, assessment_period_id, takehomepay, totalpayment, period_start, period_end, version,
-         last_modified_ts, last_modified_date, latest_marker from (
+    f"""select * exclude rn from (select statement_id, contract_id, assessment_period_id, {_AMOUNT_NAMES}, period_start, period_end, version,
+         last_modified_ts, last_modified_date, latest_marker, rn from (
          select 's-' || l_orderkey as statement_id, 'k-' || l_orderkey as contract_id,
            'ap-' || l_orderkey || '-' || l_linenumber as assessment_period_id,
-           cast(cast(l_extendedprice as decimal(18,2)) as varchar) as takehomepay, cast(cast(l_quantity as decimal(18,2)) as varchar) as totalpayment,
+           {_AMOUNT_SQL},
            cast(date_trunc('month', l_shipdate) as date) as period_start, last_day(l_shipdate) as period_end,
            epoch_us(l_shipdate) // 1000 as version, l_shipdate as last_modified_ts, cast(l_shipdate as date) as last_modified_date,
            'LATEST' as latest_marker,
            row_number() over (partition by l_orderkey order by l_shipdate desc, l_linenumber desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) rn
-         from lineitem) where rn = 1""",
+         from lineitem)) where rn = 1""",
 )
 def _(spark, sf_dir):
     return products.statement_fact(_statement_versions(spark, sf_dir))
@@ -159,7 +162,7 @@ def _(spark, sf_dir):
        from orders""",
 )
 def _(spark, sf_dir):
-    o = b.spread(b.table(spark, sf_dir, "orders"))
+    o = b.table(spark, sf_dir, "orders")
     day = dates.date_to_int(F.col("o_orderdate").cast("date"))
     docs = o.select(
         F.struct(F.concat(F.lit("k-"), F.col("o_orderkey")).alias("contractId")).alias("_id"),
@@ -225,19 +228,18 @@ def _csv_lines(spark, sf_dir):
     ).otherwise(
         F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", "p_brand", F.col("p_size").cast("string"))
     )
-    rows = p.select(
-        F.col("p_brand").alias("file"), (F.col("p_partkey") + 2).alias("line_no"), cells.alias("value")
-    )
-    headers = (
-        p.select(F.col("p_brand").alias("file")).distinct()
-        .select(
-            "file",
-            F.lit(1).cast("long").alias("line_no"),
-            F.when(F.col("file") == "Brand#3", "p_partkey,p_title,p_brand,p_size")
-            .otherwise(",".join(PART_COLUMNS)).alias("value"),
-        )
+    rows = p.select(F.col("p_brand").alias("brand"), (F.col("p_partkey") + 2).alias("line_no"), cells.alias("value"))
+    headers = p.select(F.col("p_brand").alias("brand")).distinct().select(
+        "brand",
+        F.lit(1).cast("long").alias("line_no"),
+        F.when(F.col("brand") == "Brand#3", "p_partkey,p_title,p_brand,p_size").otherwise(",".join(PART_COLUMNS)).alias("value"),
     )
-    return rows.unionByName(headers)
+    path = scratch_path(spark, "csv")
+    # one file per brand, as such deliveries come, with its header first
+    files = rows.unionByName(headers).repartition("brand").sortWithinPartitions("brand", "line_no")
+    files.select("brand", "value").write.partitionBy("brand").text(path)
+    # folder names are escaped once by the writer and once in the file's URI
+    return readers.csv_lines(spark, path).withColumn("file", F.url_decode(F.url_decode(F.regexp_extract("file", "brand=([^/]*)", 1))))
 
 
 @query(
@@ -258,7 +260,9 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     p = b.table(spark, sf_dir, "part").select(*PART_COLUMNS)
-    loaded = p.withColumn("load_date", F.lit("2024-01-01"))
+    path = scratch_path(spark, "loaded")
+    p.withColumn("load_date", F.lit("2024-01-01")).write.partitionBy("load_date").parquet(path)
+    loaded = spark.read.parquet(path)
     return checks.table_shape_check(loaded, list(PART_COLUMNS), p.agg(F.count("*").alias("expected")))
 
 
@@ -362,11 +366,15 @@ def _(spark, sf_dir):
 
 @query(
     "file_count_check",
-    """with f as (select event_type as topic, count(distinct user_id) as n from events group by 1)
-       select topic, n as files, cast(150 as bigint) as wanted, n = 150 as passed from f""",
+    """with f as (select event_type as topic, count(distinct user_id % 5) as n from events group by 1)
+       select topic, n as files, cast(5 + length(topic) % 2 as bigint) as wanted, n = 5 + length(topic) % 2 as passed from f""",
 )
 def _(spark, sf_dir):
-    # one file per user and event type
-    files = b.table(spark, sf_dir, "events").select(F.col("event_type").alias("topic"), "user_id").distinct()
-    wanted = files.select("topic").distinct().withColumn("wanted", F.lit(150).cast("long"))
+    # one file per event type and fifth of the users; topics with a name of odd length lack one
+    path = scratch_path(spark, "exports")
+    e = b.table(spark, sf_dir, "events").select("event_id", "props", F.col("event_type").alias("topic"), (F.col("user_id") % 5).alias("part"))
+    e.repartition("topic", "part").write.partitionBy("topic", "part").parquet(path)
+    listed = readers.file_listing(spark, path, r".*/topic=[^/]+/part=\d/part-[^/]+\.parquet")
+    files = listed.select(F.regexp_extract("path", "/topic=([^/]+)/", 1).alias("topic"))
+    wanted = e.select("topic").distinct().withColumn("wanted", (5 + F.length("topic") % 2).cast("long"))
     return checks.file_count_check(files, wanted)

@@ -191,10 +191,23 @@ def _(spark, sf_dir):
     )
 
 
-@query("hash_identifier")
+@query(
+    "hash_identifier",
+    """select c_mktsegment, count(*) as customers, count(distinct c_name) as different, true as well_formed, false as salt_ignored
+       from (select c_mktsegment, c_name from customer union all select c_mktsegment, c_name from customer) group by 1""",
+)
 def _(spark, sf_dir):
-    c = b.table(spark, sf_dir, "customer")
-    return c.select("c_custkey", secrets.hash_identifier(F.col("c_name"), "salt").alias("hashed"))
+    # every name twice: equal names must give equal hashes and different ones different hashes
+    c = b.table(spark, sf_dir, "customer").select("c_mktsegment", "c_name")
+    hashed = c.unionByName(c).select(
+        "c_mktsegment", secrets.hash_identifier(F.col("c_name"), "salt").alias("h"), secrets.hash_identifier(F.col("c_name"), "other").alias("o")
+    )
+    return hashed.groupBy("c_mktsegment").agg(
+        F.count("*").alias("customers"),
+        F.count_distinct("h").alias("different"),
+        F.bool_and(F.col("h").rlike("^[A-Za-z0-9_-]{86}==$")).alias("well_formed"),
+        F.bool_or(F.col("h") == F.col("o")).alias("salt_ignored"),
+    )
 
 
 @query(
@@ -240,7 +253,7 @@ def _(spark, sf_dir):
 
 def _paths(spark, sf_dir):
     """Object paths naming a region as database and a nation as table, in several depths."""
-    e = b.spread(b.table(spark, sf_dir, "events"))
+    e = b.table(spark, sf_dir, "events")
     n = b.table(spark, sf_dir, "nation").join(
         b.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
     )

@@ -20,11 +20,21 @@ def scan_manifest_csv(spark: SparkSession, path: str) -> DataFrame:
     Quoted fields are unescaped; unquoted fields keep their doubled quotes.
     The schema is fixed, so nothing is inferred by an extra pass.
     """
-    return spark.read.csv(
+    return spark.read.option("columnPruning", "false").csv(
         path, schema=MANIFEST_SCHEMA, sep="|", quote='"', escape='"', header=False, mode="FAILFAST"
     )
 
 
+def csv_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Raw lines of CSV files: ``file, line_no, value``.
+
+    ``line_no`` orders the lines of a file's first block and puts them before
+    all later blocks, which is all that finding the header needs.
+    """
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), "value")
+
+
 def scan_jsonl_partitioned(spark: SparkSession, path: str) -> DataFrame:
     """Gzip JSON lines below ``y=/m=/d=/db=/coll=`` folders, with a ``day`` column.
 

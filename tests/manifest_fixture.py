@@ -16,9 +16,9 @@ IMPORT_1 = r'''
 {""id"": ""5""}|1573809422000|dbone|collectionfive|import|HDI|{""id"": ""5""}|test_update
 {""importonlyid"": ""5""}|1573809420000|dbone|collectionfive|import|HDI|{""importonlyid"": ""5""}|test_update
 {""importonlyidtwo"": ""5""}|1573808725000|dbimportonly|collectionfive|import|HDI|{""importonlyidtwo"": ""5""}|test_update
-{""earlierinimportid"": ""21""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinimportid"": ""21""}|test_update
-{""earlierinimportid"": ""22""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinimportid"": ""22""}|test_update
-{""earlierinimportid"": ""23""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinimportid"": ""23""}|test_update
+{""earlierinimportid"": ""21""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinexportid"": ""21""}|test_update
+{""earlierinimportid"": ""22""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinexportid"": ""22""}|test_update
+{""earlierinimportid"": ""23""}|1573809419000|dbone|collectionfive|import|HDI|{""earlierinexportid"": ""23""}|test_update
 {""earlierinexportid"": ""24""}|1573809429000|dbone|collectionfive|import|HDI|{""earlierinexportid"": ""24""}|test_update
 {""earlierinexportid"": ""25""}|1573809429000|dbone|collectionfive|import|HDI|{""earlierinexportid"": ""25""}|test_update
 {""earlierinimportoutsidemarginid"": ""30""}|1573809720000|dbone|collectionfive|import|HDI|{""earlierinimportoutsidemarginid"": ""30""}|test_update
@@ -26,7 +26,7 @@ IMPORT_1 = r'''
 {""earlierinimportinsidemarginid"": ""32""}|1573809029000|dbone|collectionfive|import|HDI|{""earlierinimportinsidemarginid"": ""32""}|test_update
 {""earlierinimportinsidemarginid"": ""33""}|1573809030000|dbone|collectionfive|import|HDI|{""earlierinimportinsidemarginid"": ""33""}|test_update
 {""earlierinimportbeforebackuptakenid"": ""34""}|1573808721000|dbone|collectionfive|import|HDI|{""earlierinimportbeforebackuptakenid"": ""34""}|test_update
-35|1573808722000|dbone|collectionfive|import|HDI|35|test_update
+35|1573808722000|dbone|collectionfive|import|HDI|{""$oid"": ""35""}|test_update
 {""importonlyoutsidemarginid"": ""40""}|1573809655000|dbone|collectionfive|import|HDI|{""importonlyoutsidemarginid"": ""40""}|test_update
 {""importonlyoutsidemarginid"": ""41""}|1573809656000|dbone|collectionfive|import|HDI|{""importonlyoutsidemarginid"": ""41""}|test_update
 {""importonlyinsidemarginid"": ""42""}|1573809008000|dbone|collectionfive|import|HDI|{""importonlyinsidemarginid"": ""42""}|test_update
@@ -41,16 +41,16 @@ IMPORT_1 = r'''
 {""earlierinexportbeforebackuptakenid"": ""54""}|1573808724000|dbone|collectionfive|import|HDI|{""earlierinexportbeforebackuptakenid"": ""54""}|test_update
 {""earlierinexportbeforebackuptakenid"": ""55""}|1573808725000|dbone|collectionmismatched|import|HDI|{""earlierinexportbeforebackuptakenid"": ""55""}|test_update
 "{""earlierinexportbeforebackuptakenid"": ""56""}"|1573808726000|dbone|collectionmismatched|import|HDI|"{""earlierinexportbeforebackuptakenid"": ""56""}"|test_update
-guid57|1573808725000|dbone|collectionfive|import|HDI|guid57|MONGO_UPDATE
-guid58|1573808725000|dbone|collectionfive|import|HDI|guid58|test_update
-guid59|1573808725000|dbone|collectionfive|import|HDI|guid59|test_update
+guid57|1573808725000|dbone|collectionfive|import|HDI|{""$oid"":""guid57""}|MONGO_UPDATE
+guid58|1573808725000|dbone|collectionfive|import|HDI|{""$oid"":""guid58""}|test_update
+guid59|1573808725000|dbone|collectionfive|import|HDI|{""$oid"":""guid59""}|test_update
 '''
 
 IMPORT_2 = r'''
 {""id"": ""6""}|1573809425000|dbone|collectionone|import|HDI|{""id"": ""6""}|test_update
 {""id"": ""7""}|1573809426000|dbseven|collectionone|import|HDI|{""id"": ""7""}|test_update
 {""id"": ""8""}|1573809427000|dbthree|collectionone|import|HDI|{""id"": ""8""}|test_update
-9|1573809428000|dbone|collectionone|import|HDI|9|test_update
+9|1573809428000|dbone|collectionone|import|HDI|{""$oid"": ""9""}|test_update
 {""collectionimportonly"": ""10""}|1573809420000|dbone|collectionimportonly|import|HDI|{""collectionimportonly"": ""10""}|test_update
 {""collectionimportonly"": ""16""}|1573809420000|dbone|collectionimportonly|import|HDI|{""collectionimportonly"": ""16""}|test_update
 {""collectionimportonly"": ""17""}|1573809420000|dbone|collectionimportonlytwo|import|HDI|{""collectionimportonly"": ""17""}|test_update
@@ -78,14 +78,14 @@ EXPORT_1 = r'''
 {""earlierinimportid"": ""21""}|1573809429000|dbone|collectionfive|export|automatedtests|{""earlierinimportid"": ""21""}|test_insert
 {""earlierinimportid"": ""22""}|1573809429000|dbone|collectionfive|export|automatedtests|{""earlierinimportid"": ""22""}|test_insert
 {""earlierinimportid"": ""23""}|1573809429000|dbone|collectionfive|export|automatedtests|{""earlierinimportid"": ""23""}|test_insert
-{""earlierinexportid"": ""24""}|1573809419000|dbone|collectionfive|export|automatedtests|{""earlierinexportid"": ""24""}|test_insert
-{""earlierinexportid"": ""25""}|1573809419000|dbone|collectionfive|export|automatedtests|{""earlierinexportid"": ""25""}|test_insert
+{""earlierinexportid"": ""24""}|1573809419000|dbone|collectionfive|export|automatedtests|{""earlierinimportid"": ""24""}|test_insert
+{""earlierinexportid"": ""25""}|1573809419000|dbone|collectionfive|export|automatedtests|{""earlierinimportid"": ""25""}|test_insert
 {""earlierinimportoutsidemarginid"": ""30""}|1573809730000|dbone|collectionfive|export|automatedtests|{""earlierinimportoutsidemarginid"": ""30""}|test_insert
 {""earlierinimportoutsidemarginid"": ""31""}|1573809731000|dbone|collectionfive|export|automatedtests|{""earlierinimportoutsidemarginid"": ""31""}|test_insert
 {""earlierinimportinsidemarginid"": ""32""}|1573809030000|dbone|collectionfive|export|automatedtests|{""earlierinimportinsidemarginid"": ""32""}|test_insert
 {""earlierinimportinsidemarginid"": ""33""}|1573809031000|dbone|collectionfive|export|automatedtests|{""earlierinimportinsidemarginid"": ""33""}|test_insert
 {""earlierinimportbeforebackuptakenid"": ""34""}|1573808723000|dbone|collectionfive|export|automatedtests|{""earlierinimportbeforebackuptakenid"": ""34""}|test_insert
-{""$oid"": ""35""}|1573808724000|dbone|collectionfive|export|automatedtests|{""$oid"": ""35""}|test_insert
+{""$oid"": ""35""}|1573808724000|dbone|collectionfive|export|automatedtests|35|test_insert
 {""exportonlyoutsidemarginid"": ""40""}|1573809650000|dbone|collectionfive|export|automatedtests|{""exportonlyoutsidemarginid"": ""40""}|test_insert
 {""exportonlyoutsidemarginid"": ""41""}|1573809651000|dbone|collectionfive|export|automatedtests|{""exportonlyoutsidemarginid"": ""41""}|test_insert
 {""exportonlyinsidemarginid"": ""42""}|1573809006000|dbone|collectionfive|export|automatedtests|{""exportonlyinsidemarginid"": ""42""}|test_insert
@@ -99,16 +99,16 @@ EXPORT_1 = r'''
 {""earlierinexportbeforebackuptakenid"": ""54""}|1573808723000|dbone|collectionfive|export|automatedtests|{""earlierinexportbeforebackuptakenid"": ""54""}|test_insert
 {""earlierinexportbeforebackuptakenid"": ""55""}|1573808724000|dbone|collectionmismatched|export|automatedtests|{""earlierinexportbeforebackuptakenid"": ""55""}|test_insert
 "{""earlierinexportbeforebackuptakenid"": ""56""}"|1573808724000|dbone|collectionmismatched|export|automatedtests|"{""earlierinexportbeforebackuptakenid"": ""56""}"|test_insert
-{""$oid"":""guid58""}|1573808725000|dbone|collectionfive|export|automatedtests|{""$oid"":""guid58""}|test_insert
-{""$oid"":""guid59""}|1573808725000|dbone|collectionfive|export|automatedtests|{""$oid"":""guid59""}|test_insert
-{""$oid"":""guid60""}|1573808725000|dbone|collectionfive|export|automatedtests|{""$oid"":""guid60""}|test_insert
+{""$oid"":""guid58""}|1573808725000|dbone|collectionfive|export|automatedtests|guid58|test_insert
+{""$oid"":""guid59""}|1573808725000|dbone|collectionfive|export|automatedtests|guid59|test_insert
+{""$oid"":""guid60""}|1573808725000|dbone|collectionfive|export|automatedtests|guid60|test_insert
 '''
 
 EXPORT_2 = r'''
 {""id"": ""6""}|1573809425000|dbone|collectionone|export|automatedtests|{""id"": ""6""}|test_insert
 {""id"": ""7""}|1573809426000|dbseven|collectionone|export|automatedtests|{""id"": ""7""}|test_insert
 {""id"": ""8""}|1573809427000|dbthree|collectionone|export|automatedtests|{""id"": ""8""}|test_insert
-{""$oid"": ""9""}|1573809428000|dbone|collectionone|export|automatedtests|{""$oid"": ""9""}|test_insert
+{""$oid"": ""9""}|1573809428000|dbone|collectionone|export|automatedtests|9|test_insert
 {""collectionexportonly"": ""12""}|1573809420000|dbone|collectionexportonly|export|automatedtests|{""collectionexportonly"": ""12""}|test_insert
 {""collectionexportonly"": ""13""}|1573809420000|dbone|collectionexportonlytwo|export|automatedtests|{""collectionexportonly"": ""13""}|test_insert
 {""collectionexportonlyoutsidemarginid"": ""30""}|1573809625000|dbone|collectionexportonly|export|automatedtests|{""collectionexportonlyoutsidemarginid"": ""30""}|test_insert

@@ -120,6 +120,15 @@ def test_set_checks_with_duplicates_and_nulls(spark):
     two = spark.createDataFrame([('{"b":{"c":[2],"d":1}, "a":1}',), ("{}",)], "value string")
     assert compare.snapshot_containment(one, two).count() == 0
     assert compare.snapshot_containment(two, one).count() == 1
+    broken = lambda *texts: spark.createDataFrame([(t,) for t in texts], "value string")
+    assert {r.value for r in compare.snapshot_containment(broken("{a", "{b", "{c"), broken("{c", "{d")).collect()} == {"{a", "{b"}
+
+
+def test_dead_letters_without_a_key(spark):
+    dlq = spark.createDataFrame([("t", None, 1), ("t", None, 2), ("t", "k", 3), ("t", "k", 4)], "topic string, key string, sequence int")
+    store = spark.createDataFrame([("t", None, 1)], "topic string, id string, sequence int")
+    noted = spark.createDataFrame([("t", "k", 4)], "topic_name string, hbase_id string, sequence int")
+    assert {r.sequence for r in compare.dlq_not_in_store(dlq, store, noted).collect()} == {2, 3}
 
 
 def test_reconcile_only_touches_open_rows(spark):

@@ -191,12 +191,24 @@ def test_excluded_destination_must_stay_empty(spark):
 def test_csv_gate_fails_the_load(spark, tmp_path, text, fails):
     (tmp_path / "f.csv").write_text(text)
     columns = {"a": "string", "b": "int"}
-    load = lambda: checks.read_csv_strict(spark, str(tmp_path), columns).select("a", "b").collect()
+    load = lambda: checks.read_csv_strict(spark, str(tmp_path), columns)
     if fails:
-        with pytest.raises(Exception):
-            load()
+        for use in (lambda d: d.collect(), lambda d: d.select("a").collect(), lambda d: d.count()):
+            with pytest.raises(Exception):
+                use(load())
     else:
-        assert [tuple(r) for r in load()] == [("x", 1), ("y", 2)]
+        assert [tuple(r) for r in load().collect()] == [("x", 1), ("y", 2)] and load().count() == 2
+
+
+def test_very_long_values_pass(spark):
+    long = "x" * 1_000_000
+    text = '{"Note":"' + long + '","Inner":{"A":null}}'
+    df = spark.createDataFrame([(text, f'"{long}""",2')], "text string, value string")
+    got = df.select(products.lower_keys_and_fill_nulls(F.col("text")).alias("t")).first().t
+    assert got == '{"note":"' + long + '","inner":{"a":"null"}}'
+    lines = df.select(F.lit("f").alias("file"), F.lit(2).alias("line_no"), "value").union(spark.createDataFrame([("f", 1, "a,b")]))
+    r = checks.csv_violations(lines, {"a": "string", "b": "int"}).first()
+    assert (r.rows, r.short_rows, r.long_rows, r.accepted) == (1, 0, 0, True)
 
 
 def test_quoted_separators_do_not_widen_a_row(spark):
