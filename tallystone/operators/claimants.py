@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.session import materialise
+
 
 def contract_people(contracts: DataFrame) -> DataFrame:
     """One row per contract and person on it, with the contract's dates and periods."""
@@ -50,6 +52,26 @@ AWARD_COLUMNS = (
 )
 
 
+def _pay(statements: DataFrame) -> DataFrame:
+    return statements.select(
+        F.col("assessmentPeriod.contractId").alias("contractId"),
+        F.col("assessmentPeriod.assessmentPeriodId").alias("assessmentPeriodId"),
+        "takeHomePay",
+    )
+
+
+def _awarded(held: DataFrame, pay: DataFrame) -> DataFrame:
+    period = F.get(
+        F.filter("assessmentPeriods", lambda p: p["assessmentPeriodId"] == F.col("assessmentPeriodId")), F.lit(0)
+    )
+    return (
+        held.join(pay, "contractId")
+        .withColumn("period", period)
+        .select("*", "period.startDate", "period.endDate", F.lit(True).alias("found"))
+        .select(*AWARD_COLUMNS)
+    )
+
+
 def claimant_award_join(claimants: DataFrame, contracts: DataFrame, statements: DataFrame, today: Column) -> DataFrame:
     """Awards of every claimant: open contracts, their periods and take-home pay.
 
@@ -64,21 +86,9 @@ def claimant_award_join(claimants: DataFrame, contracts: DataFrame, statements:
     """
     who = claimants.select(F.col("_id.citizenId").alias("citizenId"), "nino")
     people = contract_people(contracts).where(_is_open(today))
-    held = who.join(people, "citizenId")
-    pay = statements.select(
-        F.col("assessmentPeriod.contractId").alias("contractId"),
-        F.col("assessmentPeriod.assessmentPeriodId").alias("assessmentPeriodId"),
-        "takeHomePay",
-    )
-    period = F.get(
-        F.filter("assessmentPeriods", lambda p: p["assessmentPeriodId"] == F.col("assessmentPeriodId")), F.lit(0)
-    )
-    awarded = (
-        held.join(pay, "contractId")
-        .withColumn("period", period)
-        .select("*", "period.startDate", "period.endDate", F.lit(True).alias("found"))
-        .select(*AWARD_COLUMNS)
-    )
+    held = materialise(who.join(people, "citizenId"), "holders")
+    pay = _pay(statements)
+    awarded = _awarded(held, pay)
     blank = lambda name, kind: F.lit(None).cast(kind).alias(name)
     no_award = [
         blank("assessmentPeriodId", "string"), blank("startDate", "int"),
@@ -90,7 +100,7 @@ def claimant_award_join(claimants: DataFrame, contracts: DataFrame, statements:
         .select("citizenId", "nino", F.lit(True).alias("found"), "contractId", "suspendedDate", *no_award)
     )
     absent = (
-        who.join(people.select("citizenId").distinct(), "citizenId", "left_anti")
+        who.join(held.select("citizenId").distinct(), "citizenId", "left_anti")
         .select(
             "citizenId", "nino", F.lit(False).alias("found"),
             blank("contractId", "string"), blank("suspendedDate", "int"), *no_award,
@@ -102,3 +112,18 @@ def claimant_award_join(claimants: DataFrame, contracts: DataFrame, statements:
 def claimant_date_query(awards: DataFrame, from_date: Column, to_date: Column) -> DataFrame:
     """Periods contained in [from, to]; a period that only overlaps is left out."""
     return awards.where((F.col("startDate") >= from_date) & (F.col("endDate") <= to_date))
+
+
+def claimant_awards_between(
+    claimants: DataFrame, contracts: DataFrame, statements: DataFrame, today: Column, from_date: Column, to_date: Column
+) -> DataFrame:
+    """:func:`claimant_date_query` of all awards, with the range applied before any join.
+
+    Each contract keeps the periods of its own array that lie in the range, and a
+    contract without one is dropped where it is scanned.
+    """
+    inside = F.filter("assessmentPeriods", lambda p: (p["startDate"] >= from_date) & (p["endDate"] <= to_date))
+    few = contracts.withColumn("assessmentPeriods", inside).where(F.size("assessmentPeriods") > 0)
+    who = claimants.select(F.col("_id.citizenId").alias("citizenId"), "nino")
+    held = contract_people(few).where(_is_open(today)).join(who, "citizenId")
+    return _awarded(held, _pay(statements)).where("startDate is not null")

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.session import materialise
 from tallystone.functions.ids import manifest_match_id, manifest_output_id
 
 KEYS = ("database", "collection", "match_id")
@@ -159,16 +160,19 @@ def collection_counts(matched: DataFrame) -> DataFrame:
 
 
 def collections_of(manifest: DataFrame) -> DataFrame:
-    """Distinct (database, collection) pairs of a manifest; a two-column scan."""
-    return manifest.select("database", "collection").distinct()
+    """Distinct (database, collection) pairs of a manifest; a two-column scan.
+
+    Written once, so its size is known when the joins on it are planned: a list of
+    usual size is broadcast and no record-sized input is shuffled on its few values.
+    """
+    return materialise(manifest.select("database", "collection").distinct(), "collections")
 
 
 def missing_exports(matched: DataFrame, export_collections: DataFrame | None = None) -> DataFrame:
     """Imported ids without an export, in collections that have some export.
 
     Collections missing as a whole are reported separately.  The collection
-    list is joined without a hint: its size is only known at run time, where
-    the adaptive plan broadcasts it if small and splits skewed partitions if not.
+    list is a written table of known size, joined without a hint.
     """
     if export_collections is None:
         export_collections = collections_of(matched.where("export_timestamp is not null"))

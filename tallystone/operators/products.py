@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import dates
 from tallystone.functions.once import computed_once
 from tallystone.operators.versions import latest_version_per_id
+from tallystone.session import materialise
 
 # Statement type kept by the reconsideration view and its reason.
 RECONSIDERATION_TYPE = "MANDATORY_RECONSIDERATION"
@@ -138,8 +139,10 @@ def analytical_dataset(records: DataFrame, classification: DataFrame, snapshot_t
     """Records of each collection with their object tags.
 
     ``records``: ``database, collection, value``; ``classification``:
-    ``database, collection, pii`` (one row per collection).
+    ``database, collection, pii`` (one row per collection), written once so that
+    records are not shuffled on their few collections when it is small.
     """
+    classification = materialise(classification, "classification")
     tags = F.create_map(
         F.lit("pii"), F.coalesce("pii", F.lit("")),
         F.lit("db"), F.col("database"),

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.session import materialise
 from tallystone.functions.numbers import percent_half_up
 from tallystone.operators.ranking import numbered, top_n_per_group
 
@@ -224,30 +225,12 @@ def individual_type_totals(
 
 
 def union_all_labelled(missing_imports: DataFrame, missing_exports: DataFrame) -> DataFrame:
-    """The same report written as a union of labelled counts, one branch per label.
+    """Union of labelled counts, one label per type and side.
 
-    Kept for parity; :func:`individual_type_totals` needs two scans instead of twelve.
+    All labels of a side come from one aggregate over one scan.
     """
-    branches = []
-    for frame, side, column in (
-        (missing_imports, "imports", "export_type"),
-        (missing_exports, "exports", "import_type"),
-    ):
-        kind = F.lower(column)
-        named = [f"mongo_{n}" for n in NAMED_TYPES]
-        filters = [(f"Total missing {side}", F.lit(True))]
-        filters += [(f"Total missing {side} of type {n}", kind == f"mongo_{n}") for n in NAMED_TYPES]
-        filters.append((f"Total missing {side} of type other", ~kind.isin(named)))
-        for label, predicate in filters:
-            branches.append(
-                frame.where(predicate)
-                .agg(F.count("*").alias("id_count"))
-                .select(F.lit(label).alias("label"), "id_count")
-            )
-    out = branches[0]
-    for branch in branches[1:]:
-        out = out.unionByName(branch)
-    return out.orderBy("label", "id_count")
+    sides = [_type_tallies(missing_imports, "imports", "export_type"), _type_tallies(missing_exports, "exports", "import_type")]
+    return sides[0].unionByName(sides[1]).orderBy("label", "id_count")
 
 
 # --- catalogue and pack ---------------------------------------------------
@@ -326,8 +309,9 @@ LINE_KEYS = ("query_type", "query_order", "position")
 
 
 def report_pack(tables: Tables, query_types: tuple[str, ...] = QUERY_TYPES) -> DataFrame:
-    """All reports of the given types as one table, numbered in report order.
+    """All reports of the given types as one table with row numbers in report order.
 
+    The table itself is in no order; writers sort by the numbers.
     Columns: ``query_type, query_order, query_name, row_no, row_json, row_text``.
     """
     parts = []
@@ -351,10 +335,11 @@ def report_pack(tables: Tables, query_types: tuple[str, ...] = QUERY_TYPES) -> D
     pack = parts[0]
     for part in parts[1:]:
         pack = pack.unionByName(part)
-    ranked = numbered(pack, "report_key", ["rank_number", "rank_text", "row_json"])
+    # written before numbering, whose range sampling would else evaluate every report twice
+    ranked = numbered(materialise(pack, "report-pack"), "report_key", ["rank_number", "rank_text", "row_json"])
     return ranked.select(
         "query_type", "query_order", "query_name", F.col("row_no").cast("long").alias("row_no"), "row_json", "row_text"
-    ).orderBy("query_type", "query_order", "row_no")
+    )
 
 
 def report_headers(spark, query_types: tuple[str, ...]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallystone.session import materialise
 from tallystone.functions.tags import part_from_end, path_parts
 
 MAX_DB_DEPTH = 4
@@ -81,20 +82,22 @@ def path_candidates(path: Column) -> Column:
 
 
 def path_to_db_table(paths: DataFrame, databases: DataFrame) -> DataFrame:
-    """Database and table named by each distinct path; NULLs when no known database is in it.
+    """Database and table named by each path; NULLs when no known database is in it.
 
-    ``paths``: ``path``; ``databases``: distinct ``db``.  Each path offers three
-    candidates; the nearest known one wins, picked by an aggregate on the path.
+    ``paths``: ``path``; ``databases``: ``db``.  The candidates, nearest first, are
+    looked up one after the other in the list of databases, a written table of known
+    size, and the first known one wins: paths are joined where they are.
     """
-    offered = paths.select("path", F.explode_outer(path_candidates(F.col("path"))).alias("c")).select("path", "c.*")
-    known = databases.select("db").distinct().withColumn("known", F.lit(True))
-    hit = F.min(F.when(F.col("known"), F.struct("position", "db", "table")))
-    return (
-        offered.join(known, "db", "left")
-        .groupBy("path")
-        .agg(hit.alias("hit"))
-        .select("path", F.col("hit.db").alias("db"), F.col("hit.table").alias("table"))
-    )
+    known = materialise(databases.select("db").distinct(), "databases")
+    found = paths.select("path", path_candidates(F.col("path")).alias("c"))
+    hits = []
+    for n in range(MAX_DB_DEPTH - 1):
+        side = known.select(F.col("db").alias(f"db_{n}"))
+        here = F.get("c", F.lit(n))
+        found = found.join(side, here["db"] == F.col(f"db_{n}"), "left")
+        hits.append(F.when(F.col(f"db_{n}").isNotNull(), F.struct(here["db"].alias("db"), here["table"].alias("table"))))
+    hit = F.coalesce(*hits)
+    return found.select("path", hit["db"].alias("db"), hit["table"].alias("table"))
 
 
 def tag_classification_join(located: DataFrame, classification: DataFrame) -> DataFrame:
@@ -103,7 +106,7 @@ def tag_classification_join(located: DataFrame, classification: DataFrame) -> Da
     Paths without a known database have no tags.  ``classification`` has
     ``db, table, pii``.
     """
-    unique = classification.groupBy("db", "table").agg(F.max("pii").alias("pii"))
+    unique = materialise(classification.groupBy("db", "table").agg(F.max("pii").alias("pii")), "classes")
     joined = located.join(unique, ["db", "table"], "left")
     tags = F.when(
         F.col("db").isNotNull() & F.col("table").isNotNull(),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallystone.session import materialise
+
 DELETE_TYPE = "MONGO_DELETE"
 
 
@@ -74,12 +76,30 @@ def next_bookmark(files: DataFrame, bookmark: str | None) -> DataFrame:
     return files.agg(F.greatest(F.max("file"), F.lit(bookmark)).alias("bookmark"))
 
 
+def save_bookmarks(processed: DataFrame, path: str) -> None:
+    """Append where each collection of ``processed`` (``collection, version``) now ends."""
+    processed.groupBy("collection").agg(F.max("version").alias("processed_end")).write.mode("append").parquet(path)
+
+
+def read_bookmarks(spark: SparkSession, path: str) -> DataFrame:
+    """``collection, processed_end``: the furthest end saved per collection; none before the first run.
+
+    Bookmarks only move on, so a run that is repeated changes nothing.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = "collection string, processed_end bigint"
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path).groupBy("collection").agg(F.max("processed_end").alias("processed_end"))
+
+
 def incremental_slice(df: DataFrame, bookmarks: DataFrame, upper: Column) -> DataFrame:
     """Rows of each collection with previous end < time <= new end.
 
     ``bookmarks`` holds ``collection, processed_end`` (one row per collection);
-    collections without a bookmark start at 0.
+    collections without a bookmark start at 0.  The bookmarks are written first, so
+    that their size is known and records are not shuffled on their few collections.
     """
-    joined = df.join(bookmarks, "collection", "left")
+    joined = df.join(materialise(bookmarks, "bookmarks"), "collection", "left")
     previous = F.coalesce("processed_end", F.lit(0))
     return joined.where((F.col("version") > previous) & (F.col("version") <= upper)).drop("processed_end")

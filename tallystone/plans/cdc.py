@@ -8,6 +8,7 @@ from tallystone.functions import ids, payload
 from tallystone.operators import checks, compare, envelope, versions
 from tallystone.plans import bindings as b
 from tallystone.plans.registry import query
+from tallystone.session import scratch_path
 from tallystone.sources import sinks
 
 KEYS = ["topic", "id"]
@@ -386,10 +387,11 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     rows = records(spark, sf_dir).select("event_id", "collection", "version")
-    none = spark.createDataFrame([], "collection string, processed_end bigint")
-    first = versions.incremental_slice(rows, none, F.lit(LOAD_SPLIT_MS))
-    ends = first.groupBy("collection").agg(F.max("version").alias("processed_end"))
-    return versions.incremental_slice(rows, ends, F.lit(LOAD_SPLIT_MS + 604_800_000)).select(
+    path = scratch_path(spark, "processed-ends")
+    first = versions.incremental_slice(rows, versions.read_bookmarks(spark, path), F.lit(LOAD_SPLIT_MS))
+    versions.save_bookmarks(first, path)
+    # the next run starts from what the first one kept
+    return versions.incremental_slice(rows, versions.read_bookmarks(spark, path), F.lit(LOAD_SPLIT_MS + 604_800_000)).select(
         "event_id", "collection", "version"
     )
 

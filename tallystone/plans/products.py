@@ -50,8 +50,7 @@ def _(spark, sf_dir):
     CLAIM_SQL + f"""select * from joined where "startDate" >= {FROM_DATE} and "endDate" <= {TO_DATE}""",
 )
 def _(spark, sf_dir):
-    awards = claimants.claimant_award_join(*_docs(spark, sf_dir), F.lit(TODAY))
-    return claimants.claimant_date_query(awards, F.lit(FROM_DATE), F.lit(TO_DATE))
+    return claimants.claimant_awards_between(*_docs(spark, sf_dir), F.lit(TODAY), F.lit(FROM_DATE), F.lit(TO_DATE))
 
 
 @query(

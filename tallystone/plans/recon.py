@@ -90,11 +90,12 @@ def reconciled_tables(spark, sf_dir) -> reports.Tables:
     pair = ["database", "collection"]
     exported = counts.where("exported_count > 0").select(*pair)
     imported = counts.where("imported_count > 0").select(*pair)
+    # the reports scan these three narrow tables, never the matched one
     return reports.Tables(
         counts=counts,
-        missing_imports=m.missing_imports(matched, imported),
-        missing_exports=m.missing_exports(matched, exported),
-        mismatched=m.mismatched_timestamps(matched),
+        missing_imports=materialise(m.missing_imports(matched, imported), "missing-imports"),
+        missing_exports=materialise(m.missing_exports(matched, exported), "missing-exports"),
+        mismatched=materialise(m.mismatched_timestamps(matched), "mismatched"),
         after_ms=AFTER_MS,
     )
 
@@ -285,9 +286,9 @@ def _label_sql():
 
 @query("individual_type_totals", _label_sql())
 def _(spark, sf_dir):
-    return reports.individual_type_totals(
-        missing_imports_table(spark, sf_dir), missing_exports_table(spark, sf_dir)
-    )
+    # one match serves both sides
+    t = reconciled_tables(spark, sf_dir)
+    return reports.individual_type_totals(t.missing_imports, t.missing_exports)
 
 
 @query("union_all_labelled", _label_sql())
