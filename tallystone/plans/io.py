@@ -296,11 +296,12 @@ def _(spark, sf_dir):
 
 
 def _message_stream(spark, sf_dir):
-    """The event messages as a file-backed topic, read as a stream."""
+    """The event messages as a file-backed topic, newest first, read as a stream of several batches."""
     path = scratch_path(spark, "topic")
     messages = b.envelopes(spark, sf_dir).select("topic", F.col("event_id").cast("string").alias("key"), "value")
-    kafka.file_topic_write(messages, path)
-    stream = kafka.file_topic_stream(spark, path)
+    for part in (2, 1, 0):
+        kafka.file_topic_write(messages.where(F.pmod(F.col("key").cast("long"), F.lit(3)) == part), path)
+    stream = kafka.file_topic_stream(spark, path, 6)
     return stream.select(F.col("key").cast("bigint").alias("sequence"), "topic", "value")
 
 
@@ -316,7 +317,9 @@ def _ingested(spark, sf_dir):
     cdc.MSG_SQL + "select topic, id, version, event_id as sequence, record_type, body from latest",
 )
 def _(spark, sf_dir):
-    state = ingest.current_state(spark, _ingested(spark, sf_dir))
+    layout = _ingested(spark, sf_dir)
+    ingest.compact(spark, layout)
+    state = ingest.current_state(spark, layout)
     return state.select("topic", "id", "version", "sequence", "record_type", "body")
 
 

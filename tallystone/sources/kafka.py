@@ -8,10 +8,16 @@ from pyspark.sql import functions as F
 MESSAGE_SCHEMA = "topic string, key string, value string"
 
 
-def kafka_stream(spark: SparkSession, servers: str, topics: str, starting: str = "earliest") -> DataFrame:
-    """Stream of ``topic, key, value, offset`` from a broker (needs the Kafka connector)."""
+def kafka_stream(
+    spark: SparkSession, servers: str, topics: str, starting: str = "earliest", per_trigger: int = 5_000_000
+) -> DataFrame:
+    """Stream of ``topic, key, value, offset`` from a broker (needs the Kafka connector).
+
+    A micro-batch takes at most ``per_trigger`` messages; the rest waits for the next.
+    """
     stream = (
         spark.readStream.format("kafka")
+        .option("maxOffsetsPerTrigger", per_trigger)
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topics)
         .option("startingOffsets", starting)
@@ -40,6 +46,7 @@ def file_topic_write(messages: DataFrame, path: str) -> None:
     messages.select("topic", "key", "value").write.mode("append").partitionBy("topic").parquet(path)
 
 
-def file_topic_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Stream over a topic log folder."""
-    return spark.readStream.schema("key string, value string, topic string").parquet(path)
+def file_topic_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
+    """Stream over a topic log folder, at most ``per_trigger`` files in a micro-batch."""
+    stream = spark.readStream.schema("key string, value string, topic string")
+    return stream.option("maxFilesPerTrigger", per_trigger).parquet(path)

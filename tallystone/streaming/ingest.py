@@ -27,7 +27,7 @@ RECORD_SCHEMA = (
 )
 KEYS = ["topic", "id"]
 ORDER = ["version", "sequence"]
-BUCKETS = 64
+METADATA_KEYS = ["hbase_id", "hbase_timestamp", "topic_name"]
 
 
 @dataclass(frozen=True)
@@ -52,6 +52,14 @@ class Layout:
     def dlq(self) -> str:
         return f"{self.root}/dlq"
 
+    @property
+    def compacted(self) -> str:
+        return f"{self.root}/compacted"
+
+    @property
+    def reconciled(self) -> str:
+        return f"{self.root}/reconciled"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -73,8 +81,9 @@ def split_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
 def write_batch(layout: Layout) -> Callable[[DataFrame, int], None]:
     """Sink of the ingestion stream: store, manifest, metadata and dead letters.
 
-    The parsed batch feeds four outputs, so it is kept for the batch's duration;
-    a lost executor only recomputes its own partitions.
+    The parsed batch feeds four outputs, so it is kept for the batch's duration.
+    The source's limit per trigger bounds it; a lost executor only recomputes its
+    own partitions.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
@@ -107,60 +116,106 @@ def ingest_stream(messages: DataFrame, layout: Layout, available_now: bool = Tru
     return writer.start()
 
 
-def store_versions(spark: SparkSession, layout: Layout, after_batch: int | None = None) -> DataFrame:
-    """Stored versions (several batches may hold the same key), optionally of later batches only."""
+def store_versions(
+    spark: SparkSession, layout: Layout, after_batch: int | None = None, through_batch: int | None = None
+) -> DataFrame:
+    """Stored versions (several batches may hold the same key), optionally of some batches only."""
     log = spark.read.schema(RECORD_SCHEMA + ", batch_id bigint").parquet(layout.store)
     if after_batch is not None:
         log = log.where(F.col("batch_id") > after_batch)
+    if through_batch is not None:
+        log = log.where(F.col("batch_id") <= through_batch)
     return log.drop("batch_id")
 
 
-def current_state(
-    spark: SparkSession, layout: Layout, compacted: str | None = None, through_batch: int | None = None
-) -> DataFrame:
-    """Newest version of every key.
+def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
+    """N of every finished subfolder ``name=N``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    found = [s.getPath() for s in fs.listStatus(path)]
+    done = [p for p in found if p.getName().startswith(f"{name}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().split("=")[1]) for p in done)
+
+
+def compacted_through(spark: SparkSession, layout: Layout) -> int | None:
+    """Last batch that the newest finished compaction covers."""
+    return max(_numbers(spark, layout.compacted, "through"), default=None)
+
 
-    With a compacted folder only the batches after ``through_batch`` are read
-    from the log; older batch folders are pruned.
+def current_state(spark: SparkSession, layout: Layout, through_batch: int | None = None) -> DataFrame:
+    """Newest version of every key, from the newest compaction and the batches after it.
+
+    The batches a compaction covers are recorded in its folder's name, so no caller
+    has to pass them and none can be skipped or read twice by mistake.
     """
-    log = store_versions(spark, layout, through_batch if compacted else None)
-    if compacted:
-        log = log.unionByName(spark.read.schema(RECORD_SCHEMA).parquet(compacted).drop("bucket"))
+    covered = compacted_through(spark, layout)
+    log = store_versions(spark, layout, covered, through_batch)
+    if covered is not None:
+        log = log.unionByName(spark.read.schema(RECORD_SCHEMA).parquet(f"{layout.compacted}/through={covered}").drop("bucket"))
     return latest_version_per_id(log, KEYS, ORDER)
 
 
-def compact(spark: SparkSession, layout: Layout, target: str) -> DataFrame:
-    """Write the newest versions to a new folder, clustered by key bucket.
+def compact(spark: SparkSession, layout: Layout, buckets: int = 64, parts: int = 4) -> int | None:
+    """Fold the batches since the last compaction into a new one; returns the last batch it covers.
 
-    Clustering keeps later reads of a key to one file group.  The old folder is
-    left in place until readers have moved to the new one.
+    Clustered by key bucket, each written by ``parts`` tasks. Work follows the last
+    compaction and the new batches. Older folders stay until their readers are gone.
     """
-    state = current_state(spark, layout).withColumn(
-        "bucket", F.pmod(F.xxhash64(*KEYS), F.lit(BUCKETS)).cast("int")
-    )
-    state.write.mode("overwrite").partitionBy("bucket").parquet(target)
-    return spark.read.schema(RECORD_SCHEMA + ", bucket int").parquet(target)
+    batches, covered = _numbers(spark, layout.store, "batch_id"), compacted_through(spark, layout)
+    if not batches or batches[-1] == covered:
+        return covered
+    through = batches[-1]
+    state = current_state(spark, layout, through).withColumn("bucket", F.pmod(F.xxhash64(*KEYS), F.lit(buckets)).cast("int"))
+    salt = F.pmod(F.xxhash64(*KEYS, F.lit(1)), F.lit(parts))
+    state.repartition(F.col("bucket"), salt).write.mode("overwrite").partitionBy("bucket").parquet(f"{layout.compacted}/through={through}")
+    return through
 
 
 def reconcile(spark: SparkSession, layout: Layout, at: Column) -> DataFrame:
-    """Metadata rows with their reconciliation result against the store."""
+    """Metadata rows with their reconciliation result against the store.
+
+    Rows found now are appended to the job's reconciled table, so the next run
+    compares the open rows only and earlier results keep their time.
+    """
     metadata = spark.read.schema(
         "hbase_id string, hbase_timestamp bigint, topic_name string, reconciled_result int, "
         "reconciled_timestamp timestamp"
     ).parquet(layout.metadata)
+    found = ", ".join(("hbase_id string", "hbase_timestamp bigint", "topic_name string", "found_at timestamp"))
+
+    def noted() -> DataFrame:
+        runs = [f"{layout.reconciled}/run={n}" for n in _numbers(spark, layout.reconciled, "run")]
+        table = spark.read.schema(found).parquet(*runs) if runs else spark.createDataFrame([], found)
+        return table.groupBy(*METADATA_KEYS).agg(F.min("found_at").alias("found_at"))
+
+    same = lambda df, held: [df[k].eqNullSafe(held[k]) for k in METADATA_KEYS]
+    done = noted()
+    open_rows = metadata.join(done, same(metadata, done), "left_anti")
     stored = store_versions(spark, layout).select(
         "topic", F.replace(F.col("id"), F.lit(" "), F.lit("")).alias("id"), "version"
     )
-    return compare.metadata_reconcile(metadata, stored, at)
+    newly = compare.metadata_reconcile(open_rows, stored, at).where("reconciled_result = 1")
+    run = max(_numbers(spark, layout.reconciled, "run"), default=-1) + 1
+    newly.select(*METADATA_KEYS, F.col("reconciled_timestamp").alias("found_at")).distinct().write.mode("overwrite").parquet(
+        f"{layout.reconciled}/run={run}"
+    )
+    done = noted()
+    return metadata.join(done, same(metadata, done), "left").select(
+        *[metadata[k] for k in METADATA_KEYS],
+        F.when(F.col("found_at").isNotNull(), 1).otherwise(F.col("reconciled_result")).alias("reconciled_result"),
+        F.coalesce("found_at", "reconciled_timestamp").alias("reconciled_timestamp"),
+    )
 
 
-def dlq_archive(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Dead-letter topic to Parquet, one file per message."""
+def dlq_archive(messages: DataFrame, path: str, checkpoint: str, per_file: int = 0) -> StreamingQuery:
+    """Dead-letter topic to Parquet; ``per_file`` messages a file, 0 for no limit."""
     return (
         messages.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
-        .option("maxRecordsPerFile", 1)
+        .option("maxRecordsPerFile", per_file)
         .trigger(availableNow=True)
         .start()
     )

@@ -185,7 +185,7 @@ def _stream(spark, sf_dir, path):
     # newest first: arrival order must not matter
     for part in (2, 1, 0):
         kafka.file_topic_write(rows.where(F.col("key").cast("int") % 3 == part), path)
-    return kafka.file_topic_stream(spark, path).select(F.col("key").cast("bigint").alias("sequence"), "topic", "value")
+    return kafka.file_topic_stream(spark, path, 6).select(F.col("key").cast("bigint").alias("sequence"), "topic", "value")
 
 
 def test_stream_equals_batch_and_survives_a_replay(spark, sf_dir, folder):
@@ -196,6 +196,8 @@ def test_stream_equals_batch_and_survives_a_replay(spark, sf_dir, folder):
     key = lambda df: sorted((r.topic, r.id, r.version) for r in df.select("topic", "id", "version").collect())
     batch = key(cdc.store(spark, sf_dir))
     assert key(ingest.current_state(spark, layout)) == batch
+    folders = spark.read.parquet(layout.store).select("batch_id").distinct().count()
+    assert folders >= 3
     # the same batch written again leaves one copy
     before = ingest.store_versions(spark, layout).count()
     whole = b.envelopes(spark, sf_dir).select(F.col("event_id").alias("sequence"), "topic", "value")
@@ -203,17 +205,29 @@ def test_stream_equals_batch_and_survives_a_replay(spark, sf_dir, folder):
     ingest.write_batch(layout)(whole, 0)
     assert key(ingest.current_state(spark, layout)) == batch
     assert ingest.store_versions(spark, layout).count() >= before
-    compacted = ingest.compact(spark, layout, folder + "/compacted")
-    assert key(compacted) == batch
-    assert key(ingest.current_state(spark, layout, folder + "/compacted", 0)) == batch
+    through = ingest.compact(spark, layout)
+    assert through == folders - 1 and ingest.compact(spark, layout) == through
+    assert key(ingest.current_state(spark, layout)) == batch
+    # a late, newer version arrives after the compaction and is folded into the next one
+    late = whole.where("sequence % 50 = 11").limit(1).select(
+        (F.col("sequence") + 10**9).alias("sequence"), "topic", F.regexp_replace("value", r'"_lastModifiedDateTime":"\d{4}', '"_lastModifiedDateTime":"2099').alias("value")
+    )
+    ingest.write_batch(layout)(late, through + 1)
+    newer = key(ingest.current_state(spark, layout))
+    assert newer != batch and len(newer) == len(batch)
+    assert ingest.compact(spark, layout) == through + 1 and key(ingest.current_state(spark, layout)) == newer
     done = ingest.reconcile(spark, layout, F.lit("2024-01-01").cast("timestamp"))
     assert done.where("reconciled_result = 0").count() == 0
+    # a rerun keeps the first time and adds nothing
+    again = ingest.reconcile(spark, layout, F.lit("2025-01-01").cast("timestamp"))
+    assert again.where("year(reconciled_timestamp) <> 2024").count() == 0
+    assert spark.read.parquet(layout.reconciled + "/run=1").count() == 0
 
 
 def test_dlq_archive_stream(spark, folder):
     rows = spark.createDataFrame([("dlq", str(i), f"m{i}") for i in range(3)], kafka.MESSAGE_SCHEMA)
     kafka.file_topic_write(rows.coalesce(1), folder + "/t")
-    ingest.dlq_archive(kafka.file_topic_stream(spark, folder + "/t"), folder + "/out", folder + "/cp").awaitTermination()
+    ingest.dlq_archive(kafka.file_topic_stream(spark, folder + "/t"), folder + "/out", folder + "/cp", per_file=1).awaitTermination()
     assert spark.read.parquet(folder + "/out").count() == 3
 
 
