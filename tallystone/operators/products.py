@@ -119,14 +119,20 @@ def lower_keys_and_fill_nulls(text: Column) -> Column:
 
 
 def product_contract(contracts: DataFrame, people_json: Column) -> DataFrame:
-    """Contract view: dates plus the people as JSON with lower-case keys and null texts."""
+    """Contract view: one row per person, as JSON with lower-case keys and null texts.
+
+    ``people_json`` is a JSON array of objects; a contract without people gives one
+    row with NULL.
+    """
     day = lambda c: dates.int_to_date(F.col(c)).cast("timestamp")
-    return contracts.select(
+    persons = F.explode_outer(F.from_json(people_json, "array<string>"))
+    flat = contracts.select("*", persons.alias("_person"))
+    return flat.select(
         F.col("_id.contractId").alias("contract_id"),
         day("declaredDate").alias("declared_date"),
         day("startDate").alias("start_date"),
         day("closedDate").alias("closed_date"),
-        lower_keys_and_fill_nulls(people_json).alias("people"),
+        F.when(F.col("_person").isNotNull(), lower_keys_and_fill_nulls(F.col("_person"))).alias("person"),
     )
 
 

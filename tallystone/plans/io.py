@@ -11,7 +11,7 @@ from tallystone.operators import envelope
 from tallystone.operators import manifest as m
 from tallystone.plans import bindings as b
 from tallystone.plans import cdc
-from tallystone.plans.recon import BASE_SQL, sides
+from tallystone.plans.recon import BASE_SQL, reconciled_tables, sides
 from tallystone.plans.registry import query
 from tallystone.session import materialise, scratch_path
 from tallystone.sources import generate, kafka, readers, sinks, tables
@@ -35,12 +35,35 @@ def _(spark, sf_dir):
     return readers.scan_manifest_csv(spark, f"{path}/*")
 
 
-@query("external_table_parquet", BASE_SQL + "select * from counts")
+_EXTERNAL = {
+    "counts": "imported_count",
+    "missing_imports": "export_timestamp",
+    "missing_exports": "import_timestamp",
+    "mismatched": "latest_timestamp",
+}
+
+
+@query(
+    "external_table_parquet",
+    BASE_SQL
+    + " union all ".join(
+        f"select '{kind}' as table_name, database, count(*) as rows, cast(sum({number}) as bigint) as total from {kind} group by database"
+        for kind, number in _EXTERNAL.items()
+    ),
+)
 def _(spark, sf_dir):
-    location = scratch_path(spark, "counts")
-    counts = m.collection_counts(m.match_for_counts(*sides(spark, sf_dir)))
-    name = tables.qualified_table_name("default", "manifest_counts_" + location.rsplit("-", 1)[1], "historic", "full")
-    return tables.write_table(counts, name, "counts", location)
+    t = reconciled_tables(spark, sf_dir)
+    parts = []
+    for kind, number in _EXTERNAL.items():
+        location = scratch_path(spark, kind)
+        name = tables.qualified_table_name("default", f"manifest_{kind}_" + location.rsplit("-", 1)[1], "historic", "full")
+        held = tables.write_table(getattr(t, kind), name, kind, location)
+        parts.append(
+            held.groupBy("database").agg(F.count("*").alias("rows"), F.sum(number).alias("total"))
+            .select(F.lit(kind).alias("table_name"), "database", "rows", "total")
+        )
+        spark.sql(f"DROP TABLE {name}")  # external: only the entry goes, the files stay for the read
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def _daily_lines(spark, sf_dir):

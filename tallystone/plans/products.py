@@ -143,13 +143,16 @@ def _(spark, sf_dir):
     "message_version_filter",
     """select 's-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as statement_id,
          'MAKE_A_DECISION_MANDATORY_RECONSIDERATION' as reason,
-         '{"takeHomePay":"' || cast(cast(l_extendedprice as decimal(18,2)) as varchar) || '","type":"MANDATORY_RECONSIDERATION"}' as raw_json
+         '{"_id":{"statementId":"s-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey ||
+         '"},"assessmentPeriod":{"assessmentPeriodId":"ap-' || l_orderkey || '-' || l_linenumber || '","contractId":"k-' || l_orderkey ||
+         '"},"takeHomePay":"' || cast(cast(l_extendedprice as decimal(18,2)) as varchar) || '","type":"MANDATORY_RECONSIDERATION","lastModified":' ||
+         (epoch_us(l_shipdate) // 1000) || ',"version":' || cast(l_quantity as integer) || '}' as raw_json
        from lineitem where l_returnflag = 'R'""",
 )
 def _(spark, sf_dir):
     s = b.statements(spark, sf_dir)
     return products.message_version_filter(
-        s, F.to_json(F.struct("takeHomePay", "type")), F.col("_id.statementId")
+        s, F.to_json(F.struct(*s.columns)), F.col("_id.statementId")
     )
 
 
@@ -157,22 +160,33 @@ def _(spark, sf_dir):
     "product_contract",
     """select 'k-' || o_orderkey as contract_id, date_trunc('day', o_orderdate) as declared_date, date_trunc('day', o_orderdate) as start_date,
          case when o_orderstatus = 'F' then date_trunc('day', o_orderdate) end as closed_date,
-         '{"citizenid":"c-' || o_custkey || '","middlename":"null","note":"Key: ' || o_orderpriority || '","dateofbirth":{"cryptoid":"' || o_orderkey || '"}}' as people
-       from orders""",
+         '{"citizenid":"c-' || o_custkey || '","middlename":"null","note":"Key: ' || o_orderpriority || '","dateofbirth":{"cryptoid":"' || o_orderkey || '-' || i || '"}}' as person
+       from (select *, unnest(range(1, 2 + o_orderkey % 2)) as i from orders)
+       union all select 'k-none-' || o_orderkey, date_trunc('day', o_orderdate), date_trunc('day', o_orderdate),
+         case when o_orderstatus = 'F' then date_trunc('day', o_orderdate) end, null from orders where o_orderkey % 10 = 1""",
 )
 def _(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders")
     day = dates.date_to_int(F.col("o_orderdate").cast("date"))
+    person = lambda i: F.concat(
+        F.lit('{"citizenId":"c-'), F.col("o_custkey"), F.lit('","middleName":null,"note":"Key: '),
+        F.col("o_orderpriority"), F.lit('","dateOfBirth":{"cryptoId":"'), F.col("o_orderkey"), F.lit(f'-{i}"}}}}'),
+    )
+    # a JSON array of one or two people
+    people = F.concat(F.lit("["), person(1), F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit(","), person(2))).otherwise(""), F.lit("]"))
     docs = o.select(
         F.struct(F.concat(F.lit("k-"), F.col("o_orderkey")).alias("contractId")).alias("_id"),
         day.alias("declaredDate"),
         day.alias("startDate"),
         F.when(F.col("o_orderstatus") == "F", day).alias("closedDate"),
-        F.concat(
-            F.lit('{"citizenId":"c-'), F.col("o_custkey"), F.lit('","middleName":null,"note":"Key: '),
-            F.col("o_orderpriority"), F.lit('","dateOfBirth":{"cryptoId":"'), F.col("o_orderkey"), F.lit('"}}'),
-        ).alias("people_json"),
+        people.alias("people_json"),
+    )
+    # a contract without people keeps its row
+    lonely = o.where("o_orderkey % 10 = 1").select(
+        F.struct(F.concat(F.lit("k-none-"), F.col("o_orderkey")).alias("contractId")).alias("_id"), day.alias("declaredDate"),
+        day.alias("startDate"), F.when(F.col("o_orderstatus") == "F", day).alias("closedDate"), F.lit("[]").alias("people_json"),
     )
+    docs = docs.unionByName(lonely)
     return products.product_contract(docs, F.col("people_json"))
 
 

@@ -350,15 +350,13 @@ def _(spark, sf_dir):
 
 @query(
     "sink_report_text",
-    BASE_SQL + f"select query_type, query_order, row_no as position, chr(9) || '-- ' || row_text as line from ({_pack_sql()})"
+    BASE_SQL + f"select query_type, chr(9) || '-- ' || row_text as line from ({_pack_sql()})"
     + " union all "
-    + " union all ".join(
-        f"select '{r.query_type}', cast({r.order} as integer), cast(0 as bigint), 'Name: {r.name}'" for r in reports.REPORTS
-    ),
+    + " union all ".join(f"select '{r.query_type}', 'Name: {r.name}'" for r in reports.REPORTS),
 )
 def _(spark, sf_dir):
     lines = reports.report_text_lines(reports.report_pack(reconciled_tables(spark, sf_dir)))
-    return sinks.written_and_read_text(lines, "report-text")
+    return sinks.written_and_read_report(lines, "report-text")
 
 
 def _json_lines_sql():
@@ -387,10 +385,10 @@ def _json_lines_sql():
         parts.append(
             f"select '{r.query_type}', cast({r.order} as integer), cast({1 << 62} as bigint), ']}}'"
         )
-    return BASE_SQL + " union all ".join(parts)
+    return BASE_SQL + "select query_type, line from (" + " union all ".join(parts) + ")"
 
 
 @query("sink_report_json", _json_lines_sql())
 def _(spark, sf_dir):
     pack = reports.report_pack(reconciled_tables(spark, sf_dir))
-    return sinks.written_and_read_text(reports.report_json_lines(pack, "tests", "0"), "report-json")
+    return sinks.written_and_read_report(reports.report_json_lines(pack, "tests", "0"), "report-json")

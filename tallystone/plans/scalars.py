@@ -364,8 +364,10 @@ def _(spark, sf_dir):
 
 @query(
     "topic_selection",
-    """select event_id as request_id, unnest(case event_id % 5
-         when 0 then ['db.a.x', 'db.a.y'] when 1 then ['db.' || event_type]
+    """select -event_id as request_id, 'db.' || event_type || '.' || (event_id % 10) as topic from events
+       where (event_type, event_id % 10) in (select (event_type, event_id % 10) from events where event_id % 5 = 1)
+       union all select event_id as request_id, unnest(case event_id % 5
+         when 0 then ['db.a.x', 'db.a.y'] when 1 then ['db.' || event_type || '.' || (event_id % 10)]
          when 2 then case when user_id % 2 = 0 then ['i1', 'i2'] else ['f1', 'f2', 'f3'] end
          when 3 then ['d1'] else ['fallback.' || event_type] end) as topic from events""",
 )
@@ -373,10 +375,11 @@ def _(spark, sf_dir):
     e = b.table(spark, sf_dir, "events")
     kind = F.col("event_id") % 5
     text = lambda *v: F.array(*[x if not isinstance(x, str) else F.lit(x) for x in v]).cast("array<string>")
+    own = F.concat(F.lit("db."), F.col("event_type"), F.lit("."), (F.col("event_id") % 10).cast("string"))
     requests = e.select(
         F.col("event_id").alias("request_id"),
         F.when(kind == 0, text("", "db.a.x,db.a.y", "z"))
-        .when(kind == 1, text(F.lit(None), F.concat(F.lit("db."), F.col("event_type"))))
+        .when(kind == 1, text(F.lit(None), own))
         .when(kind == 2, text("ALL"))
         .when(kind == 3, text("", "all"))
         .when(kind == 4, text(""))
@@ -387,7 +390,10 @@ def _(spark, sf_dir):
         .alias("snapshot_type"),
         text(F.concat(F.lit("fallback."), F.col("event_type"))).alias("fallback"),
     )
-    return routing.topic_selection(requests, "f1,f2,f3", "i1,i2", "d1")
+    chosen = routing.topic_selection(requests, "f1,f2,f3", "i1,i2", "d1")
+    # and the messages of the chosen topics, under their negative number
+    messages = e.select((-F.col("event_id")).alias("request_id"), own.alias("topic"))
+    return chosen.unionByName(routing.select_by_topic(messages, chosen))
 
 
 @query(

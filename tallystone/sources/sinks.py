@@ -10,29 +10,20 @@ from tallystone.functions.topics import topic_collection, topic_database
 from tallystone.session import scratch_path
 
 
-def written_and_read_text(lines: DataFrame, name: str) -> DataFrame:
-    """Write a frame of ordered text lines, one folder per query type, and read it back.
+def write_report_lines(lines: DataFrame, path: str) -> None:
+    """The text of ordered lines, one folder per query type.
 
-    Files are numbered in line order, so concatenating the parts of a folder
-    gives the document; the position columns travel with the text for checking.
+    Files are numbered in line order, so the parts of a folder in name order are
+    the document.
     """
-    spark = lines.sparkSession
-    path = scratch_path(spark, name)
-    keys = [c for c in lines.columns if c != "line"]
-    lines.select(
-        "query_type", F.to_json(F.struct(*keys, "line")).alias("value")
-    ).write.partitionBy("query_type").option("compression", "gzip").text(path)
-    schema = lines.schema
-    return (
-        spark.read.text(path)
-        .select(F.from_json("value", schema).alias("r"))
-        .select("r.*")
-    )
+    lines.select("query_type", F.col("line").alias("value")).write.partitionBy("query_type").text(path)
 
 
-def write_report_lines(lines: DataFrame, path: str) -> None:
-    """Only the text of the lines, in order, one folder per query type."""
-    lines.select("query_type", F.col("line").alias("value")).write.partitionBy("query_type").text(path)
+def written_and_read_report(lines: DataFrame, name: str) -> DataFrame:
+    """Write a report document per query type and read its lines back."""
+    path = scratch_path(lines.sparkSession, name)
+    write_report_lines(lines, path)
+    return lines.sparkSession.read.schema("line string, query_type string").text(path).select("query_type", "line")
 
 
 def manifest_line(id_text: Column, version_ms: Column, topic: Column, wrapped: bool = False) -> Column:
@@ -66,15 +57,19 @@ def write_manifest_csv(manifest: DataFrame, path: str) -> None:
     manifest.select(line.alias("value")).write.text(path)
 
 
-def write_snapshot(records: DataFrame, path: str) -> None:
+def _gathered(rows: DataFrame, folders: list[str], files: int) -> DataFrame:
+    return rows.repartition(*[F.col(c) for c in folders], F.pmod(F.xxhash64("value"), F.lit(files)))
+
+
+def write_snapshot(records: DataFrame, path: str, files: int = 4) -> None:
     """JSON lines per export date, snapshot type, database and collection, gzipped.
 
     ``records`` has ``export_date, snapshot_type, database, collection, value``.
-    The write adds no shuffle; a dominant collection stays spread over tasks.
+    A folder's rows go to ``files`` tasks by a salt, so there are few files per
+    folder and a dominant collection stays spread.
     """
-    records.write.partitionBy("export_date", "snapshot_type", "database", "collection").option(
-        "compression", "gzip"
-    ).mode("append").text(path)
+    folders = ["export_date", "snapshot_type", "database", "collection"]
+    _gathered(records, folders, files).write.partitionBy(*folders).option("compression", "gzip").mode("append").text(path)
 
 
 def write_dlq(messages: DataFrame, path: str, one_file_each: bool = False) -> None:
@@ -85,16 +80,18 @@ def write_dlq(messages: DataFrame, path: str, one_file_each: bool = False) -> No
     writer.parquet(path)
 
 
-def write_jsonl_partitioned(records: DataFrame, path: str) -> None:
-    """``day, database, collection, value`` as ``yyyy/MM/dd/db/collection`` gzip lines."""
-    records.select(
+def write_jsonl_partitioned(records: DataFrame, path: str, files: int = 2) -> None:
+    """``day, database, collection, value`` as ``yyyy/MM/dd/db/collection`` gzip lines, ``files`` per folder at most."""
+    rows = records.select(
         F.date_format("day", "yyyy").alias("y"),
         F.date_format("day", "MM").alias("m"),
         F.date_format("day", "dd").alias("d"),
         F.col("database").alias("db"),
         F.col("collection").alias("coll"),
         "value",
-    ).write.partitionBy("y", "m", "d", "db", "coll").option("compression", "gzip").mode("append").text(path)
+    )
+    folders = ["y", "m", "d", "db", "coll"]
+    _gathered(rows, folders, files).write.partitionBy(*folders).option("compression", "gzip").mode("append").text(path)
 
 
 def write_orc(df: DataFrame, path: str, partition_col: str | None = None) -> None:
