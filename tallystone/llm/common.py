@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Iterable, Iterator
@@ -25,10 +26,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     )
 
 
-def process_cache() -> dict:
-    """What a Python worker keeps between tasks (loaded vocabularies, open maps)."""
+def process_cache(kind: str) -> dict:
+    """What a Python worker keeps between tasks: vocabularies, open maps and the like.
+
+    One kind at a time: a worker that goes on to another operator lets go of the last one's.
+    """
     module = sys.modules.setdefault("_tallystone_process_cache", types.ModuleType("cache"))
-    return module.__dict__
+    if getattr(module, "kind", None) != kind:
+        module.kind, module.held = kind, {}
+        give_back()
+    return module.held
 
 
 def filesystem(uri: str):
@@ -75,5 +82,15 @@ def buckets_for(total_bytes: float, spark: SparkSession, each: int = 32 << 20) -
 
 
 def finish_steps(spark: SparkSession) -> None:
-    """Let a query's shuffle files go when it ends; results are kept in the shared folder."""
+    """Let a query's shuffle files go when it ends, as results are kept in the shared folder,
+    and send texts to Python in batches that stay small for long texts too."""
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
+def give_back() -> None:
+    """Return memory that a worker has freed to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -17,21 +17,22 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "links")
-    before = None
-    while True:
+    check = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
+    before = tuple(edges.agg(*check).first())
+    while before[0]:
         # large star: every neighbour above u hangs on the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
+        large = large.filter("u <> v")
         # small star: u and its neighbours below it hang on the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.filter("u <> v").distinct(), "links")
-        # done when every node has one link, to a node without any of its own, as in the round before
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if before is not None and tuple(now) == tuple(before):
+        # done when a round changes nothing: every node then has one link, to a node without any of its own
+        now = tuple(edges.agg(*check).first())
+        if now == before:
             break
         before = now
     roots = edges.select(F.col("v").alias("node")).distinct()

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import buckets_for, finish_steps, sliced, string_parts, texts
+from tallystone.llm.common import buckets_for, finish_steps, give_back, sliced, string_parts, texts
 from tallystone.llm.components import components
 from tallystone.llm.words import Words, owned
 from tallystone.session import materialise
@@ -53,13 +53,13 @@ def _needed(n: np.ndarray, percent: int) -> np.ndarray:
     return -(-n * percent // 100)
 
 
-def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 16 << 20) -> DataFrame:
+def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 6 << 20) -> DataFrame:
     """One row per document: rid, doc_id, set size, set digest, and for those that may have
     a partner their shingles of document frequency 2 or more, rare first."""
     spark = docs.sparkSession
     rows = texts(docs, id_col, text_col).withColumn("digest", F.xxhash64("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = buckets_for(2.0 * total, spark, 24 << 20)
+    buckets = buckets_for(2.0 * total, spark, 8 << 20)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, seq = TaskContext.get().partitionId(), 0
@@ -104,18 +104,21 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
 
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64()]
         labels = ["kind", "batch", "bucket", "keys", "docs", "heavy_keys", "heavy_counts", "heavy_first"]
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             offsets, raw = string_parts(batch.column("text"))
             keys, owner, sizes = shingle_sets(offsets, raw, k)
             held.append((batch.column("doc_id").to_pylist(), keys, owner, sizes, batch.column("digest").to_numpy()))
             size += len(raw)
-            if size >= batch_bytes or sum(len(h[0]) for h in held) >= 1 << 19:
+            if size >= batch_bytes or sum(len(h[0]) for h in held) >= 1 << 18:
                 yield flush()
                 held, size = [], 0
+                give_back()
         if held:
             yield flush()
+        give_back()
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         meta, frame = frame[frame["kind"] == 1], frame[frame["kind"] == 0]
         out = [(m.batch, 1, m.keys, m.docs, m.heavy_keys, m.heavy_counts, m.heavy_first) for m in meta.itertuples()]
         lk = [np.frombuffer(x, np.uint64) for x in frame["keys"]]
@@ -142,6 +145,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
         return pd.DataFrame(out, columns=["batch", "kind", "keys", "docs", "heavy_keys", "heavy_counts", "heavy_first"])
 
     def gather(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         meta = frame[frame["kind"] == 1].iloc[0]
         frame = frame[frame["kind"] == 0]
         batch, n_docs = int(meta["batch"]), int(meta["heavy_first"])
@@ -240,7 +244,7 @@ def _may_link(percent: int):
     return length & ((100 + percent) * rest >= percent * (nx + ny))
 
 
-def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 6) -> DataFrame:
+def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:
     """rid, doc_id, digest, n_shingles, component_id and ``first`` of every row.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lowered. Two rows link
@@ -274,13 +278,13 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         left = tops.agg(F.sum(F.col("minor").cast("double") * F.col("all"))).first()[0] or 0
         if not left:
             break
-        last = left <= 4 * size or turn == pivots
+        last = left <= 16 * size or turn == pivots
         here = here.join(tops.select("token", "major"), "token")
         if last:  # every pair across components, met from the side outside the largest one
             x, y = here.filter("comp <> major").alias("x"), here.alias("y")
             once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.rid") < F.col("y.rid"))
         else:
-            mix = F.xxhash64("rid", F.lit(turn))
+            mix = F.xxhash64("rid", F.lit(turn)) if turn else F.col("rid")  # first stars around smallest rows, which are components as they are
             pivot = here.groupBy("token").agg(F.min(F.struct(mix.alias("mix"), "rid", "n", "place", "comp")).alias("p"))
             x, y, once = pivot.select("token", "p.*").alias("x"), here.alias("y"), F.lit(True)
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link(percent))

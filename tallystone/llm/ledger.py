@@ -55,14 +55,15 @@ SPAN = "array<struct<kind:string,start:int,end:int>>"
 
 def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
     """Spans in code points, leftmost and non-overlapping per rule, by start and rule."""
-    cache = process_cache().setdefault("patterns", {})
+    cache = process_cache("patterns")
     out = []
     for order, rule in enumerate(rules):
-        if rule not in cache:
+        key = (rule.kind, rule.pattern, rule.least, rule.fold)
+        if key not in cache:
             # long runs of one character class: asking for the least length at once skips the short ones
             quick = re.sub(r"\+$", f"{{{rule.least},}}", rule.pattern) if rule.kind == "hex" else rule.pattern
-            cache[rule] = re.compile(quick, re.ASCII | (re.IGNORECASE if rule.fold else 0))
-        for m in cache[rule].finditer(text):
+            cache[key] = re.compile(quick, re.ASCII | (re.IGNORECASE if rule.fold else 0))
+        for m in cache[key].finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
                 out.append((m.start(), order, m.end(), rule.kind))
     return [(kind, start, end) for start, _, end, kind in sorted(out)]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import texts
+from tallystone.llm.common import finish_steps, give_back, texts
 from tallystone.llm.tokens import encoder, vocabulary
 
 PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, padded_length long, ids binary"
@@ -120,6 +120,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 1024, sh
     which its pieces fill. An empty table gives no rows.
     """
 
+    finish_steps(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sequence = encoder(tokenizer), TaskContext.get().partitionId() << 40
 
@@ -161,6 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, width: int = 1024, sh
                 if len(words) >= shard_docs or size >= 8 << 20:
                     yield packed(doc_ids, words)
                     doc_ids, words, size = [], [], 0
+                    give_back()
         if words:
             yield packed(doc_ids, words)
 

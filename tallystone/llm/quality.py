@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import finish_steps, sliced, string_parts, texts
+from tallystone.llm.common import finish_steps, give_back, sliced, string_parts, texts
 from tallystone.llm.words import Words, owned, stretches
 from tallystone.session import materialise
 
@@ -76,8 +76,9 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """doc_id, a digest of the text and the counts above, map-only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             found = features(*string_parts(batch.column("text")))
+            give_back()
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("digest"), *(pa.array(found[c], pa.int64()) for c in COUNTS)], names=["doc_id", "digest", *COUNTS]
             )

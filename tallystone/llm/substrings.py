@@ -79,7 +79,7 @@ def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts(docs, id_col, text_col).withColumns({"h1": F.xxhash64("text"), "h2": F.xxhash64("text", F.lit(1))})
 
 
-def _live(base: DataFrame, length: int, v: int, buckets: int, batch_bytes: int = 12 << 20) -> DataFrame:
+def _live(base: DataFrame, length: int, v: int, buckets: int, batch_bytes: int = 8 << 20) -> DataFrame:
     """Per document the starts, as ranges, of strings that may repeat."""
 
     def emit(batches: Iterable[pa.RecordBatch]):
@@ -91,7 +91,7 @@ def _live(base: DataFrame, length: int, v: int, buckets: int, batch_bytes: int =
             keys = np.concatenate([h[2] for h in held])
             return keys, np.zeros(len(keys), np.uint32), meta.tobytes()
 
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", 1 << 20):
             offsets, raw = string_parts(batch.column("text"))
             sizes = np.diff(offsets)
             doc, at = cover_positions(sizes, length, v)
@@ -149,7 +149,7 @@ def _regions(base: DataFrame, live: DataFrame, length: int, piece: int = 256 <<
     return rows.mapInArrow(run, "doc_id long, h1 long, h2 long, start long, bytes binary")
 
 
-def _covered(regions: DataFrame, length: int, buckets: int, part: int, parts: int, batch_bytes: int = 2 << 20) -> DataFrame:
+def _covered(regions: DataFrame, length: int, buckets: int, part: int, parts: int, batch_bytes: int = 1 << 20) -> DataFrame:
     """The bytes, as ranges in the document, that tied strings of one part of the key range cover."""
 
     def emit(batches: Iterable[pa.RecordBatch]):
@@ -195,7 +195,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, v: int = 133, passes: int
     finish_steps(spark)
     base = _documents(docs, id_col, text_col)
     total = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = materialise(_live(base, length, v, buckets_for(1.0 * total, spark)), "live-starts")
+    found = materialise(_live(base, length, v, buckets_for(1.0 * total, spark, 12 << 20)), "live-starts")
     # equal texts repeat as a whole; the smallest id stands for them when the rest is sorted
     classes = found.filter(F.col("n_bytes") >= length).groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min("doc_id").alias("least"))
     copies = materialise(classes.filter("copies > 1"), "copies")
@@ -203,7 +203,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, v: int = 133, passes: int
     live = materialise(live.filter("copies is null or doc_id <=> least").select(*KEY, "live"), "live-documents")
     regions = materialise(_regions(base, live, length), "live-regions")
     size = regions.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    buckets = buckets_for(16.0 * size / passes, spark)
+    buckets = buckets_for(16.0 * size / passes, spark, 16 << 20)
     covered = [materialise(_covered(regions, length, buckets, p, passes), "covered") for p in range(passes)]
     for more in covered[1:]:
         covered[0] = covered[0].unionByName(more)

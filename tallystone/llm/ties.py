@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tallystone.llm.common import give_back
+
 PACKED = "kind int, batch long, bucket long, keys binary, checks binary, places binary, many_keys binary, many_checks binary"
 ANSWER = "kind int, batch long, keys binary, places binary"
 
@@ -67,9 +69,11 @@ def tied(
                 x, y = one[ones[b] : ones[b + 1]], lead[leads[b] : leads[b + 1]]
                 if len(x) or len(y):
                     out.append((0, batch, b, keys[x].tobytes(), checks[x].tobytes(), x.astype(np.uint32).tobytes(), keys[y].tobytes(), checks[y].tobytes()))
+            give_back()
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
     def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         meta, frame = frame[frame["kind"] == 1], frame[frame["kind"] == 0]
         out = [(1, m.batch, m.keys, m.places + m.many_keys) for m in meta.itertuples()]
         if len(frame):

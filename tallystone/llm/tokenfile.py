@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tallystone.llm.common import filesystem, finish_steps, texts
+from tallystone.llm.common import filesystem, finish_steps, give_back, texts
 from tallystone.llm.tokens import encoder, vocabulary
 from tallystone.session import materialise, scratch_path
 
@@ -141,6 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
                 if sum(len(h[2]) for h in held) >= file_ids:
                     yield flush()
                     held = []
+                    give_back()
         if held:
             yield flush()
 

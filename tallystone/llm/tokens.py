@@ -18,7 +18,7 @@ from tallystone.llm.common import process_cache
 _WIDE = "\x85\xa0  -     　"  # white space beyond ASCII
 _RUN = re.compile(f"[\t\r\x0b\x0c\x00{_WIDE}]|[ \n][ \n]|<\\|")
 _ODD = re.compile("[\x00\x1c-\x1f~]|<\\|")
-KEEP = 600_000  # pieces a worker remembers; beyond that only the often used ones stay
+KEEP = 400_000  # pieces a worker remembers; beyond that only the often used ones stay
 
 
 def vocabulary(name: str) -> str:
@@ -106,7 +106,7 @@ class Encoder:
         self.known.update(zip(pieces, range(self.rows, rows), strict=True))
         self.used, self.rows = need, rows
 
-    def encode(self, texts: list[str], step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, their offsets by text)."""
         out, sizes, lo = [], [], 0
         while lo < len(texts):
@@ -151,7 +151,7 @@ class Encoder:
 
 def encoder(path: str) -> Encoder:
     """The worker's encoder for a vocabulary file."""
-    cache = process_cache().setdefault("encoders", {})
+    cache = process_cache("encoders")
     if path not in cache:
         cache[path] = Encoder(path)
     return cache[path]

@@ -124,7 +124,7 @@ class Mapped:
 
 
 def _mapped(files: dict[int, str]) -> dict[int, Mapped]:
-    cache = process_cache().setdefault("url_shards", {})
+    cache = process_cache("url_shards")
     return {shard: cache.get(uri) or cache.setdefault(uri, Mapped(uri)) for shard, uri in files.items()}
 
 

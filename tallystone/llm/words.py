@@ -24,7 +24,7 @@ def byte_values(seed: int) -> np.ndarray:
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n - 1) modulo 2**64."""
-    cache = process_cache().setdefault("powers", {})
+    cache = process_cache("powers")
     if len(cache.get(base, ())) < n:
         out = np.empty(n, np.uint64)
         out[0], k = 1, 1
