@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from tallystone.session import materialise
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Does every node have one link at most, and only to a node without any of its own?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("up")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("ups"), F.min("up").alias("least"))
+    return nodes.filter("ups > 1 or (ups = 1 and least = 0)").isEmpty()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of every linked node; root is the smallest node it reaches.
 
@@ -17,9 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     edges = materialise(edges, "links")
-    check = (F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = tuple(edges.agg(*check).first())
-    while before[0]:
+    while not _stars(edges):
         # large star: every neighbour above u hangs on the least of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -30,10 +35,5 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         edges = materialise(small.filter("u <> v").distinct(), "links")
-        # done when a round changes nothing: every node then has one link, to a node without any of its own
-        now = tuple(edges.agg(*check).first())
-        if now == before:
-            break
-        before = now
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots.select("node", F.col("node").alias("root")))

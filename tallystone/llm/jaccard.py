@@ -244,7 +244,7 @@ def _may_link(percent: int):
     return length & ((100 + percent) * rest >= percent * (nx + ny))
 
 
-def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:
+def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 2) -> DataFrame:
     """rid, doc_id, digest, n_shingles, component_id and ``first`` of every row.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lowered. Two rows link
@@ -278,15 +278,17 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         left = tops.agg(F.sum(F.col("minor").cast("double") * F.col("all"))).first()[0] or 0
         if not left:
             break
-        last = left <= 16 * size or turn == pivots
+        last = left <= 64 * size or turn == pivots
         here = here.join(tops.select("token", "major"), "token")
         if last:  # every pair across components, met from the side outside the largest one
             x, y = here.filter("comp <> major").alias("x"), here.alias("y")
             once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.rid") < F.col("y.rid"))
         else:
             mix = F.xxhash64("rid", F.lit(turn)) if turn else F.col("rid")  # first stars around smallest rows, which are components as they are
-            pivot = here.groupBy("token").agg(F.min(F.struct(mix.alias("mix"), "rid", "n", "place", "comp")).alias("p"))
-            x, y, once = pivot.select("token", "p.*").alias("x"), here.alias("y"), F.lit(True)
+            entry = F.struct(mix.alias("mix"), "rid", "n", "place", "comp")
+            ends = here.groupBy("token").agg(F.array(F.min(entry), F.max(entry)).alias("p"))  # two pivots: the least and the greatest
+            pivot = ends.select("token", F.explode("p").alias("p")).select("token", "p.*")
+            x, y, once = pivot.alias("x"), here.alias("y"), F.lit(True)
         met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link(percent))
         pairs = met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
         if tried is not None:
@@ -295,7 +297,7 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
         found = materialise(_verified(pairs, reps, percent), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        roots = materialise(components(links), "roots")
+        roots = components(links)
         labels = reps.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp"))
         if last:
             break
