@@ -5,6 +5,10 @@ masked words of every benchmark position and of every training position are hash
 and joined. Around a hit the item is laid over the document, and the overlap counts
 if enough words agree, wherever words were substituted.
 
+``WIDE`` masks hit every pattern of substitutions that 80 % allows in a window of 18 to 32
+words; shorter items need ``DENSE`` besides, as the tests enumerate. ``DENSE`` is only
+laid over them, so common word runs of long items are not joined.
+
 All masks begin with two adjacent words, so a position is dropped by one probe of the
 benchmark's word pairs before any mask is hashed. The benchmark's tables are broadcast
 only after a count of their rows; beyond ``SMALL`` rows the joins are left to shuffle.
@@ -19,7 +23,9 @@ from tallystone.llm.common import finish_steps, named
 from tallystone.session import materialise
 
 SPAN = 8
-MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 4, 5, 7))
+WIDE = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 4, 5, 7))
+DENSE, DENSE_UP_TO = (0, 1, 2, 3), 17  # words of the longest item that needs it
+MASKS = (*WIDE, *[tuple(o + at for o in DENSE) for at in range(SPAN - len(DENSE) + 1)])
 SMALL = 2_000_000  # rows of hashes and numbers: under 100 MB
 
 
@@ -33,7 +39,7 @@ def _at(array: str, i: Column) -> Column:
 
 
 def _masked(array: str, i: Column) -> list[Column]:
-    return [F.xxhash64(F.lit(m), *[_at(array, i + o) for o in offsets]) for m, offsets in enumerate(MASKS)]
+    return [F.xxhash64(F.lit(m), *[_at(array, i + o) for o in offsets]) for m, offsets in enumerate((*WIDE, DENSE))]
 
 
 def _pair(array: str, i: Column) -> Column:
@@ -55,14 +61,18 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int
     items = benchmark.select(named(item_col).cast("long").alias("item_id"), F.array_remove(words(named(item_text)), "").alias("item"))
     items = materialise(items.filter("size(item) > 0").distinct(), "benchmark-items")
     long_items = items.filter(F.size("item") >= SPAN)
-    spots = long_items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - SPAN)).alias("at"))
-    seeds = spots.select("item_id", "at", _pair("item", F.col("at")).alias("pair"), F.array(*_masked("item", F.col("at"))).alias("hashes"))
+    reach = len(DENSE)
+    spots = long_items.select("item_id", "item", F.explode(F.sequence(F.lit(0), F.size("item") - F.when(F.size("item") <= DENSE_UP_TO, reach).otherwise(SPAN))).alias("at"))
+    *wide, dense = _masked("item", F.col("at"))
+    wide = F.when(F.col("at") <= F.size("item") - SPAN, F.array(*wide)).otherwise(F.array().cast("array<bigint>"))
+    dense = F.when(F.size("item") <= DENSE_UP_TO, F.array(dense)).otherwise(F.array().cast("array<bigint>"))
+    seeds = spots.select("item_id", "at", _pair("item", F.col("at")).alias("pair"), F.concat(wide, dense).alias("hashes"))
     seeds = materialise(seeds.select("item_id", "at", "pair", F.explode("hashes").alias("seed")), "benchmark-seeds")
     small = seeds.count() <= SMALL
     sized = F.broadcast if small else (lambda df: df)
 
     base = docs.select(named(id_col).cast("long").alias("doc_id"), words(named(text_col)).alias("words"))
-    last = F.size("words") - SPAN
+    last = F.size("words") - reach  # a mask that runs over the end has nulls there and equals no seed
     # explode over positions stays in generated code, so a long document's words are not copied per position
     places = base.select("doc_id", "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
     places = places.withColumn("pair", _pair("words", F.col("i"))).join(sized(seeds.select("pair").distinct()), "pair", "left_semi")
@@ -101,7 +111,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-_EQUAL = " OR ".join("(" + " AND ".join(f"p.w[p.i + {o + 1}] = s.w[s.i + {o + 1}]" for o in mask[2:]) + ")" for mask in MASKS)
+_EQUAL = " OR ".join("(" + " AND ".join(f"p.w[p.i + {o + 1}] = s.w[s.i + {o + 1}]" for o in mask[2:]) + ")" for mask in WIDE)
 SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),

@@ -1,5 +1,6 @@
 """Leaks against laying every item over every document in plain Python."""
 
+import itertools
 import random
 
 from tallystone.llm import decontaminate as d
@@ -75,3 +76,39 @@ def test_large_benchmark_is_not_broadcast(spark, rows, monkeypatch):
     monkeypatch.setattr(d, "SMALL", 0)
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
     assert d.leaks(rows([(1, "x a b c d e f g h i")]), bench).count() == 1
+
+
+def allowed(n, percent=80):
+    """Every choice of as many of n places as may be substituted."""
+    return itertools.combinations(range(n), n - -(-percent * n // 100))
+
+
+def test_masks_hit_every_allowed_substitution():
+    for n in range(d.SPAN, 26):
+        masks = d.MASKS if n <= d.DENSE_UP_TO else d.WIDE
+        bits = [sum(1 << o for o in m) << at for m in masks for at in range(n - d.SPAN + 1)]
+        assert all(any(not gone & b for b in bits) for gone in (sum(1 << i for i in c) for c in allowed(n)))
+
+
+def test_substitutions_in_short_items(spark, rows):
+    """Items laid over the documents at every place, without masks."""
+    sizes = (8, 9, 10, 11, 15, 16, 17)
+    items = [(n, [f"w{n}x{i}" for i in range(n)]) for n in sizes]
+    docs = []
+    for n, item in items:
+        chosen = list(allowed(n))
+        for gone in chosen if n < 12 else [c for c in chosen if c[0] in (1, 2, 3)]:
+            docs.append((len(docs), ["zz" if i in gone else w for i, w in enumerate(item)]))
+        docs.append((len(docs), item[: n - 1]))  # ends in the item
+        docs.append((len(docs), ["zz" if i < n // 2 else w for i, w in enumerate(item)]))
+    want = set()
+    for x, doc in docs:
+        for y, item in items:
+            for start in range(-len(item), len(doc)):
+                same = sum(0 <= start + j < len(doc) and doc[start + j] == w for j, w in enumerate(item))
+                if 100 * same >= 80 * len(item):
+                    want.add((x, y))
+    bench = spark.createDataFrame([(y, " ".join(item)) for y, item in items], "item_id long, text string")
+    got = d.leaks(rows([(x, " ".join(doc)) for x, doc in docs]), bench)
+    assert {(r.doc_id, r.item_id) for r in got.collect()} == want
+    assert len(docs) - len(want) == len(sizes)
