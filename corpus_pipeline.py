@@ -34,7 +34,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark passage."""
-    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), run=decontaminate.RUN)
     leaked = found.select(F.col("doc_id").alias("leaked id")).distinct()
     return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("`leaked id`")), "left_anti")
 

@@ -26,6 +26,7 @@ SPAN = 8
 WIDE = ((0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 4, 5, 7))
 DENSE, DENSE_UP_TO = (0, 1, 2, 3), 17  # words of the longest item that needs it
 MASKS = (*WIDE, *[tuple(o + at for o in DENSE) for at in range(SPAN - len(DENSE) + 1)])
+RUN = 8  # words in a row that are no chance; chance runs of the sample tables have 6 at most
 SMALL = 2_000_000  # rows of hashes and numbers: under 100 MB
 
 
@@ -46,16 +47,19 @@ def _pair(array: str, i: Column) -> Column:
     return F.xxhash64(_at(array, i), _at(array, i + 1))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 32, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int = 32, run: int | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, item_words and matched of every document and item that overlap.
 
     An item overlaps if, laid over the document at a seed hit, some ``window`` words of
     the item in a row (all, if it has fewer) agree in at least ``percent`` of their
-    places. Items of fewer than ``SPAN`` words must occur whole and unchanged. Items
+    places. With ``run`` (``SPAN`` at least) as many words of it in a row that all agree
+    are enough too, whatever the item's length. Items of fewer than ``SPAN`` words must occur whole and unchanged. Items
     without words match nothing. ``matched`` is the most words that agree in one
     place. Equal rows give one result row; documents are told apart by id only. Null
     texts are empty, null ids stay; empty tables give no rows.
     """
+    if run is not None and run < SPAN:
+        raise ValueError(f"run is under {SPAN}: shorter runs may have no seed")
     spark = docs.sparkSession
     finish_steps(spark)
     items = benchmark.select(named(item_col).cast("long").alias("item_id"), F.array_remove(words(named(item_text)), "").alias("item"))
@@ -93,7 +97,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int
         F.sequence(F.lit(0), F.size("item") - width),
         lambda s: 100 * F.size(F.filter("agree", lambda j: (j >= s) & (j < s + width))) >= percent * width,
     )
-    found = laid.filter((100 * F.size("agree") >= percent * width) & enough).select("doc_id", "item_id", F.size("item").alias("item_words"), F.size("agree").alias("matched"))
+    enough &= 100 * F.size("agree") >= percent * width
+    if run is not None:
+        together = F.exists(F.sequence(F.lit(0), F.size("agree") - run), lambda s: F.get("agree", s + run - 1) - F.get("agree", s) == run - 1)
+        enough |= F.when(F.size("agree") >= run, together).otherwise(F.lit(False))
+    found = laid.filter(enough).select("doc_id", "item_id", F.size("item").alias("item_words"), F.size("agree").alias("matched"))
 
     short = items.filter(F.size("item") < SPAN).select("item_id", F.size("item").alias("n"), F.xxhash64(*[_at("item", F.lit(o)) for o in range(SPAN)]).alias("seed"), "item")
     short = materialise(short, "benchmark-short")
@@ -107,8 +115,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents against the benchmark."""
-    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """All documents against the benchmark, runs of its items too."""
+    return leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), run=RUN)
 
 
 _EQUAL = " OR ".join("(" + " AND ".join(f"p.w[p.i + {o + 1}] = s.w[s.i + {o + 1}]" for o in mask[2:]) + ")" for mask in WIDE)

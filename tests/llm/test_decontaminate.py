@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import corpus_pipeline as cp
+
 from tallystone.llm import decontaminate as d
 
 
@@ -112,3 +114,16 @@ def test_substitutions_in_short_items(spark, rows):
     got = d.leaks(rows([(x, " ".join(doc)) for x, doc in docs]), bench)
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
     assert len(docs) - len(want) == len(sizes)
+
+
+def test_parts_of_long_items(spark, rows, tmp_path):
+    items = {59: [f"a{i}" for i in range(59)], 45: [f"b{i}" for i in range(45)], 34: [f"c{i}" for i in range(34)]}
+    parts = {1: items[59][20:45], 2: items[45][:22], 3: items[34][-8:], 4: items[34][:7], 5: items[59][5:12] + ["zz"] + items[59][13:20]}
+    docs = rows([(x, " ".join(["x", "y", *part, "z"])) for x, part in parts.items()])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    bench = spark.createDataFrame([(y, " ".join(item)) for y, item in items.items()], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = d.query(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 59): 25, (2, 45): 22, (3, 34): 8}
+    kept = cp.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {4, 5}
