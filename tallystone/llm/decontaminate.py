@@ -131,7 +131,11 @@ hits AS (
 laid AS (
   SELECT doc_id, item_id, len(iw) AS n, least(len(iw), 32) AS width,
          list_filter(range(len(iw)), lambda j: start + j >= 0 AND coalesce(dw[start + j + 1] = iw[j + 1], false)) AS agree FROM hits)
-SELECT doc_id, item_id, max(n) AS item_words, max(len(agree)) AS matched FROM laid
-WHERE len(list_filter(range(n - width + 1), lambda s: 100 * len(list_filter(agree, lambda j: j >= s AND j < s + width)) >= 80 * width)) > 0
+SELECT doc_id, item_id, max(n) AS item_words, max(matched) AS matched FROM (
+  SELECT doc_id, item_id, n, len(agree) AS matched FROM laid
+  WHERE len(list_filter(range(n - width + 1), lambda s: 100 * len(list_filter(agree, lambda j: j >= s AND j < s + width)) >= 80 * width)) > 0
+  UNION ALL
+  SELECT d.doc_id, b.item_id, len(b.w) AS n, len(b.w) AS matched FROM d JOIN b ON len(b.w) BETWEEN 1 AND {SPAN - 1} AND len(d.w) >= len(b.w)
+  WHERE len(list_filter(range(len(d.w) - len(b.w) + 1), lambda i: d.w[i + 1 : i + len(b.w)] = b.w)) > 0)
 GROUP BY doc_id, item_id
 """

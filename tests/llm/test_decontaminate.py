@@ -127,3 +127,15 @@ def test_parts_of_long_items(spark, rows, tmp_path):
     assert {(r.doc_id, r.item_id): r.matched for r in got} == {(1, 59): 25, (2, 45): 22, (3, 34): 8}
     kept = cp.benchmark_decontamination(spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in kept} == {4, 5}
+
+
+def test_sql_of_short_items(spark, rows):
+    import duckdb
+
+    docs = [(1, "x a b c d e y"), (2, "a b c d f"), (3, "one"), (4, None), (5, "p q r s t u v w x")]
+    items = [(1, "a b c d e"), (2, "One"), (3, ""), (4, "p q r s t u v w x"), (5, "p q r s t u v")]
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)").executemany("insert into documents values (?, ?)", docs)
+    con.execute("create table benchmark (item_id bigint, text varchar)").executemany("insert into benchmark values (?, ?)", items)
+    got = d.leaks(rows(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted(con.execute(d.SQL).fetchall()) == sorted(map(tuple, got)) == [(1, 1, 5, 5), (3, 2, 1, 1), (5, 4, 9, 9), (5, 5, 7, 7)]
