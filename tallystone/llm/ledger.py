@@ -2,7 +2,7 @@
 
 A text is a blob, named by its SHA-256. The ledger is a folder of Parquet files with
 one row per scanned blob and set of rule versions: the rules tried and the spans
-found. A scan takes the distinct blobs, drops every (blob, rule version) pair that
+found, each with the version of its rule. A scan takes the distinct blobs, drops every (blob, rule version) pair that
 the ledger already has, scans the rest, appends it, and joins the findings back to
 all rows that hold the blob. Changing a rule changes its version, so only that rule
 runs again.
@@ -51,10 +51,11 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
 )
 SPAN = "array<struct<kind:string,start:int,end:int>>"
+LEDGER = "blob string, versions array<string>, secrets array<struct<kind:string,start:int,end:int,version:string>>"
 
 
-def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
-    """Spans in code points, leftmost and non-overlapping per rule, by start and rule."""
+def _spans(text: str, rules: tuple[Rule, ...]) -> list[tuple[int, int, int]]:
+    """Start, place of the rule in ``rules`` and end of each span."""
     cache = process_cache("patterns")
     out = []
     for order, rule in enumerate(rules):
@@ -65,8 +66,13 @@ def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
             cache[key] = re.compile(quick, re.ASCII | (re.IGNORECASE if rule.fold else 0))
         for m in cache[key].finditer(text):
             if m.end(rule.group) - m.start(rule.group) >= rule.least:
-                out.append((m.start(), order, m.end(), rule.kind))
-    return [(kind, start, end) for start, _, end, kind in sorted(out)]
+                out.append((m.start(), order, m.end()))
+    return sorted(out)
+
+
+def find(text: str, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
+    """Spans in code points, leftmost and non-overlapping per rule, by start and rule."""
+    return [(rules[order].kind, start, end) for start, order, end in _spans(text, rules)]
 
 
 def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> None:
@@ -87,23 +93,30 @@ def record(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES, text_c
     by_version = {r.version: r for r in rules}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("version", pa.string())]))
         for batch in batches:
             found = []
             for text, missing in zip(batch.column("text").to_pylist(), batch.column("missing").to_pylist(), strict=True):
-                wanted = tuple(r for v, r in by_version.items() if v in missing)
-                found.append([{"kind": k, "start": a, "end": b} for k, a, b in find(text, wanted)])
+                wanted = tuple((r, v) for v, r in by_version.items() if v in missing)
+                spans = _spans(text, tuple(r for r, _ in wanted))
+                found.append([{"kind": wanted[k][0].kind, "start": a, "end": b, "version": wanted[k][1]} for a, k, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column("blob"), batch.column("missing"), pa.array(found, kind)], names=["blob", "versions", "secrets"])
 
-    blobs.select("blob", "text", "missing").mapInArrow(run, f"blob string, versions array<string>, secrets {SPAN}").write.mode("append").parquet(ledger)
+    blobs.select("blob", "text", "missing").mapInArrow(run, LEDGER).write.mode("append").parquet(ledger)
 
 
 def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and ``secrets`` (kind, start, end; by start, then rule) of the blobs with any."""
-    kinds = [r.kind for r in rules]
-    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), F.col("one.kind"))
-    found = spark.read.parquet(ledger).withColumn("one", F.explode("secrets")).filter(F.col("one.kind").isin(kinds))
-    found = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("one.start", rank.alias("rank"), "one.kind", "one.end"))).alias("all"))
+    """blob and ``secrets`` (kind, start, end; by start, then rule) of the blobs with any, by these versions of the rules only.
+
+    A span of a ledger that has no versions of spans is taken to be by the rule of its
+    kind among those its row tried.
+    """
+    own = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    tried = F.filter(own, lambda r: (r["kind"] == F.col("one.kind")) & F.array_contains("versions", r["version"]))
+    version = F.coalesce("one.version", F.get(tried, F.lit(0))["version"])
+    rank = F.array_position(F.array(*[F.lit(r.version) for r in rules]), version)
+    found = spark.read.schema(LEDGER).parquet(ledger).withColumn("one", F.explode("secrets")).withColumn("rank", rank).filter("rank > 0")
+    found = found.groupBy("blob").agg(F.sort_array(F.collect_set(F.struct("one.start", "rank", "one.kind", "one.end"))).alias("all"))
     return found.select("blob", F.transform("all", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("secrets"))
 
 

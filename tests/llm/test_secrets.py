@@ -67,3 +67,26 @@ def test_redact(spark, rows):
     out = ledger.redact(docs, scratch_path(spark, "ledger"))
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "a [secret] b", 2: None, 3: "clean", 4: "[secret] é", 5: "a [secret] b"}
+
+
+def test_a_changed_rule_on_a_kept_ledger(spark, rows):
+    path = scratch_path(spark, "ledger")
+    old, new = ledger.Rule("mark", "aa[0-9]+"), ledger.Rule("mark", "bb[0-9]+")
+    docs = rows([(1, "aa12 bb345"), (2, "aa1")])
+    spans = lambda rules: {r.doc_id: [tuple(s) for s in r.secrets] for r in ledger.scan(docs, path, rules).collect()}
+    first = {1: [("mark", 0, 4)], 2: [("mark", 0, 3)]}
+    assert spans((old,)) == first
+    assert spans((new,)) == {1: [("mark", 5, 10)], 2: []}
+    assert {r.doc_id: r.text for r in ledger.redact(docs, path, (new,)).collect()} == {1: "aa12 [secret]", 2: "aa1"}
+    assert spans((old,)) == first
+    assert spans((new, old)) == {1: [("mark", 0, 4), ("mark", 5, 10)], 2: [("mark", 0, 3)]}
+
+
+def test_a_ledger_without_versions_of_spans(spark, rows):
+    path, found = scratch_path(spark, "ledger"), scratch_path(spark, "ledger")
+    old, new = ledger.Rule("mark", "aa[0-9]+"), ledger.Rule("mark", "bb[0-9]+")
+    docs = rows([(1, "aa12 bb345")])
+    ledger.scan(docs, found, (old,))
+    spark.read.parquet(found).withColumn("secrets", F.transform("secrets", lambda x: x.dropFields("version"))).write.parquet(path)
+    assert [tuple(s) for r in ledger.scan(docs, path, (old,)).collect() for s in r.secrets] == [("mark", 0, 4)]
+    assert [tuple(s) for r in ledger.scan(docs, path, (new,)).collect() for s in r.secrets] == [("mark", 5, 10)]
