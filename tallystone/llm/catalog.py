@@ -1,6 +1,6 @@
 """The package's queries and their SQL."""
 
-from tallystone.llm import decontaminate, jaccard, ledger, packing, pieces, quality, sharding, substrings, tokenfile, urls, warc
+from tallystone.llm import alignment, decontaminate, jaccard, ledger, negatives, packing, pieces, quality, sharding, substrings, tokenfile, urls, warc
 
 QUERIES = {
     "op1_suffix_dedup": substrings.query,
@@ -13,10 +13,13 @@ QUERIES = {
     "op8_warc": warc.query,
     "op9_sharding": sharding.query,
     "op10_url_filters": urls.query,
+    "op11_alignment": alignment.query,
+    "op12_hard_negatives": negatives.query,
     "op13_sentencepiece": pieces.query,
 }
 ORACLES = {
     "op7_decontamination": decontaminate.SQL,
     "op8_warc": warc.SQL,
     "op10_url_filters": urls.SQL,
+    "op12_hard_negatives": negatives.SQL,
 }

@@ -29,13 +29,14 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; ``path`` is a tokenizers JSON file."""
+    """Encodes batches of texts; ``path`` is a tokenizers JSON file, ``plain`` takes special tokens in texts as text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.tok.encode_special_tokens = plain
         self.size = self.tok.get_vocab_size()
         by_id = sorted(self.tok.get_vocab().items(), key=lambda x: x[1])
         self.word_ends = sum(w.endswith("</w>") for w, _ in by_id) > 1000
