@@ -14,6 +14,7 @@ its own pairs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,24 +31,41 @@ from tallystone.session import materialise
 
 BITS = 20  # of an id within a pair
 WIDE = 1 << 12  # links of a group; wider groups are multiplied out by distinct ids
-STORED = "kind int, batch long, doc_id long, a_ids binary, b_ids binary, n_a binary, n_b binary, pairs binary, docs binary"
+STORED = "batch long, documents binary, pairs binary, docs binary"
 COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
-class Aligner:
-    """Both vocabularies of a worker and what is needed to lay their tokens on bytes."""
+class ByteLevel(Encoder):
+    """A byte-level vocabulary whose ids are its merges in order, by tiktoken; special tokens in texts are text."""
 
-    def __init__(self, byte_path: str, piece_path: str):
-        self.a, self.b = Encoder(byte_path, plain=True), Pieces(piece_path)
-        # a byte-level entry shows a printable byte as its Latin-1 character, the others in order from U+0100
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
+
+        super().__init__(path)
+        # an entry shows a printable byte as its Latin-1 character, the others in order from U+0100
         printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
         hidden = [b for b in range(256) if b not in printable]
         alphabet = {chr(b): b for b in printable} | {chr(0x100 + k): b for k, b in enumerate(hidden)}
-        entries = self.a.tok.get_vocab()
-        raw = [b""] * (max(entries.values()) + 1)
-        for word, i in entries.items():
-            raw[i] = bytes(alphabet.get(c, 0) for c in word)
-        self.a_start, self.a_size, self.a_bytes = _laid(raw)
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        single = [w for w in model["vocab"] if len(w) == 1]
+        if any(model["vocab"][w] != len(single) + k for k, w in enumerate(merged)) or len(single) != 256:
+            raise ValueError("ids do not follow the merges")
+        self.raw = {i: bytes(alphabet[c] for c in w) for w, i in model["vocab"].items() if i < 256 + len(merged)}
+        self.fast = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks={r: i for i, r in self.raw.items()}, special_tokens={})
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.fast.encode_ordinary(t), np.uint32) for t in texts]
+
+
+class Aligner:
+    """Both vocabularies of a worker and what is needed to lay their tokens on bytes."""
+
+    def __init__(self, byte_path: str, piece_path: str):
+        self.a, self.b = ByteLevel(byte_path), Pieces(piece_path)
+        self.a_start, self.a_size, self.a_bytes = _laid([self.a.raw[i] for i in range(len(self.a.raw))])
         names = [self.b.library.id_to_piece(i) for i in range(self.b.n)]
         self.b_start, self.b_size, self.b_bytes = _laid([bytes([int(p[3:5], 16)]) if self.b.library.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(names)])
 
@@ -164,13 +182,12 @@ def _aligner(byte_path: str, piece_path: str) -> Aligner:
 
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
-    """A written table: one row per document (kind 0) and one per batch (kind 1).
-
-    Documents have ids of both sides (unsigned 32-bit) and how many each group has of them;
-    a batch has its distinct pairs (``a << BITS | b``) and how many of its documents hold each.
+    """A written table with batch and, in one row per 2 MB of texts, the compressed ``documents``
+    (``_kept``); in one row per batch its distinct ``pairs`` (``a << BITS | b``) and ``docs``, how
+    many of its documents hold each.
     """
     names = [c.split()[0] for c in STORED.split(", ")]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 6]
+    kinds = [pa.int64(), *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, part, seq = _aligner(byte_path, piece_path), TaskContext.get().partitionId(), 0
@@ -183,30 +200,17 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
             keys, counts = keys[order], np.concatenate([h[1] for h in held])[order]
             first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             counts = np.add.reduceat(counts, first) if len(first) else counts
-            row = [1, part << 20 | seq, None, None, None, None, None, keys[first].tobytes(), counts.astype(np.uint32).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=names)
+            return one(None, keys[first].tobytes(), counts.astype(np.uint32).tobytes())
+
+        def one(*columns):
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part << 20 | seq, *columns), kinds, strict=True)], names=names)
 
         for batch in sliced(batches, "text", 2 << 20):
             a, a_at, b, b_at, n_a, n_b, group_at = pair.align(batch.column("text"))
             doc = np.repeat(np.arange(batch.num_rows), np.diff(group_at))
             _, keys, _ = links(a, b, n_a, n_b, doc)
             held.append(np.unique(keys, return_counts=True))
-            cut = lambda x, at: pa.array([x[lo:hi].astype(np.uint32).tobytes() for lo, hi in zip(at[:-1], at[1:], strict=True)], pa.binary())
-            none = pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.zeros(batch.num_rows, np.int32)),
-                    pa.array(np.full(batch.num_rows, part << 20 | seq)),
-                    batch.column("doc_id"),
-                    cut(a, a_at),
-                    cut(b, b_at),
-                    cut(n_a, group_at),
-                    cut(n_b, group_at),
-                    none,
-                    none,
-                ],
-                names=names,
-            )
+            yield one(_kept(batch.column("doc_id"), (a, a_at), (b, b_at), (n_a, group_at), (n_b, group_at)), None, None)
             size, docs_held = size + len(string_parts(batch.column("text"))[1]), docs_held + batch.num_rows
             if size >= batch_bytes or docs_held >= 1 << 18:
                 yield flush()
@@ -219,6 +223,21 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc
     return materialise(texts(docs, id_col, text_col).mapInArrow(run, STORED), "aligned")
 
 
+def _kept(doc_id: pa.Array, *columns: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """Documents as a compressed Arrow stream; a column is its values and their offsets by document."""
+
+    def narrow(x):
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32) if not len(x) or x.max() <= np.iinfo(t).max)
+        return pa.array(x.astype(kind))
+
+    lists = [pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), narrow(x)) for x, at in columns]
+    batch = pa.RecordBatch.from_arrays([doc_id, *lists], names=["doc_id", "a", "b", "n_a", "n_b"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
 def _unpacked(stored: DataFrame) -> DataFrame:
     """batch, pair and docs of every batch's distinct pairs."""
 
@@ -230,7 +249,7 @@ def _unpacked(stored: DataFrame) -> DataFrame:
                     part = slice(lo, lo + 50_000)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys[part]), name)), pa.array(keys[part]), pa.array(docs[part])], names=["batch", "pair", "docs"])
 
-    return stored.filter("kind = 1").select("batch", "pairs", "docs").mapInArrow(run, "batch long, pair long, docs long")
+    return stored.filter("pairs is not null").select("batch", "pairs", "docs").mapInArrow(run, "batch long, pair long, docs long")
 
 
 def pair_counts(stored: DataFrame) -> DataFrame:
@@ -249,23 +268,22 @@ def counted(stored: DataFrame, counts: DataFrame) -> DataFrame:
         pairs = replies["pair"].to_numpy().astype(np.uint64)
         order = np.argsort(pairs)
         pairs, n, best = pairs[order], replies["n"].to_numpy()[order], replies["best"].to_numpy().astype(bool)[order]
-        out, size, lo = [], documents["a_ids"].map(len).to_numpy(), 0
-        steps = np.flatnonzero(np.diff(np.cumsum(size) // (2 << 20))) + 1
-        for hi in [*steps.tolist(), len(documents)]:
-            some = documents.iloc[lo:hi]
-            a, b, n_a, n_b = (np.frombuffer(b"".join(some[c]), np.uint32).astype(np.int64) for c in ("a_ids", "b_ids", "n_a", "n_b"))
-            sizes = {c: some[c].map(len).to_numpy() // 4 for c in ("a_ids", "b_ids", "n_a")}
-            group_at = np.concatenate([[0], np.cumsum(sizes["n_a"])])
-            doc, key, times = links(a, b, n_a, n_b, np.repeat(np.arange(hi - lo), sizes["n_a"]))
+        out = []
+        for kept in documents["documents"]:
+            some = pa.ipc.open_stream(kept).read_next_batch()
+            a, b, n_a, n_b = (some.column(c).flatten().to_numpy().astype(np.int64) for c in ("a", "b", "n_a", "n_b"))
+            a_at, b_at, group_at = (some.column(c).offsets.to_numpy() for c in ("a", "b", "n_a"))
+            n_docs = len(some)
+            doc, key, times = links(a, b, n_a, n_b, np.repeat(np.arange(n_docs), np.diff(group_at)))
             at = np.searchsorted(pairs, key)
-            total = lambda x: np.add.reduceat(np.append(x, 0), np.searchsorted(doc, np.arange(hi - lo))) * (np.bincount(doc, minlength=hi - lo) > 0)  # noqa: B023, E731
+            total = lambda x: np.add.reduceat(np.append(x, 0), np.searchsorted(doc, np.arange(n_docs))) * (np.bincount(doc, minlength=n_docs) > 0)  # noqa: B023, E731
             out.append(
                 pd.DataFrame(
                     {
-                        "doc_id": some["doc_id"].astype("Int64"),
-                        "n_a": sizes["a_ids"],
-                        "n_b": sizes["b_ids"],
-                        "n_groups": sizes["n_a"],
+                        "doc_id": pd.array(some.column("doc_id").to_pylist(), "Int64"),
+                        "n_a": np.diff(a_at),
+                        "n_b": np.diff(b_at),
+                        "n_groups": np.diff(group_at),
                         "n_links": total(times),
                         "n_best": total(times * best[at]),
                         "count_sum": total(times * n[at]),
@@ -273,11 +291,10 @@ def counted(stored: DataFrame, counts: DataFrame) -> DataFrame:
                     }
                 )
             )
-            lo = hi
         give_back()
         return pd.concat(out)
 
-    documents = stored.filter("kind = 0").select("batch", "doc_id", "a_ids", "b_ids", "n_a", "n_b")
+    documents = stored.filter("documents is not null").select("batch", "documents")
     return documents.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, COUNTED)
 
 
