@@ -208,7 +208,7 @@ class Pieces:
         coded = flat.dictionary_encode()
         code, distinct = coded.indices.to_numpy(), coded.dictionary
         lengths = pc.utf8_length(distinct).to_numpy().astype(np.int64) + 1
-        joined = "".join(f" {w}" for w in distinct.to_pylist())
+        joined = "".join(f" {w}" for w in distinct.to_numpy(zero_copy_only=False))
         symbols, counts = self.agenda(_codes(joined), lengths)
         own, counts = self._ids(symbols, counts)
         firsts = np.cumsum(counts) - counts

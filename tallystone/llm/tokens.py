@@ -9,15 +9,17 @@ encoding every text whole.
 from __future__ import annotations
 
 import os
-import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from tallystone.llm.common import process_cache
 
 _WIDE = "\x85\xa0  -     　"  # white space beyond ASCII
-_RUN = re.compile(f"[\t\r\x0b\x0c\x00{_WIDE}]|[ \n][ \n]|<\\|")
-_ODD = re.compile("[\x00\x1c-\x1f~]|<\\|")
+#: Texts with these are encoded whole: white space that does not stand alone, marks used here, special tokens.
+_RUN = f"[\t\r\x0b\x0c\\x00{_WIDE}]|[ \n][ \n]|<\\|"
+_ODD = f"[\\x00\x1c-\x1f~{_WIDE}]|<\\|"
 KEEP = 400_000  # pieces a worker remembers; beyond that only the often used ones stay
 
 
@@ -29,14 +31,13 @@ def vocabulary(name: str) -> str:
 
 
 class Encoder:
-    """Encodes batches of texts; ``path`` is a tokenizers JSON file, ``plain`` takes special tokens in texts as text."""
+    """Encodes batches of texts; ``path`` is a tokenizers JSON file."""
 
-    def __init__(self, path: str, plain: bool = False):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = plain
         self.size = self.tok.get_vocab_size()
         by_id = sorted(self.tok.get_vocab().items(), key=lambda x: x[1])
         self.word_ends = sum(w.endswith("</w>") for w, _ in by_id) > 1000
@@ -66,16 +67,26 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces whose ids in a row are the text's ids; None if the text must be encoded whole."""
+    def _pieces(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """(pieces of all texts in a row, their number by text, texts to be encoded whole instead)."""
+        odd = pc.match_substring_regex(column, _ODD if self.word_ends else _RUN)
+        column = pc.if_else(odd, pa.scalar("", column.type), column)
         if self.word_ends:
-            return None if _ODD.search(text) else text.split()
-        if _RUN.search(text):
-            return None
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return ["\x00" + first, *rest] if first else rest if rest else []
+            lists = pc.ascii_split_whitespace(column)
+        else:  # a first piece is marked; the others follow a space or line end
+            marked = pc.binary_join_element_wise(pa.scalar("\x00", column.type), pc.replace_substring(column, "\n", " \n"), pa.scalar("", column.type))
+            lists = pc.split_pattern(marked, " ")
+        return lists.flatten(), np.diff(lists.offsets.to_numpy()), np.flatnonzero(odd.to_numpy(zero_copy_only=False))
 
     def _learn(self, pieces: list[str]) -> None:
+        nothing = "" if self.word_ends else "\x00"
+        if nothing in pieces:
+            pieces = [p for p in pieces if p != nothing]
+            self._add([nothing], np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64))
+        for lo in range(0, len(pieces), 4000):
+            self._learn_some(pieces[lo : lo + 4000])
+
+    def _learn_some(self, pieces: list[str]) -> None:
         if self.word_ends:
             ids = np.array(self.tok.encode_batch_fast([" ~ ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             edges = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]])
@@ -85,7 +96,7 @@ class Encoder:
             blank = [p for p in pieces if p in ("", "\n")]
             pieces = [p for p in pieces if p not in ("", "\n")]
             real = [("\n" + p[1:] if p[0] == "\x00" else p if p[0] == "\n" else " " + p) for p in pieces]
-            ids = np.array(self.tok.encode_batch_fast(["".join(real)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self._whole(["".join(real)])[0]
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum([len(r.encode()) for r in real]), "right")
             first = np.array([p[0] == "\x00" for p in pieces], np.int64)
             begins = np.concatenate([[0], ends])[:-1] + first
@@ -96,6 +107,9 @@ class Encoder:
                 ids = np.concatenate([ids, own])
             pieces = pieces + blank
         assert len(counts) == len(pieces)
+        self._add(pieces, ids, begins, counts)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, begins: np.ndarray, counts: np.ndarray) -> None:
         need, rows = self.used + len(ids), self.rows + len(pieces)
         if need > len(self.ids):
             self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * need, np.uint32)])
@@ -107,45 +121,40 @@ class Encoder:
         self.known.update(zip(pieces, range(self.rows, rows), strict=True))
         self.used, self.rows = need, rows
 
-    def encode(self, texts: list[str], step: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str] | pa.Array, step: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, their offsets by text)."""
-        out, sizes, lo = [], [], 0
-        while lo < len(texts):
-            hi, n = lo, 0
-            while hi < len(texts) and (hi == lo or n + len(texts[hi]) <= step):
-                n += len(texts[hi])
-                hi += 1
-            ids, counts = self._encode(texts[lo:hi])
-            out.append(ids)
-            sizes.append(counts)
-            lo = hi
-        offsets = np.concatenate([[0], *sizes]).astype(np.int64).cumsum()
-        return (np.concatenate(out) if out else np.zeros(0, np.uint32)), offsets
-
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        column = (texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())).cast(pa.large_string())
+        sizes = np.cumsum(pc.binary_length(column).to_numpy()) // step
+        edges = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(column)]
+        parts = [self._encode(column.slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:], strict=True) if hi > lo]
+        offsets = np.concatenate([[0], *(p[1] for p in parts)]).astype(np.int64).cumsum()
+        return (np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint32)), offsets
+
+    def _encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         if self.rows > KEEP:
             self._forget()
-        split = [self._pieces(t) for t in texts]
-        odd = [i for i, p in enumerate(split) if p is None]
-        flat: list[str] = []
-        for p in split:
-            flat += p or ()
-        missing = [p for p in dict.fromkeys(flat) if p not in self.known]
-        if missing:
+        flat, pieces, odd = self._pieces(column)
+        coded = flat.dictionary_encode()
+        distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+        known = self.known.get
+        rows = np.array([known(p, -1) for p in distinct], np.int64)
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            missing = distinct[new].tolist()
             self._learn(missing)
-        codes = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        self.hits[: self.rows] += np.bincount(codes, minlength=self.rows)
+            rows[new] = [self.known[p] for p in missing]
+        codes = rows[coded.indices.to_numpy()] if len(rows) else np.zeros(0, np.int64)
+        self.hits[rows] += np.bincount(coded.indices.to_numpy(), minlength=len(rows))
         lengths = self.counts[codes]
         ends = np.cumsum(lengths)
         total = int(ends[-1]) if len(ends) else 0
         at = np.arange(total, dtype=np.int64) + np.repeat(self.begins[codes] - (ends - lengths), lengths)
         ids = self.ids[at]
-        pieces = np.cumsum([len(p or ()) for p in split])
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], pieces])]
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(pieces)])]
         counts = np.diff(bounds)
-        if odd:
-            whole = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True))
-            parts = [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(texts))]
+        if len(odd):
+            whole = dict(zip(odd.tolist(), self._whole(column.take(pa.array(odd)).to_pylist()), strict=True))
+            parts = [whole[i] if i in whole else ids[bounds[i] : bounds[i + 1]] for i in range(len(column))]
             return np.concatenate(parts), np.array([len(p) for p in parts])
         return ids, counts
 
