@@ -173,7 +173,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids"],
                     )
 
-    files = manifest.select("path", "first").repartition("path")
+    files = manifest.select("path", "first").repartition(max(1, manifest.count()))  # one task per file
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 
 
