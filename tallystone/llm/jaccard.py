@@ -8,12 +8,14 @@
    order their shingles rare first (document frequency, then hash); the first
    n - ceil(t n) + 1 of all n are its prefix. Linked documents share a prefix shingle.
 3. Documents with the same set collapse to one representative.
-4. Representatives meet on prefix shingles. Length and positional filters apply per
-   meeting, a suffix filter (bins of the hash range) per distinct pair, and each pair
-   that is left is verified once on its whole sets. A shingle's representatives first
-   meet a pivot each round; those found linked are one component from then on, and
-   only pairs across components are left for the last, complete round. So a group of
-   near copies costs as many pairs as it has members, and no link is lost.
+4. Representatives meet on prefix shingles. Length, positional and suffix filters are part
+   of the meeting: the suffix filter is a parity sketch of the whole set, whose Hamming
+   distance never exceeds the sets' difference. A pair that is left is verified once a round
+   on its whole sets.
+5. In a pivot round every shingle has one pivot, and a row is verified with the best pivot
+   that passes the filters, so a round verifies no more pairs than there are rows. After
+   that, pairs whose rows are known to be one component are left out, and the complete
+   round verifies every other pair that passes: no link between components is lost.
 """
 
 from __future__ import annotations
@@ -32,10 +34,10 @@ from tallystone.llm.components import components
 from tallystone.llm.words import Words, owned
 from tallystone.session import materialise
 
-BINS = 16
+SKETCH = 4  # longs of a parity sketch
 PACKED = "kind int, batch long, bucket long, keys binary, docs binary, heavy_keys binary, heavy_counts binary, heavy_first long"
 REPLY = "batch long, kind int, keys binary, docs binary, heavy_keys binary, heavy_counts binary, heavy_first long"
-SETS = "rid long, doc_id long, digest long, n long, sig1 long, sig2 long, shared long, tokens binary, bins binary"
+SETS = "rid long, doc_id long, digest long, n long, sig1 long, sig2 long, shared long, tokens binary, sketch binary"
 
 
 def shingle_sets(offsets: np.ndarray, raw: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +174,9 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
         order = np.lexsort((keys, df, docs))
         keys, docs = keys[order], docs[order]
         starts = np.searchsorted(docs, np.arange(n_docs + 1))
-        bins = np.bincount(docs.astype(np.int64) * BINS + (keys >> np.uint64(60)).astype(np.int64), minlength=n_docs * BINS).astype(np.uint32).reshape(n_docs, BINS)
+        bits = 64 * SKETCH
+        odd = np.bincount(docs.astype(np.int64) * bits + (keys % np.uint64(bits)).astype(np.int64), minlength=n_docs * bits) & 1
+        sketch = np.packbits(odd.astype(np.uint8).reshape(n_docs, bits), axis=1)
         return pd.DataFrame(
             {
                 "rid": (np.int64(batch) << 20) + np.arange(n_docs),
@@ -183,7 +187,7 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
                 "sig2": sig2,
                 "shared": shared,
                 "tokens": [keys[starts[i] : starts[i + 1]].tobytes() if hopeful[i] else None for i in range(n_docs)],
-                "bins": [bins[i].tobytes() if hopeful[i] else None for i in range(n_docs)],
+                "sketch": [sketch[i].tobytes() if hopeful[i] else None for i in range(n_docs)],
             }
         )
 
@@ -191,39 +195,36 @@ def shared_sets(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", t
     return materialise(replies.groupBy("batch").applyInPandas(gather, SETS), "shingle-sets")
 
 
+POSTING = ", ".join(("token long", "rid long", "n long", "place long", "alone long", *(f"s{i} long" for i in range(SKETCH))))
+
+
 def _prefix_rows(reps: DataFrame, percent: int) -> DataFrame:
-    """token, rid, n and place (in the whole rare-first order) of every prefix shingle that others have."""
+    """Every prefix shingle that others have: rid, n, place in the whole rare-first order, how
+    many shingles no other document has, and the sketch of the others."""
+    names = [c.split()[0] for c in POSTING.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rid, n, shared, raw in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "shared", "tokens")), strict=True):
+            parts = []
+            for rid, n, shared, raw, sketch in zip(*(batch.column(c).to_pylist() for c in ("rid", "n", "shared", "tokens", "sketch")), strict=True):
                 alone = n - shared
                 take = n - int(_needed(np.int64(n), percent)) + 1 - alone
                 tokens = np.frombuffer(raw, np.int64)[:take]
-                size = len(tokens)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tokens), pa.array(np.full(size, rid)), pa.array(np.full(size, n)), pa.array(alone + np.arange(size))], names=["token", "rid", "n", "place"]
-                )
+                head = np.array([rid, n, 0, alone, *np.frombuffer(sketch, np.int64)], np.int64)
+                rows = np.repeat(head[None], len(tokens), axis=0)
+                rows[:, 2] = alone + np.arange(len(tokens))
+                parts.append(np.column_stack([tokens, rows]))
+            if parts:
+                rows = np.concatenate(parts)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[:, i])) for i in range(len(names))], names=names)
 
-    return reps.select("rid", "n", "shared", "tokens").mapInArrow(run, "token long, rid long, n long, place long")
+    return reps.select("rid", "n", "shared", "tokens", "sketch").mapInArrow(run, POSTING)
 
 
 def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of representatives whose whole sets link."""
-    small = reps.select("rid", "n", "bins")
-    two = pairs.join(small.toDF("a", "na", "bins_a"), "a").join(small.toDF("b", "nb", "bins_b"), "b")
-
-    def suffix_filter(na: pd.Series, nb: pd.Series, bins_a: pd.Series, bins_b: pd.Series) -> pd.Series:
-        if not len(na):
-            return pd.Series([], dtype=bool)
-        x = np.frombuffer(b"".join(bins_a), np.uint32).reshape(-1, BINS)
-        y = np.frombuffer(b"".join(bins_b), np.uint32).reshape(-1, BINS)
-        most = np.minimum(x, y).sum(axis=1).astype(np.int64)
-        return pd.Series(100 * most >= percent * (na.to_numpy() + nb.to_numpy() - most))
-
-    two = two.filter(F.pandas_udf(suffix_filter, "boolean")("na", "nb", "bins_a", "bins_b")).drop("bins_a", "bins_b")
-    sets = reps.select("rid", "tokens")
-    two = two.join(sets.toDF("b", "tokens_b"), "b").join(sets.toDF("a", "tokens_a"), "a")
+    sets = reps.select("rid", "n", "tokens")
+    two = pairs.join(sets.toDF("a", "na", "tokens_a"), "a").join(sets.toDF("b", "nb", "tokens_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -237,14 +238,32 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 
 def _may_link(percent: int):
-    """Length and positional filters on two postings (x, y) of one shingle."""
+    """Length, positional and suffix filters on two postings (x, y) of one shingle."""
     nx, ny = F.col("x.n"), F.col("y.n")
     length = (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
     rest = 1 + F.least(nx - F.col("x.place") - 1, ny - F.col("y.place") - 1)
-    return length & ((100 + percent) * rest >= percent * (nx + ny))
+    apart = F.col("x.alone") + F.col("y.alone")
+    for i in range(SKETCH):
+        apart = apart + F.bit_count(F.col(f"x.s{i}").bitwiseXOR(F.col(f"y.s{i}")))
+    return length & ((100 + percent) * rest >= percent * (nx + ny)) & ((100 + percent) * (nx + ny - apart) >= 2 * percent * (nx + ny))
+
 
+def _classes(hopeful: DataFrame) -> DataFrame:
+    """rid and rep: the first of the documents with the same set; a frequent set is spread over ``salts`` tasks."""
+    same, salts = ["n", "sig1", "sig2"], 16
+    found = hopeful.groupBy(*same).agg(F.min("rid").alias("rep"), F.count("*").alias("times")).filter("times > 1")
+    found = found.select(*same, "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    rows = hopeful.select("rid", *same, F.pmod("rid", F.lit(salts)).alias("salt"))
+    return rows.join(found, [*same, "salt"], "left").select("rid", F.coalesce("rep", "rid").alias("rep"))
 
-def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 6) -> DataFrame:
+
+def _settled(reps: DataFrame, links: DataFrame) -> DataFrame:
+    """rid and comp of every representative: the component that ``links`` make."""
+    roots = components(links).withColumnRenamed("node", "rid")
+    return reps.select("rid").join(roots, "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp"))
+
+
+def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", pivots: int = 3) -> DataFrame:
     """rid, doc_id, digest, n_shingles, component_id and ``first`` of every row.
 
     Words are runs of bytes other than space and 0x09-0x0D, A-Z lowered. Two rows link
@@ -252,55 +271,48 @@ def linked(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id
     smallest doc_id reachable over links (null ids only if there is no other), ``first``
     marks one row per component, that with the smallest doc_id. A null text or one
     without words has no shingles and links with nothing; repeated rows have equal sets
-    and link. ``rid`` numbers the
-    rows, ``digest`` is xxhash64 of the text. An empty table gives no rows.
+    and link; a text of any length is one set of all its shingles. Ids are cast to long.
+    ``rid`` numbers the rows, ``digest`` is xxhash64 of the text. An empty table gives no
+    rows. ``pivots`` is the number of pivot rounds; it changes the work, not the result.
     """
     spark = docs.sparkSession
     finish_steps(spark)
     sets = shared_sets(docs, k, percent, id_col, text_col)
-    hopeful = sets.filter("tokens is not null")
-    # one representative per distinct set
-    same = ["n", "sig1", "sig2"]
-    classes = hopeful.groupBy(*same).agg(F.min("rid").alias("rep"))
-    members = materialise(hopeful.select("rid", *same).join(classes, same).select("rid", "rep"), "set-members")
+    members = materialise(_classes(sets.filter("tokens is not null")), "set-members")
     reps = materialise(sets.join(members.filter("rid = rep").select("rid"), "rid"), "set-representatives")
     postings = _prefix_rows(reps, percent)
     busy = postings.groupBy("token").count().filter("count > 1").select("token")
     postings = materialise(postings.join(busy, "token"), "prefix-postings")
-    labels = reps.select("rid", F.col("rid").alias("comp"))
-    links, tried, size = None, None, postings.count()
-    for turn in range(pivots + 1):
-        here = materialise(postings.join(labels, "rid"), "prefix-labels") if links is not None else postings.withColumn("comp", F.col("rid"))
-        # the largest component of each shingle; pairs within it are settled
-        parts = here.groupBy("token", "comp").agg(F.count("*").alias("m"))
-        tops = parts.groupBy("token").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count("*").alias("comps"))
-        tops = materialise(tops.filter("comps > 1").select("token", F.col("top.comp").alias("major"), (F.col("all") - F.col("top.m")).alias("minor"), "all"), "prefix-tops")
-        left = tops.agg(F.sum(F.col("minor").cast("double") * F.col("all"))).first()[0] or 0
-        if not left:
+    here, links = postings.withColumn("comp", F.col("rid")), None
+    for turn in range(pivots):
+        # rows near the start of a round's order are the pivots of all their shingles
+        mix = F.xxhash64("comp", "rid", F.lit(turn)) if turn else F.col("rid")
+        dealt = here.withColumn("mix", mix)
+        entry = F.struct("mix", *[c for c in dealt.columns if c not in ("mix", "token")])
+        pivot = dealt.groupBy("token").agg(F.min(entry).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("token", "p.*")
+        met = dealt.alias("x").join(pivot.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _may_link(percent))
+        best = met.groupBy(F.col("x.rid").alias("a")).agg(F.min(F.struct("y.mix", "y.rid"))["rid"].alias("b"))
+        found = materialise(_verified(best, reps, percent), "links")
+        if found.isEmpty():
             break
-        last = left <= 4 * size or turn == pivots
-        here = here.join(tops.select("token", "major"), "token")
-        if last:  # every pair across components, met from the side outside the largest one
-            x, y = here.filter("comp <> major").alias("x"), here.alias("y")
-            once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.rid") < F.col("y.rid"))
-        else:
-            mix = F.xxhash64("rid", F.lit(turn)) if turn else F.col("rid")  # first stars around smallest rows, which are components as they are
-            entry = F.struct(mix.alias("mix"), "rid", "n", "place", "comp")
-            ends = here.groupBy("token").agg(F.array(F.min(entry), F.max(entry)).alias("p"))  # two pivots: the least and the greatest
-            pivot = ends.select("token", F.explode("p").alias("p")).select("token", "p.*")
-            x, y, once = pivot.alias("x"), here.alias("y"), F.lit(True)
-        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link(percent))
-        pairs = met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "candidate-pairs")
-        found = materialise(_verified(pairs, reps, percent), "links")
-        tried = pairs if tried is None else tried.unionByName(pairs)
         links = found if links is None else links.unionByName(found)
-        roots = components(links)
-        labels = reps.select("rid").join(roots.withColumnRenamed("node", "rid"), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp"))
-        if last:
-            break
+        # one hop: a row takes the smallest component it has a link to
+        comp = here.select("rid", "comp").distinct()
+        named = lambda end, other: found.select(F.col(end).alias("rid"), F.col(other).alias("other"))  # noqa: B023, E731
+        hops = named("a", "b").unionByName(named("b", "a")).join(comp.toDF("other", "to"), "other").groupBy("rid").agg(F.min("to").alias("to"))
+        here = materialise(here.join(hops, "rid", "left").withColumn("comp", F.least("comp", F.coalesce("to", "comp"))).drop("to"), "prefix-labels")
+    if links is not None:
+        here = materialise(postings.join(_settled(reps, links), "rid"), "prefix-labels")
+    # every pair across components, met from the side outside the shingle's largest one
+    parts = here.groupBy("token", "comp").agg(F.count("*").alias("m"))
+    tops = parts.groupBy("token").agg(F.max(F.struct("m", "comp"))["comp"].alias("major"), F.count("*").alias("comps")).filter("comps > 1").select("token", "major")
+    here = materialise(here.join(tops, "token"), "prefix-tops")
+    x, y = here.filter("comp <> major").alias("x"), here.alias("y")
+    once = (F.col("y.comp") == F.col("y.major")) | (F.col("x.rid") < F.col("y.rid"))
+    met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & once & _may_link(percent))
+    pairs = materialise(met.select(F.least("x.rid", "y.rid").alias("a"), F.greatest("x.rid", "y.rid").alias("b")).distinct(), "candidate-pairs")
+    found = _verified(pairs, reps, percent)
+    labels = _settled(reps, found if links is None else links.unionByName(found))
     comps = members.join(labels.withColumnRenamed("rid", "rep"), "rep").select("rid", "comp")
     out = sets.select("rid", "doc_id", "digest", F.col("n").alias("n_shingles")).join(comps, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
     out = materialise(out, "component-rows")
