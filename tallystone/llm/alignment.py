@@ -15,13 +15,13 @@ its own pairs.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallystone.llm.common import finish_steps, give_back, process_cache, sliced, string_parts, texts
@@ -31,8 +31,8 @@ from tallystone.session import materialise
 
 BITS = 20  # of an id within a pair
 WIDE = 1 << 12  # links of a group; wider groups are multiplied out by distinct ids
-STORED = "batch long, documents binary, pairs binary, docs binary"
-COUNTED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+STORED = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, n_pairs long, held binary, pairs binary, docs binary"
+COUNTED = "doc_id string, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
 
 class ByteLevel(Encoder):
@@ -181,61 +181,51 @@ def _aligner(byte_path: str, piece_path: str) -> Aligner:
     return cache[byte_path, piece_path]
 
 
-def aligned(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
-    """A written table with batch and, in one row per 2 MB of texts, the compressed ``documents``
-    (``_kept``); in one row per batch its distinct ``pairs`` (``a << BITS | b``) and ``docs``, how
-    many of its documents hold each.
+def _held(at: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending places and their times, small and compressed: differences, byte planes apart."""
+    both = np.stack([np.diff(at, prepend=0), times]).astype("<u4")
+    return pa.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _let_go(raw: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(pa.decompress(raw, 8 * n, "zstd", asbytes=True), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(planes.T).view("<u4").reshape(2, n).astype(np.int64)
+    return np.cumsum(both[0]), both[1]
+
+
+def aligned(docs: DataFrame, byte_path: str, piece_path: str, keep: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20) -> DataFrame:
+    """A written table of batches of documents.
+
+    A batch has one row with its distinct ``pairs`` (``a << BITS | b``, ascending) and ``docs``,
+    how many of its documents hold each, and one row per document: its counts, what ``keep``
+    makes of its groups, and ``held``, its pairs as places in the batch's with their times.
     """
     names = [c.split()[0] for c in STORED.split(", ")]
-    kinds = [pa.int64(), *[pa.binary()] * 3]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, part, seq = _aligner(byte_path, piece_path), TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = docs_held = 0
-
-        def flush():
-            keys = np.concatenate([h[0] for h in held])
-            order = np.argsort(keys)
-            keys, counts = keys[order], np.concatenate([h[1] for h in held])[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-            counts = np.add.reduceat(counts, first) if len(first) else counts
-            return one(None, keys[first].tobytes(), counts.astype(np.uint32).tobytes())
-
-        def one(*columns):
-            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part << 20 | seq, *columns), kinds, strict=True)], names=names)
-
-        for batch in sliced(batches, "text", 2 << 20):
+        for batch in sliced(batches, "text", batch_bytes):
+            n = batch.num_rows
             a, a_at, b, b_at, n_a, n_b, group_at = pair.align(batch.column("text"))
-            doc = np.repeat(np.arange(batch.num_rows), np.diff(group_at))
-            _, keys, _ = links(a, b, n_a, n_b, doc)
-            held.append(np.unique(keys, return_counts=True))
-            yield one(_kept(batch.column("doc_id"), (a, a_at), (b, b_at), (n_a, group_at), (n_b, group_at)), None, None)
-            size, docs_held = size + len(string_parts(batch.column("text"))[1]), docs_held + batch.num_rows
-            if size >= batch_bytes or docs_held >= 1 << 18:
-                yield flush()
-                seq, held, size, docs_held = seq + 1, [], 0, 0
-                give_back()
-        if held:
-            yield flush()
+            doc, keys, times = links(a, b, n_a, n_b, np.repeat(np.arange(n), np.diff(group_at)))
+            pairs, place, held_by = np.unique(keys, return_inverse=True, return_counts=True)
+            edges = np.searchsorted(doc, np.arange(n + 1))
+            many = np.concatenate([[0], np.cumsum(times)])[edges]
+            held = [_held(place[lo:hi], times[lo:hi]) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+            per_doc = [*(np.diff(x) for x in (a_at, b_at, group_at, many)), _spelt(a, b, n_a, n_b, group_at), np.diff(edges), held]
+            nothing = [pa.nulls(n, pa.binary())] * 2
+            kinds = [*[pa.int64()] * 4, pa.string(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(n, part << 32 | seq)), batch.column("doc_id"), *(pa.array(x, t) for x, t in zip(per_doc, kinds, strict=True)), *nothing], names=names
+            )
+            one = [part << 32 | seq, *[None] * 8, pairs.tobytes(), held_by.astype(np.uint32).tobytes()]
+            kinds = [*[pa.int64()] * 6, pa.string(), pa.int64(), *[pa.binary()] * 3]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(one, kinds, strict=True)], names=names)
+            seq += 1
         give_back()
 
-    return materialise(texts(docs, id_col, text_col).mapInArrow(run, STORED), "aligned")
-
-
-def _kept(doc_id: pa.Array, *columns: tuple[np.ndarray, np.ndarray]) -> bytes:
-    """Documents as a compressed Arrow stream; a column is its values and their offsets by document."""
-
-    def narrow(x):
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32) if not len(x) or x.max() <= np.iinfo(t).max)
-        return pa.array(x.astype(kind))
-
-    lists = [pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), narrow(x)) for x, at in columns]
-    batch = pa.RecordBatch.from_arrays([doc_id, *lists], names=["doc_id", "a", "b", "n_a", "n_b"])
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_batch(batch)
-    return sink.getvalue().to_pybytes()
+    rows = texts(docs, id_col, text_col).mapInArrow(run, STORED)
+    return materialise(rows.withColumn("groups", keep(F.col("groups"))), "aligned")
 
 
 def _unpacked(stored: DataFrame) -> DataFrame:
@@ -265,43 +255,28 @@ def counted(stored: DataFrame, counts: DataFrame) -> DataFrame:
     replies = _unpacked(stored).select("batch", "pair").join(counts.select("pair", "n", "best"), "pair")
 
     def run(documents: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        pairs = replies["pair"].to_numpy().astype(np.uint64)
-        order = np.argsort(pairs)
-        pairs, n, best = pairs[order], replies["n"].to_numpy()[order], replies["best"].to_numpy().astype(bool)[order]
-        out = []
-        for kept in documents["documents"]:
-            some = pa.ipc.open_stream(kept).read_next_batch()
-            a, b, n_a, n_b = (some.column(c).flatten().to_numpy().astype(np.int64) for c in ("a", "b", "n_a", "n_b"))
-            a_at, b_at, group_at = (some.column(c).offsets.to_numpy() for c in ("a", "b", "n_a"))
-            n_docs = len(some)
-            doc, key, times = links(a, b, n_a, n_b, np.repeat(np.arange(n_docs), np.diff(group_at)))
-            at = np.searchsorted(pairs, key)
-            total = lambda x: np.add.reduceat(np.append(x, 0), np.searchsorted(doc, np.arange(n_docs))) * (np.bincount(doc, minlength=n_docs) > 0)  # noqa: B023, E731
-            out.append(
-                pd.DataFrame(
-                    {
-                        "doc_id": pd.array(some.column("doc_id").to_pylist(), "Int64"),
-                        "n_a": np.diff(a_at),
-                        "n_b": np.diff(b_at),
-                        "n_groups": np.diff(group_at),
-                        "n_links": total(times),
-                        "n_best": total(times * best[at]),
-                        "count_sum": total(times * n[at]),
-                        "groups": _spelt(a, b, n_a, n_b, group_at),
-                    }
-                )
-            )
+        order = np.argsort(replies["pair"].to_numpy().astype(np.uint64))  # the places that documents name
+        n, best = replies["n"].to_numpy()[order], replies["best"].to_numpy().astype(bool)[order]
+        sums = []
+        for raw, size in zip(documents["held"], documents["n_pairs"], strict=True):
+            at, times = _let_go(raw, size) if size else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            sums.append((int(times[best[at]].sum()), int((times * n[at]).sum())))
+        out = documents[["doc_id", "n_a", "n_b", "n_groups", "n_links"]].copy()
+        out["n_best"], out["count_sum"], out["groups"] = [x for x, _ in sums], [x for _, x in sums], documents["groups"]
         give_back()
-        return pd.concat(out)
+        return out
 
-    documents = stored.filter("documents is not null").select("batch", "documents")
-    return documents.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, COUNTED)
+    # pandas would make floats of ids beside a null
+    documents = stored.filter("pairs is null").drop("pairs", "docs").withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = documents.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(run, COUNTED)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def align(docs: DataFrame, byte_path: str, piece_path: str, keep: Callable[[Column], Column] = lambda groups: groups, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups of every document.
 
-    ``groups`` holds the ids of both sides by group (``a1,a2|b1;a3|b2,b3``). A link is a pair
+    ``groups`` holds the ids of both sides by group (``a1,a2|b1;a3|b2,b3``), or what ``keep``
+    makes of that text before it is stored, such as a digest. A link is a pair
     of tokens, one of each side, in one group; its count is the number of documents that hold
     its id pair linked; it is best if no pair of its a id has a larger count, ties included.
 
@@ -312,12 +287,12 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, id_col: str = "doc_i
     Other columns are not read. An empty table gives no rows.
     """
     finish_steps(docs.sparkSession)
-    stored = aligned(docs, byte_path, piece_path, id_col, text_col)
+    stored = aligned(docs, byte_path, piece_path, keep, id_col, text_col)
     return counted(stored, materialise(pair_counts(stored), "best-pairs"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents under the byte-level vocabulary (a) and the piece vocabulary (b)."""
-    out = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"))
-    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest.alias("groups_sha256"))
+    digest = lambda groups: F.when(groups == "", "").otherwise(F.sha2(groups, 256))
+    out = align(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model"), digest)
+    return out.withColumnRenamed("groups", "groups_sha256")
