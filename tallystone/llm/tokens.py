@@ -44,6 +44,8 @@ class Encoder:
         if self.word_ends:
             self.mark = self.tok.encode("~", add_special_tokens=False).ids
             assert len(self.mark) == 1
+            self.ends_word = np.zeros(max(i for _, i in by_id) + 1, bool)
+            self.ends_word[[i for w, i in by_id if w.endswith("</w>")]] = True
         else:  # byte-level: a token stands for as many bytes as it has characters
             self.bytes_of = np.zeros(max(i for _, i in by_id) + 1, np.int64)
             self.bytes_of[[i for _, i in by_id]] = [len(w) for w, _ in by_id]
@@ -88,6 +90,16 @@ class Encoder:
 
     def _learn_some(self, pieces: list[str]) -> None:
         if self.word_ends:
+            letters = [p for p in pieces if p.isalpha()]  # one word each, so word ends part them
+            if letters:
+                ids = self._whole([" ".join(letters)])[0]
+                ends = np.flatnonzero(self.ends_word[ids]) + 1
+                if len(ends) == len(letters):
+                    counts = np.diff(ends, prepend=0)
+                    self._add(letters, ids, ends - counts, counts)
+                    pieces = [p for p in pieces if not p.isalpha()]
+            if not pieces:
+                return
             ids = np.array(self.tok.encode_batch_fast([" ~ ".join(pieces)], add_special_tokens=False)[0].ids, np.uint32)
             edges = np.concatenate([[-1], np.flatnonzero(ids == self.mark[0]), [len(ids)]])
             begins, counts = edges[:-1] + 1, np.diff(edges) - 1
