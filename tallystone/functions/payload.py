@@ -108,23 +108,22 @@ def json_replace_value(text: Column, key: str, new_value) -> Column:
 def mask_fields(text: Column) -> Column:
     """Canonical JSON with every volatile field replaced by a constant if present.
 
-    Works on the first two levels of the document as key/value maps, so no
-    schema is needed and untouched values keep their exact JSON.
+    The text is parsed once to a variant and printed once; the first two levels are
+    edited as maps of variants, so no schema is needed and untouched values keep
+    their JSON. NULL unless the text is one JSON object.
     """
     as_map = "map<string,variant>"
     ignored = F.parse_json(F.lit(json.dumps(IGNORED)))
-    message = F.from_json(F.get_json_object(text, "$.message"), as_map)
-    masked_message = F.transform_values(
-        message, lambda k, v: F.when(k.isin(*VOLATILE_IN_MESSAGE), ignored).otherwise(v)
+    in_message = lambda v: F.transform_values(
+        v.try_cast(as_map), lambda name, inner: F.when(name.isin(*VOLATILE_IN_MESSAGE), ignored).otherwise(inner)
     )
-    top = F.from_json(text, as_map)
     masked = F.transform_values(
-        top,
+        F.try_parse_json(text).try_cast(as_map),
         lambda k, v: F.when(k.isin(*VOLATILE_TOP_LEVEL), ignored)
-        .when((k == "message") & masked_message.isNotNull(), F.try_parse_json(F.to_json(masked_message)))
+        .when(k == "message", F.coalesce(F.to_variant_object(in_message(v)), v))
         .otherwise(v),
     )
-    return canonical_json(F.to_json(masked))
+    return F.to_json(F.to_variant_object(masked))
 
 
 # --- historic records -----------------------------------------------------

@@ -87,10 +87,15 @@ def match_manifests(imports: DataFrame, exports: DataFrame) -> DataFrame:
     A side holding an id more than once is represented by its newest line.
     ``earliest_manifest`` is NULL when both sides carry the same timestamp.
     """
-    imp, exp = F.col("imp.timestamp"), F.col("exp.timestamp")
     pairs = _lines(imports, exports, "type", "source", "id").groupBy(*KEYS).agg(
         _newest_line("imp"), _newest_line("exp")
     )
+    return _both_sides(pairs)
+
+
+def _both_sides(pairs: DataFrame) -> DataFrame:
+    """Columns of a match from ``database, collection`` and the newest lines ``imp`` and ``exp``."""
+    imp, exp = F.col("imp.timestamp"), F.col("exp.timestamp")
     return pairs.select(
         F.coalesce(
             manifest_output_id(F.col("imp.id")), manifest_output_id(F.col("exp.id"))
@@ -125,6 +130,65 @@ def match_for_counts(imports: DataFrame, exports: DataFrame) -> DataFrame:
     )
 
 
+KEPT_KEYS = ["database_key", "collection_key", "id_key"]
+
+
+def newest_lines(manifest: DataFrame, buckets: int) -> DataFrame:
+    """Newest line of every (database, collection, id), dealt to ``buckets`` partitions by key.
+
+    The key columns are never null: a missing value is an empty text, others start with ``=``.
+    """
+    key = lambda c, name: F.coalesce(F.concat(F.lit("="), c), F.lit("")).alias(name)
+    line = F.struct("timestamp", _from_load().alias("loaded"), "component", "type", "source", "id")
+    lines = manifest.select(
+        key(F.col("database"), "database_key"),
+        key(F.col("collection"), "collection_key"),
+        key(manifest_match_id(F.col("id")), "id_key"),
+        "database",
+        "collection",
+        line.alias("line"),
+    )
+    # dealt as the table is bucketed, so neither the aggregate nor a join with it needs a shuffle
+    return lines.repartition(buckets, *KEPT_KEYS).groupBy(*KEPT_KEYS).agg(F.first("database").alias("database"), F.first("collection").alias("collection"), F.max("line").alias("line"))
+
+
+def keep_manifest(manifest: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Keep a manifest's newest lines as an external table, bucketed and sorted by key.
+
+    Comparisons of kept manifests read their buckets side by side: an unchanged manifest is
+    shuffled once, when it is kept, however often it is compared.
+    """
+    rows = newest_lines(manifest, buckets)
+    rows.write.mode("overwrite").format("parquet").option("path", path).bucketBy(buckets, *KEPT_KEYS).sortBy(*KEPT_KEYS).saveAsTable(table)
+    return manifest.sparkSession.table(table)
+
+
+def match_kept(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """:func:`match_manifests` of two sides from :func:`keep_manifest` or :func:`newest_lines`.
+
+    Both sides have a key once, so the full outer join makes one row per key at most.
+    """
+    side = lambda df, name: df.select(*KEPT_KEYS, *[F.col(c).alias(f"{name}_{c}") for c in ("database", "collection")], F.col("line").alias(name))
+    pairs = side(imports, "imp").join(side(exports, "exp"), KEPT_KEYS, "full")
+    either = lambda c: F.coalesce(f"imp_{c}", f"exp_{c}").alias(c)
+    return _both_sides(pairs.select(either("database"), either("collection"), "imp", "exp"))
+
+
+def match_for_types(imports: DataFrame, exports: DataFrame) -> DataFrame:
+    """Per (database, collection, id): which sides hold it and the type of their newest lines."""
+    line = F.struct("timestamp", _from_load().alias("loaded"), "component", "type")
+    newest = lambda side: F.max(F.when(F.col("side") == side, line)).alias(side)
+    pairs = _lines(imports, exports, "type").groupBy(*KEYS).agg(newest("imp"), newest("exp"))
+    return pairs.select(
+        "database",
+        "collection",
+        F.col("imp").isNotNull().alias("imported"),
+        F.col("exp").isNotNull().alias("exported"),
+        F.col("imp.type").alias("import_type"),
+        F.col("exp.type").alias("export_type"),
+    )
+
+
 def collection_counts(matched: DataFrame) -> DataFrame:
     """Per database and collection: totals, gaps, mismatches and time ranges.
 

@@ -214,6 +214,48 @@ def _type_tallies(missing: DataFrame, side: str, type_col: str) -> DataFrame:
     return missing.agg(*tallies).selectExpr(f"stack({len(labels)}, {pairs}) as (label, id_count)")
 
 
+def _tally_names(side: str) -> list[tuple[str, str]]:
+    """(column, label) of a side's tallies."""
+    labels = [(f"{side}_all", f"Total missing {side}")]
+    return labels + [(f"{side}_{n}", f"Total missing {side} of type {n}") for n in (*NAMED_TYPES, "other")]
+
+
+def collection_type_counts(matched: DataFrame) -> DataFrame:
+    """Missing ids by type, side and collection, from :func:`manifest.match_for_types`.
+
+    The first of two levels: tasks leave one row per collection, so nothing record-sized
+    leaves the match. A side's ids count as missing only where it holds some of the
+    collection, which is known when its rows are added up.
+    """
+    tallies = [F.bool_or("imported").alias("has_imports"), F.bool_or("exported").alias("has_exports")]
+    for side, absent, kind in (("imports", ~F.col("imported"), F.lower("export_type")), ("exports", ~F.col("exported"), F.lower("import_type"))):
+        named = [f"mongo_{n}" for n in NAMED_TYPES]
+        tallies.append(F.count_if(absent).alias(f"{side}_all"))
+        tallies += [F.count_if(absent & (kind == full)).alias(f"{side}_{n}") for n, full in zip(NAMED_TYPES, named)]
+        # a NULL type is in the total only: it satisfies neither = nor <>
+        tallies.append(F.count_if(absent & ~kind.isin(named)).alias(f"{side}_other"))
+    return matched.groupBy("database", "collection").agg(*tallies)
+
+
+def _added_up(by_collection: DataFrame, *sides: str) -> DataFrame:
+    """Labelled sums over the collections that a side holds some of."""
+    names = [(side, *pair) for side in sides for pair in _tally_names(side)]
+    sums = [F.coalesce(F.sum(F.when(F.col(f"has_{side}"), F.col(column))), F.lit(0)).alias(column) for side, column, _ in names]
+    pairs = ", ".join(f"'{label}', `{column}`" for _, column, label in names)
+    return by_collection.agg(*sums).selectExpr(f"stack({len(names)}, {pairs}) as (label, id_count)")
+
+
+def type_totals(by_collection: DataFrame, ordered: bool = True) -> DataFrame:
+    """Twelve labelled counts in one pass over the counts of all collections."""
+    return _sorted(_added_up(by_collection, "imports", "exports"), ordered, "label", "id_count")
+
+
+def type_totals_union(by_collection: DataFrame) -> DataFrame:
+    """The same counts as a union of one labelled part per side."""
+    parts = [_added_up(by_collection, side) for side in ("imports", "exports")]
+    return parts[0].unionByName(parts[1]).orderBy("label", "id_count")
+
+
 def individual_type_totals(
     missing_imports: DataFrame, missing_exports: DataFrame, ordered: bool = True
 ) -> DataFrame:

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from tallystone.functions import ids, payload
 from tallystone.operators import checks, compare, envelope, versions
 from tallystone.plans import bindings as b
-from tallystone.plans.registry import query
+from tallystone.plans.registry import ORACLES, query
 from tallystone.session import scratch_path
 from tallystone.sources import sinks
+from tallystone.streaming import incremental
 
 KEYS = ["topic", "id"]
 ORDER = ["version", "event_id"]
@@ -396,6 +397,22 @@ def _(spark, sf_dir):
     )
 
 
+@query("incremental_bookmark_stream", ORACLES["incremental_bookmark"])
+def _(spark, sf_dir):
+    rows = records(spark, sf_dir).select("event_id", "collection", "version").where("version > 0")
+    root, week = scratch_path(spark, "incremental"), 604_800_000
+    arrived = lambda low, high: rows.where((F.col("version") > low) & (F.col("version") <= high)).write.mode("append").json(f"{root}/source")
+    load = lambda number: incremental.load_new_files(
+        spark, f"{root}/source", "event_id bigint, collection string, version bigint", f"{root}/target", f"{root}/checkpoint", number
+    ).awaitTermination()
+    # the second start finds a week's more files and reads only those
+    arrived(0, LOAD_SPLIT_MS)
+    load(1)
+    arrived(LOAD_SPLIT_MS, LOAD_SPLIT_MS + week)
+    load(2)
+    return incremental.loaded(spark, f"{root}/target").where("load = 2").select("event_id", "collection", "version")
+
+
 # --- ids and historic records ---------------------------------------------
 
 

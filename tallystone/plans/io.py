@@ -16,6 +16,7 @@ from tallystone.plans.registry import query
 from tallystone.session import materialise, scratch_path
 from tallystone.sources import generate, kafka, readers, sinks, tables
 from tallystone.streaming import ingest
+from tallystone.streaming.state import current, upsert_stream
 
 
 
@@ -129,6 +130,22 @@ def _(spark, sf_dir):
     """select event_id, cast(i as integer) as response, 'j-' || i as journal_entry_id from events,
        (select unnest([1, 2, 3]) as i)""",
 )
+def _(spark, sf_dir):
+    path = scratch_path(spark, "arrays")
+    e = b.table(spark, sf_dir, "events")
+    entry = lambda i: F.struct("event_id", F.concat(F.lit("j-"), i.cast("string")).alias("journal_entry_id"), i.alias("response"))
+    entries = e.select(F.floor(F.col("event_id") / 500).alias("file"), F.explode(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), entry)).alias("entry"))
+    # one file per 500 events, each holding one array
+    arrays = entries.groupBy("file").agg(F.to_json(F.collect_list("entry")).alias("value")).select("value")
+    arrays.write.option("maxRecordsPerFile", 1).text(path)
+    return readers.scan_json_array(spark, path, "event_id bigint, journal_entry_id string, response int").select("event_id", "response", "journal_entry_id")
+
+
+@query(
+    "explode_json_array",
+    """select event_id, cast(i as integer) as response, 'j-' || i as journal_entry_id from events,
+       (select unnest([1, 2, 3]) as i)""",
+)
 def _(spark, sf_dir):
     e = b.table(spark, sf_dir, "events")
     entry = lambda i: F.struct(F.concat(F.lit("j-"), i.cast("string")).alias("journal_entry_id"), i.alias("response"))
@@ -194,12 +211,8 @@ def _(spark, sf_dir):
     path = scratch_path(spark, "sizes")
     e = b.table(spark, sf_dir, "events")
     e.select("props", F.col("event_type").alias("coll")).write.partitionBy("coll").option("compression", "none").text(path)
-    kinds = [r.coll for r in e.select(F.col("event_type").alias("coll")).distinct().collect()]  # one prefix per event type
-    parts = [
-        readers.prefix_size_and_count(readers.file_listing(spark, f"{path}/coll={kind}")).select(F.lit(kind).alias("coll"), "total_bytes", "exists")
-        for kind in kinds
-    ]
-    return functools.reduce(DataFrame.unionByName, parts)
+    coll = F.regexp_extract("path", "/coll=([^/]+)/", 1)
+    return readers.prefix_sizes(readers.file_listing(spark, path), coll).select(F.col("prefix").alias("coll"), "total_bytes", "exists")
 
 
 @query(
@@ -339,6 +352,17 @@ def _ingested(spark, sf_dir):
     "stream_latest_upsert",
     cdc.MSG_SQL + "select topic, id, version, event_id as sequence, record_type, body from latest",
 )
+def _(spark, sf_dir):
+    root = scratch_path(spark, "state")
+    state = ingest.newest_state(f"{root}/state", buckets=16)
+    upsert_stream(_message_stream(spark, sf_dir), state, f"{root}/checkpoint", ingest.accepted_records).awaitTermination()
+    return current(spark, state).select("topic", "id", "version", "sequence", "record_type", "body")
+
+
+@query(
+    "stream_log_compaction",
+    cdc.MSG_SQL + "select topic, id, version, event_id as sequence, record_type, body from latest",
+)
 def _(spark, sf_dir):
     layout = _ingested(spark, sf_dir)
     ingest.compact(spark, layout)
@@ -388,8 +412,10 @@ def _(spark, sf_dir):
     cdc.MSG_SQL + "select topic, reason, count(*) as messages from read where reason is not null group by 1, 2",
 )
 def _(spark, sf_dir):
-    layout = _ingested(spark, sf_dir)
-    back = spark.read.schema("sequence bigint, topic string, body string, reason string, key string").parquet(layout.dlq)
+    root = scratch_path(spark, "dead-letters")
+    dead = envelope.dead_letters(envelope.read_messages(_message_stream(spark, sf_dir)), extra=("sequence", "topic"))
+    ingest.dlq_archive(dead, f"{root}/archive", f"{root}/checkpoint").awaitTermination()
+    back = spark.read.schema("sequence bigint, topic string, body string, reason string, key string").parquet(f"{root}/archive")
     return back.groupBy("topic", "reason").agg(F.count("*").alias("messages"))
 
 

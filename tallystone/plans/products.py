@@ -269,14 +269,18 @@ def _(spark, sf_dir):
 @query(
     "table_shape_check",
     """select count(*) as actual_rows, count(*) as expected_rows, cast(5 as integer) as actual_columns,
-         cast(5 as integer) as expected_columns, true as passed from part""",
+         cast(5 as integer) as expected_columns, true as passed from part
+       union all select count(*) filter (p_partkey % 100 <> 7), count(*), 4, 5, false from part""",
 )
 def _(spark, sf_dir):
     p = b.table(spark, sf_dir, "part").select(*PART_COLUMNS)
     path = scratch_path(spark, "loaded")
     p.withColumn("load_date", F.lit("2024-01-01")).write.partitionBy("load_date").parquet(path)
     loaded = spark.read.parquet(path)
-    return checks.table_shape_check(loaded, list(PART_COLUMNS), p.agg(F.count("*").alias("expected")))
+    # a load that lost a column and some rows
+    damaged = loaded.where("p_partkey % 100 <> 7").drop("p_brand")
+    expected = p.agg(F.count("*").alias("expected"))
+    return checks.table_shape_check(loaded, list(PART_COLUMNS), expected).unionByName(checks.table_shape_check(damaged, list(PART_COLUMNS), expected))
 
 
 def _statuses(spark, sf_dir):

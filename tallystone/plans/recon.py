@@ -7,7 +7,7 @@ from tallystone.operators import ranking, reports
 from tallystone.plans import bindings as b
 from tallystone.plans.registry import query
 from tallystone.sources import sinks
-from tallystone.session import materialise
+from tallystone.session import materialise, scratch_path
 
 CUT_START, CUT_END, CUT_MARGIN = 694224000000, 852076800000, 2
 AFTER_MS = 852076800000
@@ -105,6 +105,18 @@ def _(spark, sf_dir):
     return m.match_manifests(*sides(spark, sf_dir))
 
 
+@query("manifest_full_outer_kept", BASE_SQL + "select * from matched")
+def _(spark, sf_dir):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def kept(manifest, name):
+        path = scratch_path(spark, name)
+        return m.keep_manifest(manifest, path.rpartition("/")[2].replace("-", "_"), path, buckets)
+
+    imports, exports = sides(spark, sf_dir)
+    return m.match_kept(kept(imports, "kept-imports"), kept(exports, "kept-exports"))
+
+
 @query("collection_counts", BASE_SQL + "select * from counts")
 def _(spark, sf_dir):
     return counts_table(spark, sf_dir)
@@ -284,17 +296,19 @@ def _label_sql():
     return BASE_SQL + " union all ".join(parts)
 
 
+def type_counts(spark, sf_dir):
+    return reports.collection_type_counts(m.match_for_types(*sides(spark, sf_dir)))
+
+
 @query("individual_type_totals", _label_sql())
 def _(spark, sf_dir):
-    # one match serves both sides
-    t = reconciled_tables(spark, sf_dir)
-    return reports.individual_type_totals(t.missing_imports, t.missing_exports)
+    return reports.type_totals(type_counts(spark, sf_dir))
 
 
 @query("union_all_labelled", _label_sql())
 def _(spark, sf_dir):
-    t = reconciled_tables(spark, sf_dir)
-    return reports.union_all_labelled(t.missing_imports, t.missing_exports)
+    # one row per collection, which both parts read
+    return reports.type_totals_union(materialise(type_counts(spark, sf_dir), "type-counts"))
 
 
 # --- packs ----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST_SCHEMA = (
@@ -140,3 +140,16 @@ def prefix_size_and_count(files: DataFrame) -> DataFrame:
     return files.agg(
         F.coalesce(F.sum("length"), F.lit(0)).alias("total_bytes"), F.count("*").alias("files")
     ).withColumn("exists", F.col("files") > 0)
+
+
+def prefix_sizes(files: DataFrame, prefix: Column) -> DataFrame:
+    """Total bytes and number of files below each prefix, from one listing of them all.
+
+    ``prefix`` takes a file's prefix from its ``path``; files it gives NULL for are left
+    out, and a prefix without files has no row.
+    """
+    return (
+        files.select(prefix.alias("prefix"), "length").where("prefix is not null")
+        .groupBy("prefix").agg(F.sum("length").alias("total_bytes"), F.count("*").alias("files"))
+        .withColumn("exists", F.lit(True))
+    )

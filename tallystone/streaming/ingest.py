@@ -19,7 +19,9 @@ from pyspark.sql.streaming import StreamingQuery
 from tallystone.functions.topics import message_family, qualify_topic, topic_collection, topic_database
 from tallystone.operators import compare, envelope
 from tallystone.operators.versions import latest_version_per_id
+from tallystone.session import finished_numbers, materialise
 from tallystone.sources.sinks import manifest_line
+from tallystone.streaming import state as bucketed
 
 RECORD_SCHEMA = (
     "topic string, id string, version bigint, sequence bigint, record_type string, database string, "
@@ -27,6 +29,8 @@ RECORD_SCHEMA = (
 )
 KEYS = ["topic", "id"]
 ORDER = ["version", "sequence"]
+STORE_BUCKETS = 16
+METADATA_SCHEMA = "hbase_id string, hbase_timestamp bigint, topic_name string, reconciled_result int, reconciled_timestamp timestamp"
 METADATA_KEYS = ["hbase_id", "hbase_timestamp", "topic_name"]
 
 
@@ -60,13 +64,31 @@ class Layout:
     def reconciled(self) -> str:
         return f"{self.root}/reconciled"
 
+    @property
+    def open(self) -> str:
+        return f"{self.root}/open"
+
+    @property
+    def covered(self) -> str:
+        return f"{self.root}/covered"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
 
 
-def _put(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def _put(df: DataFrame, path: str, batch_id: int, *partition_by: str) -> None:
+    df.write.mode("overwrite").partitionBy(*partition_by).parquet(f"{path}/batch_id={batch_id}")
+
+
+def _store_id(id_col: Column) -> Column:
+    """A record id as metadata rows have it."""
+    return F.replace(id_col, F.lit(" "), F.lit(""))
+
+
+def _store_bucket(topic: Column, store_id: Column) -> Column:
+    """Folder of a key in every batch of the store, so that a lookup opens only the folders of its keys."""
+    return F.pmod(F.xxhash64(topic, store_id), F.lit(STORE_BUCKETS)).cast("int")
 
 
 def split_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -92,7 +114,9 @@ def write_batch(layout: Layout) -> Callable[[DataFrame, int], None]:
             records = envelope.accepted(read, extra=("sequence",))
             # one row per key and version leaves the batch; repeats of a hot key collapse here
             unique = latest_version_per_id(records, [*KEYS, "version"], ["sequence"])
-            _put(unique.select(*[c.split(" ")[0] for c in RECORD_SCHEMA.split(", ")]), layout.store, batch_id)
+            unique = unique.select(*[c.split(" ")[0] for c in RECORD_SCHEMA.split(", ")])
+            unique = unique.withColumn("bucket", _store_bucket(F.col("topic"), _store_id(F.col("id"))))
+            _put(unique.repartition("bucket"), layout.store, batch_id, "bucket")
             lines = records.select(
                 manifest_line(F.col("id"), F.col("version"), F.col("topic")).alias("value"), "sequence"
             )
@@ -116,32 +140,34 @@ def ingest_stream(messages: DataFrame, layout: Layout, available_now: bool = Tru
     return writer.start()
 
 
+def newest_state(root: str, buckets: int = 64) -> bucketed.State:
+    """The newest version of every record in key buckets."""
+    return bucketed.State(root, RECORD_SCHEMA, tuple(KEYS), tuple(ORDER), buckets)
+
+
+def accepted_records(batch: DataFrame) -> DataFrame:
+    """Records of the valid messages among ``sequence, topic, value``."""
+    records = envelope.accepted(envelope.read_messages(batch), extra=("sequence",))
+    return records.select(*[c.split(" ")[0] for c in RECORD_SCHEMA.split(", ")])
+
+
 def store_versions(
-    spark: SparkSession, layout: Layout, after_batch: int | None = None, through_batch: int | None = None
+    spark: SparkSession, layout: Layout, after_batch: int | None = None, through_batch: int | None = None, buckets: list[int] | None = None
 ) -> DataFrame:
-    """Stored versions (several batches may hold the same key), optionally of some batches only."""
-    log = spark.read.schema(RECORD_SCHEMA + ", batch_id bigint").parquet(layout.store)
+    """Stored versions (several batches may hold the same key), optionally of some batches or key buckets only."""
+    log = spark.read.schema(RECORD_SCHEMA + ", batch_id bigint, bucket int").parquet(layout.store)
     if after_batch is not None:
         log = log.where(F.col("batch_id") > after_batch)
     if through_batch is not None:
         log = log.where(F.col("batch_id") <= through_batch)
-    return log.drop("batch_id")
-
-
-def _numbers(spark: SparkSession, folder: str, name: str) -> list[int]:
-    """N of every finished subfolder ``name=N``."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    found = [s.getPath() for s in fs.listStatus(path)]
-    done = [p for p in found if p.getName().startswith(f"{name}=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
-    return sorted(int(p.getName().split("=")[1]) for p in done)
+    if buckets is not None:
+        log = log.where(F.col("bucket").isin(buckets))
+    return log.drop("batch_id", "bucket")
 
 
 def compacted_through(spark: SparkSession, layout: Layout) -> int | None:
     """Last batch that the newest finished compaction covers."""
-    return max(_numbers(spark, layout.compacted, "through"), default=None)
+    return max(finished_numbers(spark, layout.compacted, "through"), default=None)
 
 
 def current_state(spark: SparkSession, layout: Layout, through_batch: int | None = None) -> DataFrame:
@@ -163,7 +189,7 @@ def compact(spark: SparkSession, layout: Layout, buckets: int = 64, parts: int =
     Clustered by key bucket, each written by ``parts`` tasks. Work follows the last
     compaction and the new batches. Older folders stay until their readers are gone.
     """
-    batches, covered = _numbers(spark, layout.store, "batch_id"), compacted_through(spark, layout)
+    batches, covered = finished_numbers(spark, layout.store, "batch_id"), compacted_through(spark, layout)
     if not batches or batches[-1] == covered:
         return covered
     through = batches[-1]
@@ -173,40 +199,57 @@ def compact(spark: SparkSession, layout: Layout, buckets: int = 64, parts: int =
     return through
 
 
+def _metadata(spark: SparkSession, folders: list[str]) -> DataFrame:
+    return spark.read.schema(METADATA_SCHEMA).parquet(*folders) if folders else spark.createDataFrame([], METADATA_SCHEMA)
+
+
 def reconcile(spark: SparkSession, layout: Layout, at: Column) -> DataFrame:
     """Metadata rows with their reconciliation result against the store.
 
-    Rows found now are appended to the job's reconciled table, so the next run
-    compares the open rows only and earlier results keep their time.
+    Every run leaves three tables: the rows it closed, the rows that are still open, and
+    the last batch it has seen. The next run compares
+
+    - open rows with the store's batches since, as older ones did not hold them;
+    - new metadata with the store's batches since, which usually hold it;
+    - new metadata that is not found there with the older batches, in the key buckets
+      of those rows only.
+
+    Closed rows are never read again, except by who reads the result. Earlier results
+    keep their time. A run that ends early is repeated from the run before it.
     """
-    metadata = spark.read.schema(
-        "hbase_id string, hbase_timestamp bigint, topic_name string, reconciled_result int, "
-        "reconciled_timestamp timestamp"
-    ).parquet(layout.metadata)
-    found = ", ".join(("hbase_id string", "hbase_timestamp bigint", "topic_name string", "found_at timestamp"))
-
-    def noted() -> DataFrame:
-        runs = [f"{layout.reconciled}/run={n}" for n in _numbers(spark, layout.reconciled, "run")]
-        table = spark.read.schema(found).parquet(*runs) if runs else spark.createDataFrame([], found)
-        return table.groupBy(*METADATA_KEYS).agg(F.min("found_at").alias("found_at"))
-
-    same = lambda df, held: [df[k].eqNullSafe(held[k]) for k in METADATA_KEYS]
-    done = noted()
-    open_rows = metadata.join(done, same(metadata, done), "left_anti")
-    stored = store_versions(spark, layout).select(
-        "topic", F.replace(F.col("id"), F.lit(" "), F.lit("")).alias("id"), "version"
-    )
-    newly = compare.metadata_reconcile(open_rows, stored, at).where("reconciled_result = 1")
-    run = max(_numbers(spark, layout.reconciled, "run"), default=-1) + 1
-    newly.select(*METADATA_KEYS, F.col("reconciled_timestamp").alias("found_at")).distinct().write.mode("overwrite").parquet(
-        f"{layout.reconciled}/run={run}"
-    )
-    done = noted()
-    return metadata.join(done, same(metadata, done), "left").select(
-        *[metadata[k] for k in METADATA_KEYS],
-        F.when(F.col("found_at").isNotNull(), 1).otherwise(F.col("reconciled_result")).alias("reconciled_result"),
-        F.coalesce("found_at", "reconciled_timestamp").alias("reconciled_timestamp"),
-    )
+    runs = finished_numbers(spark, layout.covered, "run")
+    seen = spark.read.schema("batch_id bigint").parquet(f"{layout.covered}/run={runs[-1]}").first()[0] if runs else -1
+    run = runs[-1] + 1 if runs else 0
+    batches = [n for n in finished_numbers(spark, layout.metadata, "batch_id") if n > seen]
+    through = max(batches, default=seen)
+    arrived = _metadata(spark, [f"{layout.metadata}/batch_id={n}" for n in batches])
+    waiting = _metadata(spark, [f"{layout.open}/run={runs[-1]}"] if runs else [])
+
+    def against(rows: DataFrame, *store_range) -> DataFrame:
+        stored = store_versions(spark, layout, *store_range).select("topic", _store_id(F.col("id")).alias("id"), "version")
+        return compare.metadata_reconcile(rows, stored, at)
+
+    closed = F.coalesce("reconciled_result", F.lit(0)) != 0
+    if batches:
+        first = materialise(against(arrived, seen, through), "reconciled-arrived")
+        late = first.where(~closed)
+        bucket = _store_bucket(F.col("topic_name"), F.col("hbase_id")).alias("bucket")
+        folders = [r.bucket for r in late.select(bucket).distinct().collect()] if runs else []  # at most STORE_BUCKETS
+        late = against(late, None, seen, folders) if folders else late
+        compared = materialise(against(waiting, seen, through).unionByName(first.where(closed)).unionByName(late), "reconciled")
+    else:
+        compared = waiting
+    compared.where(closed).write.mode("overwrite").parquet(f"{layout.reconciled}/run={run}")
+    compared.where(~closed).write.mode("overwrite").parquet(f"{layout.open}/run={run}")
+    spark.createDataFrame([(through,)], "batch_id bigint").coalesce(1).write.mode("overwrite").parquet(f"{layout.covered}/run={run}")
+    return reconciled(spark, layout)
+
+
+def reconciled(spark: SparkSession, layout: Layout) -> DataFrame:
+    """All metadata rows that runs have seen, with their results: those closed by any run and those the last one left open."""
+    runs = finished_numbers(spark, layout.covered, "run")
+    folders = [f"{layout.reconciled}/run={n}" for n in runs] + [f"{layout.open}/run={n}" for n in runs[-1:]]
+    return _metadata(spark, folders)
 
 
 def dlq_archive(messages: DataFrame, path: str, checkpoint: str, per_file: int = 0) -> StreamingQuery:
