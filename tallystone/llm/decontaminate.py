@@ -54,7 +54,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int
     the item in a row (all, if it has fewer) agree in at least ``percent`` of their
     places. With ``run`` (``SPAN`` at least) as many words of it in a row that all agree
     are enough too, whatever the item's length. Items of fewer than ``SPAN`` words must occur whole and unchanged. Items
-    without words match nothing. ``matched`` is the most words that agree in one
+    without words match nothing. A text of any length is searched at every word. ``matched`` is the most words that agree in one
     place. Equal rows give one result row; documents are told apart by id only. Null
     texts are empty, null ids stay; empty tables give no rows.
     """
@@ -76,12 +76,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, window: int
     sized = F.broadcast if small else (lambda df: df)
 
     base = docs.select(named(id_col).cast("long").alias("doc_id"), words(named(text_col)).alias("words"))
+    if not small:  # positions are shuffled, so they name their text instead of carrying its words
+        base = base.withColumn("digest", F.xxhash64("words"))
     last = F.size("words") - reach  # a mask that runs over the end has nulls there and equals no seed
     # explode over positions stays in generated code, so a long document's words are not copied per position
-    places = base.select("doc_id", "words", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
-    places = places.withColumn("pair", _pair("words", F.col("i"))).join(sized(seeds.select("pair").distinct()), "pair", "left_semi")
-    hits = places.select("doc_id", "words", "i", F.explode(F.array(*_masked("words", F.col("i")))).alias("seed"))
-    hits = hits.join(sized(seeds.select("seed", "item_id", "at")), "seed")
+    places = base.select("*", F.explode(F.when(last >= 0, F.sequence(F.lit(0), last))).alias("i"))
+    seeded = [F.array(*_masked("words", F.col("i"))).alias("hashes"), _pair("words", F.col("i")).alias("pair")]
+    if small:
+        places = places.select("doc_id", "words", "i", *seeded[1:]).join(sized(seeds.select("pair").distinct()), "pair", "left_semi")
+        hits = places.select("doc_id", "words", "i", F.explode(seeded[0]).alias("seed"))
+        hits = hits.join(sized(seeds.select("seed", "item_id", "at")), "seed")
+    else:
+        places = places.select("doc_id", "digest", "i", *seeded).join(seeds.select("pair").distinct(), "pair", "left_semi")
+        hits = places.select("doc_id", "digest", "i", F.explode("hashes").alias("seed")).join(seeds.select("seed", "item_id", "at"), "seed")
+        hits = hits.drop("seed", "pair", "hashes").distinct().alias("h")
+        held = base.dropDuplicates(["doc_id", "digest"]).alias("b")
+        hits = hits.join(held, F.col("h.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("h.digest") == F.col("b.digest"))).select("h.doc_id", "words", "i", "item_id", "at")
     # the stretch of the document that the item covers, and where the item's first word would stand in it
     start = F.col("i") - F.col("at")
     hits = hits.join(sized(items.select("item_id", F.size("item").alias("n"))), "item_id").withColumn("start", start)
@@ -120,20 +130,23 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _EQUAL = " OR ".join("(" + " AND ".join(f"p.w[p.i + {o + 1}] = s.w[s.i + {o + 1}]" for o in mask[2:]) + ")" for mask in WIDE)
+_DENSE = " AND ".join(f"p.w[p.i + {o + 1}] = s.w[s.i + {o + 1}]" for o in DENSE[2:])
 SQL = rf"""
 WITH d AS (SELECT doc_id, regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+') AS w FROM documents),
 b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM benchmark),
-p AS (SELECT doc_id, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM d),
-s AS (SELECT item_id, w, unnest(range(len(w) - {SPAN - 1})) AS i FROM b),
+p AS (SELECT doc_id, w, unnest(range(len(w) - {len(DENSE) - 1})) AS i FROM d),
+s AS (SELECT item_id, w, unnest(range(len(w) - {len(DENSE) - 1})) AS i FROM b WHERE len(w) >= {SPAN}),
 hits AS (
   SELECT DISTINCT p.doc_id, s.item_id, p.w AS dw, s.w AS iw, p.i - s.i AS start
-  FROM p JOIN s ON p.w[p.i + 1] = s.w[s.i + 1] AND p.w[p.i + 2] = s.w[s.i + 2] WHERE {_EQUAL}),
+  FROM p JOIN s ON p.w[p.i + 1] = s.w[s.i + 1] AND p.w[p.i + 2] = s.w[s.i + 2]
+  WHERE s.i <= len(s.w) - {SPAN} AND ({_EQUAL}) OR len(s.w) <= {DENSE_UP_TO} AND {_DENSE}),
 laid AS (
   SELECT doc_id, item_id, len(iw) AS n, least(len(iw), 32) AS width,
          list_filter(range(len(iw)), lambda j: start + j >= 0 AND coalesce(dw[start + j + 1] = iw[j + 1], false)) AS agree FROM hits)
 SELECT doc_id, item_id, max(n) AS item_words, max(matched) AS matched FROM (
   SELECT doc_id, item_id, n, len(agree) AS matched FROM laid
   WHERE len(list_filter(range(n - width + 1), lambda s: 100 * len(list_filter(agree, lambda j: j >= s AND j < s + width)) >= 80 * width)) > 0
+     OR len(list_filter(range(len(agree) - {RUN - 1}), lambda s: agree[s + {RUN}] - agree[s + 1] = {RUN - 1})) > 0
   UNION ALL
   SELECT d.doc_id, b.item_id, len(b.w) AS n, len(b.w) AS matched FROM d JOIN b ON len(b.w) BETWEEN 1 AND {SPAN - 1} AND len(d.w) >= len(b.w)
   WHERE len(list_filter(range(len(d.w) - len(b.w) + 1), lambda i: d.w[i + 1 : i + len(b.w)] = b.w)) > 0)

@@ -8,32 +8,39 @@ import corpus_pipeline as cp
 from tallystone.llm import decontaminate as d
 
 
-def hits(doc, item):
-    out = set()
-    for i in range(len(doc) - d.SPAN + 1):
+def seeds(item):
+    """Masked words of an item and where they start."""
+    out = {}
+    for m, mask in enumerate(d.MASKS):
         for j in range(len(item) - d.SPAN + 1):
-            if any(all(doc[i + o] == item[j + o] for o in m) for m in d.MASKS):
-                out.add(i - j)
+            out.setdefault((m, *(item[j + o] for o in mask)), []).append(j)
     return out
 
 
-def brute(docs, items, percent=80, window=32):
+def brute(docs, items, percent=80, window=32, run=None):
     split = lambda t: [w for w in (t or "").lower().split(" ") if w]
+    items = [(y, split(passage)) for y, passage in items]
+    index = {}
+    for n, (_, item) in enumerate(items):
+        for key, places in seeds(item).items():
+            index.setdefault(key, []).extend((n, j) for j in places)
     out = {}
     for x, text in docs:
-        for y, passage in items:
-            doc, item = split(text), split(passage)
-            if not item:
-                continue
-            if len(item) < d.SPAN:
-                if any(doc[i : i + len(item)] == item for i in range(len(doc))):
-                    out[(x, y)] = len(item)
-                continue
-            for start in hits(doc, item):
-                same = [0 <= start + j < len(doc) and doc[start + j] == item[j] for j in range(len(item))]
-                width = min(window, len(item))
-                if any(100 * sum(same[s : s + width]) >= percent * width for s in range(len(item) - width + 1)):
-                    out[(x, y)] = max(out.get((x, y), 0), sum(same))
+        doc = split(text)
+        for y, item in items:
+            if 0 < len(item) < d.SPAN and any(doc[i : i + len(item)] == item for i in range(len(doc))):
+                out[(x, y)] = len(item)
+        laid = set()
+        for i in range(len(doc) - d.SPAN + 1):
+            for m, mask in enumerate(d.MASKS):
+                laid |= {(n, i - j) for n, j in index.get((m, *(doc[i + o] for o in mask)), ())}
+        for n, start in laid:
+            y, item = items[n]
+            same = [0 <= start + j < len(doc) and doc[start + j] == item[j] for j in range(len(item))]
+            width = min(window, len(item))
+            enough = any(100 * sum(same[s : s + width]) >= percent * width for s in range(len(item) - width + 1))
+            if enough or run and any(all(same[s : s + run]) for s in range(len(item) - run + 1)):
+                out[(x, y)] = max(out.get((x, y), 0), sum(same))
     return out
 
 
@@ -77,7 +84,13 @@ def test_empty_tables_and_no_python(spark, rows):
 def test_large_benchmark_is_not_broadcast(spark, rows, monkeypatch):
     monkeypatch.setattr(d, "SMALL", 0)
     bench = spark.createDataFrame([(1, "a b c d e f g h i")], "item_id long, text string")
-    assert d.leaks(rows([(1, "x a b c d e f g h i")]), bench).count() == 1
+    docs = rows([(1, "x a b c d e f g h i"), (1, "x a b c d e f g h i"), (2, "y " * 200_000 + "a b c d e f g h z"), (None, "a b c d e f g h i"), (3, None)])
+    found = d.leaks(docs, bench, run=d.RUN)
+    assert {(r.doc_id, r.matched) for r in found.collect()} == {(1, 9), (2, 8), (None, 9)}
+    # positions cross the shuffle without the text's words
+    lines = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joined = [x for x in lines if "Join LeftSemi" in x]
+    assert joined and not any("words" in x for x in joined)
 
 
 def allowed(n, percent=80):
