@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tallystone.operators import manifest as m
 from tallystone.operators import ranking, reports
 from tallystone.plans import bindings as b
@@ -406,3 +408,26 @@ def _json_lines_sql():
 def _(spark, sf_dir):
     pack = reports.report_pack(reconciled_tables(spark, sf_dir))
     return sinks.written_and_read_report(reports.report_json_lines(pack, "tests", "0"), "report-json")
+
+
+@query(
+    "sink_report_documents",
+    BASE_SQL + f"""select query_type, query_name, cast(count(*) as integer) as row_count,
+      cast(sum(strlen(row_json)) as bigint) as row_bytes from ({_pack_sql()}) group by query_type, query_name""",
+)
+def _(spark, sf_dir):
+    path = scratch_path(spark, "report-documents")
+    pack = reports.report_pack(reconciled_tables(spark, sf_dir))
+    sinks.write_report_documents(reports.report_json_lines(pack, "tests", "0"), path)
+    # every file is one document
+    documents = spark.read.schema("value string, query_type string").text(path, wholetext=True)
+    result = "struct<query_details:struct<query_name:string>,query_results:array<string>>"
+    parsed = F.from_json("value", f"struct<executed_by:string,execution_time:string,query_results:array<{result}>>", {"mode": "FAILFAST"})
+    each = documents.select("query_type", F.explode(parsed["query_results"]).alias("r"))
+    rows = F.col("r.query_results")
+    return each.where(F.size(rows) > 0).select(
+        "query_type",
+        F.col("r.query_details.query_name").alias("query_name"),
+        F.size(rows).alias("row_count"),
+        F.aggregate(rows, F.lit(0).cast("bigint"), lambda n, row: n + F.octet_length(row)).alias("row_bytes"),
+    )

@@ -104,3 +104,15 @@ def write_orc(df: DataFrame, path: str, partition_col: str | None = None) -> Non
 def empty_orc(spark: SparkSession, schema: str, path: str) -> None:
     """Initial state: an ORC folder with a schema and no rows."""
     spark.createDataFrame([], schema).write.mode("overwrite").orc(path)
+
+
+def write_report_documents(lines: DataFrame, path: str) -> None:
+    """One text file per query type below ``path/query_type=…``, its lines in report order.
+
+    ``lines`` has ``query_type, query_order, position, line``. A type is written by one task
+    that sorts on disk and streams, so the file is whole however long it is; the writer's
+    commit renames it into place, and a task that runs again leaves one file.
+    """
+    types = max(1, lines.select("query_type").distinct().count())
+    ordered = lines.repartition(types, "query_type").sortWithinPartitions("query_type", "query_order", "position")
+    ordered.select("query_type", "line").write.mode("overwrite").option("compression", "none").partitionBy("query_type").text(path)

@@ -1,6 +1,7 @@
 """What is kept between runs: bucketed state, open rows, kept manifests, bookmarks."""
 
 import glob
+import json
 import os
 
 import pytest
@@ -10,6 +11,7 @@ from tallystone.operators import manifest as m
 from tallystone.operators import reports
 from tallystone.plans import bindings as b
 from tallystone.plans import recon
+from tallystone.sources import sinks
 from tallystone.streaming import incremental, ingest
 from tallystone.streaming import state as st
 
@@ -169,3 +171,20 @@ def test_a_second_start_reads_new_files_only(spark, folder):
     three = start(3)
     three.awaitTermination()
     assert rows.count() == 60 and sum(p["numInputRows"] for p in three.recentProgress) == 0
+
+
+def test_report_documents_are_single_files(spark, sf_dir, folder):
+    pack = reports.report_pack(recon.reconciled_tables(spark, sf_dir))
+    lines = reports.report_json_lines(pack, "me", "now").persist()
+    for _ in range(2):  # written twice, there once
+        sinks.write_report_documents(lines, folder + "/docs")
+    held = {f.split("query_type=")[1].split("/")[0]: open(f).read() for f in glob.glob(folder + "/docs/query_type=*/*.txt")}
+    assert set(held) == set(reports.QUERY_TYPES) and len(glob.glob(folder + "/docs/query_type=*/*.txt")) == len(held)
+    want = {}
+    for r in lines.orderBy("query_type", "query_order", "position").collect():
+        want[r.query_type] = want.get(r.query_type, "") + r.line + "\n"
+    assert held == want
+    for kind, text in held.items():
+        document = json.loads(text)
+        assert document["executed_by"] == "me"
+        assert [r["query_details"]["order"] for r in document["query_results"]] == [r.order for r in reports.REPORTS if r.query_type == kind]
