@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallystone.session import materialise
 from tallystone.functions.tags import part_from_end, path_parts
+from tallystone.functions.topics import topic_collection, topic_database
 
 MAX_DB_DEPTH = 4
 
@@ -69,6 +70,18 @@ def select_by_topic(df: DataFrame, topics: DataFrame) -> DataFrame:
     return df.join(topics.select("topic").distinct(), "topic", "left_semi")
 
 
+def lines_of_topics(lines: DataFrame, topics: DataFrame) -> DataFrame:
+    """Rows of partitioned ``lines`` (``db``, ``coll``) whose collection a ``db.<database>.<collection>`` topic names.
+
+    The topics are written first, so they are joined by broadcast where they are few, and
+    the scan takes its folders from them: collections that no topic names are not opened.
+    """
+    named = topics.select("topic").distinct().where(F.col("topic").startswith("db."))
+    named = materialise(named, "chosen-topics").where(F.col("topic").startswith("db."))
+    folders = named.select(topic_database(F.col("topic")).alias("db"), topic_collection(F.col("topic")).alias("coll"))
+    return lines.join(folders, ["db", "coll"], "left_semi")
+
+
 def path_candidates(path: Column) -> Column:
     """(position, database, table) triples a path may stand for, nearest first."""
     parts = path_parts(path)

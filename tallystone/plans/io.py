@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallystone.operators import envelope
+from tallystone.operators import envelope, routing
 from tallystone.operators import manifest as m
 from tallystone.plans import bindings as b
 from tallystone.plans import cdc
@@ -103,6 +103,19 @@ def _(spark, sf_dir):
     return _daily_rows(readers.prune_ymd(lines, "2024-01-10", "2024-01-19"))
 
 
+@query(
+    "scan_chosen_topics",
+    f"""select {DAILY_COLS} from events
+        where event_type in (select event_type from events where event_id % 5 = 1 and event_type < 'l')""",
+)
+def _(spark, sf_dir):
+    e = b.table(spark, sf_dir, "events").where("event_id % 5 = 1 and event_type < 'l'")
+    wanted = F.array(F.lit(None).cast("string"), F.concat(F.lit("db.events."), "event_type"))
+    requests = e.select(F.col("event_id").alias("request_id"), wanted.alias("overrides"), F.lit("full").alias("snapshot_type"), F.array(F.lit("none")).alias("fallback"))
+    chosen = routing.topic_selection(requests, "f", "i", "d")
+    return _daily_rows(routing.lines_of_topics(readers.scan_jsonl_partitioned(spark, _daily_folder(spark, sf_dir)), chosen))
+
+
 @query(
     "scan_corrupt_gzip",
     "select event_type as coll, count(*) as lines, true as damage_fails from events group by 1",

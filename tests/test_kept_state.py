@@ -11,7 +11,7 @@ from tallystone.operators import manifest as m
 from tallystone.operators import reports
 from tallystone.plans import bindings as b
 from tallystone.plans import recon
-from tallystone.sources import sinks
+from tallystone.sources import readers, sinks
 from tallystone.streaming import incremental, ingest
 from tallystone.streaming import state as st
 
@@ -188,3 +188,19 @@ def test_report_documents_are_single_files(spark, sf_dir, folder):
         document = json.loads(text)
         assert document["executed_by"] == "me"
         assert [r["query_details"]["order"] for r in document["query_results"]] == [r.order for r in reports.REPORTS if r.query_type == kind]
+
+
+def test_only_folders_of_chosen_topics_are_read(spark, sf_dir):
+    from tallystone.operators import routing
+    from tallystone.plans import io
+
+    lines = readers.scan_jsonl_partitioned(spark, io._daily_folder(spark, sf_dir))
+    topics = spark.createDataFrame([("db.events.click",), ("db.events.click",), ("other.events.view",), (None,)], "topic string")
+    chosen = routing.lines_of_topics(lines, topics)
+    assert "dynamicpruning" in plan(chosen)
+    before = records_read(spark)
+    rows = chosen.select("coll", "value").collect()
+    read, all_lines = records_read(spark) - before, lines.count()
+    assert {r.coll for r in rows} == {"click"} and len(rows) == b.table(spark, sf_dir, "events").where("event_type = 'click'").count()
+    assert read <= len(rows) + 10 < all_lines
+    assert routing.lines_of_topics(lines, topics.limit(0)).count() == 0
