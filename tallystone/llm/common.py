@@ -19,7 +19,7 @@ def named(column: str) -> Column:
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) only, null texts as empty; other columns cannot clash with an operator's own."""
+    """(doc_id, text) only: ids cast to long (null stays null), null texts as empty; other columns cannot clash with an operator's own."""
     return docs.select(
         named(id_col).cast("long").alias("doc_id"),
         F.coalesce(named(text_col), F.lit("")).alias("text"),

@@ -146,7 +146,8 @@ def judge(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col:
     ``base_failed``: fewer than 10 words, or over a fifth of the words in repeated
     windows; such rows are never kept. Others are kept if their posterior is at least
     ``least``. Null and empty texts have no words and fail. Repeated rows are judged
-    alike; null ids stay. An empty table gives no rows.
+    alike, so are ties of votes; null ids stay, others are cast to long. A text of any
+    length is counted whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     finish_steps(spark)

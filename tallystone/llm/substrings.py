@@ -1,4 +1,6 @@
-"""Exact removal of repeated substrings by difference-cover suffix sorting.
+"""Removal of repeated substrings by fingerprints of suffixes that a difference cover selects.
+
+No suffix order is built and no cover rank is kept: equal strings are all that matters.
 
 A cover of residues modulo ``v`` has, for any two positions, a common shift below
 ``v`` that brings both into the cover.

@@ -106,7 +106,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "do
     Manifest: part, seq, path, n_docs, n_ids and first (ids in all files before).
     Files follow each other by (part, seq). A null text is empty and has the end id
     alone; a null document id comes first; rows with equal ids follow each other by
-    text. An empty table gives an empty manifest.
+    text. A text of any length stays whole in one file. Ids are cast to long. An empty
+    table gives an empty manifest.
     """
     spark = docs.sparkSession
     finish_steps(spark)
