@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: five stages over one table.
 
-Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept.
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All
+stages take an empty table and give one; texts of any length are worked on whole; columns
+beside doc_id, text and n_chars pass through. A row is known by its id and text: rows that
+the table repeats whole, and rows with a null id, are decided alike.
 """
 
 from __future__ import annotations
@@ -21,32 +24,36 @@ def _chosen(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules' votes make probably good; the others go."""
+    """Documents that the rules' votes make probably good; the others go, null and empty texts among them."""
     return _chosen(docs, quality.judge(docs).filter("kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at 0.8: that with the smallest id."""
+    """One document of each group linked by five-word shingles at 0.8: that with the smallest id.
+
+    A null id comes after all others; of rows repeated whole one stays. Texts without words
+    are linked with nothing and stay.
+    """
     firsts = jaccard.linked(docs, 5, 80).filter("first")
     kept = _chosen(docs, firsts).withColumn("digest", F.xxhash64(F.coalesce("text", F.lit(""))))
     return kept.dropDuplicates(["doc_id", "digest"]).drop("digest")  # a row that the table repeats whole
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage."""
+    """Documents that hold no benchmark passage; null and empty texts hold none. Rows with one id go together."""
     found = decontaminate.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), run=decontaminate.RUN)
     leaked = found.select(F.col("doc_id").alias("leaked id")).distinct()
     return docs.join(leaked, docs["doc_id"].eqNullSafe(F.col("`leaked id`")), "left_anti")
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents with every secret replaced by a mark; n_chars follows the text."""
+    """The same documents with every secret replaced by a mark; n_chars follows the text, both stay null."""
     out = ledger.redact(docs, scratch_path(spark, "ledger"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def retrieval_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of 1024 ids."""
+    """The pieces of all documents in sequences of 1024 ids; a null or empty text is the end id alone."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
