@@ -41,9 +41,27 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_given: list[str] = []  # scratch paths of this driver that are not released yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the scratch folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _given.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Remove all that this driver has written below scratch paths; returns how many there were.
+
+    Results that are not yet consumed read from there, so call it when they are, or
+    before the session stops. Paths of other drivers in the same folder stay.
+    """
+    removed = 0
+    while _given:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_given.pop())
+        removed += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return removed
 
 
 def materialise(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -204,3 +204,14 @@ def test_only_folders_of_chosen_topics_are_read(spark, sf_dir):
     assert {r.coll for r in rows} == {"click"} and len(rows) == b.table(spark, sf_dir, "events").where("event_type = 'click'").count()
     assert read <= len(rows) + 10 < all_lines
     assert routing.lines_of_topics(lines, topics.limit(0)).count() == 0
+
+
+def test_scratch_is_released(spark, monkeypatch):
+    from tallystone import session
+
+    monkeypatch.setattr(session, "_given", [])  # tables of other tests stay
+    table = session.materialise(spark.range(5), "kept")
+    place = table.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    session.scratch_path(spark, "never-written")
+    assert table.count() == 5 and os.path.isdir(place)
+    assert session.release_scratch(spark) == 1 and not os.path.exists(place) and session.release_scratch(spark) == 0
