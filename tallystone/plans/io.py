@@ -349,7 +349,8 @@ def _message_stream(spark, sf_dir):
     path = scratch_path(spark, "topic")
     messages = b.envelopes(spark, sf_dir).select("topic", F.col("event_id").cast("string").alias("key"), "value")
     for part in (2, 1, 0):
-        kafka.file_topic_write(messages.where(F.pmod(F.col("key").cast("long"), F.lit(3)) == part), path)
+        # a file per topic and part, however the events are split, so that the stream has its few batches
+        kafka.file_topic_write(messages.where(F.pmod(F.col("key").cast("long"), F.lit(3)) == part).repartition(1), path)
     stream = kafka.file_topic_stream(spark, path, 6)
     return stream.select(F.col("key").cast("bigint").alias("sequence"), "topic", "value")
 
