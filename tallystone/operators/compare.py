@@ -20,6 +20,15 @@ def _tally(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy(*left.columns).agg(F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows"))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and is never broadcast.
+
+    What is selected from a parsed message is estimated by the width of the whole parse,
+    some forty times too small, so Spark would send millions of keys through the driver.
+    """
+    return side.hint("merge")
+
+
 def set_contains(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Expected rows that do not occur in ``actual`` (empty = contained)."""
     return _tally(expected, actual).where("left_rows > 0 and right_rows = 0").select(*expected.columns)
@@ -94,7 +103,7 @@ def store_lookup_compare(expected: DataFrame, store: DataFrame, expect_present:
     when the records must be absent.
     """
     stored = store.select("topic", "id", F.col("value").alias("stored"))
-    joined = expected.join(stored, ["topic", "id"], "left")
+    joined = expected.join(_shuffled(stored), ["topic", "id"], "left")
     found = F.col("stored").isNotNull()
     same = found & F.coalesce(mask_fields(F.col("value")) == mask_fields(F.col("stored")), F.lit(False))
     passed = same if expect_present else ~found
@@ -109,16 +118,12 @@ def dlq_not_in_store(dlq: DataFrame, store: DataFrame, metadata: DataFrame) -> D
     ``metadata``: ``topic_name, hbase_id``, both with ``sequence``.  A letter without
     a key is compared by its NULL key.
     """
-    stored = store.select("topic", F.col("id").alias("key"), "sequence").distinct()
-    noted = metadata.select(F.col("topic_name").alias("topic"), F.col("hbase_id").alias("key"), "sequence").distinct()
     names = ["topic", "key", "sequence"]
-
-    def absent(letters, held):
-        held = held.toDF(*[f"held_{n}" for n in names])
-        same = [letters[n].eqNullSafe(F.col(f"held_{n}")) for n in names]
-        return letters.join(held, same, "left_anti")
-
-    return absent(absent(dlq, stored), noted)
+    stored = store.select("topic", F.col("id").alias("key"), "sequence")
+    noted = metadata.select(F.col("topic_name").alias("topic"), F.col("hbase_id").alias("key"), "sequence")
+    held = _shuffled(stored.union(noted).distinct().toDF(*[f"held_{n}" for n in names]))
+    same = [dlq[n].eqNullSafe(F.col(f"held_{n}")) for n in names]
+    return dlq.join(held, same, "left_anti")
 
 
 def metadata_lookup(metadata: DataFrame, id_like: str | Column, topic: str | Column, timestamp: Column | None = None) -> DataFrame:
@@ -142,7 +147,7 @@ def metadata_reconcile(metadata: DataFrame, store_versions: DataFrame, at: Colum
         .distinct()
         .withColumn("in_store", F.lit(True))
     )
-    joined = metadata.join(stored, list(keys), "left")
+    joined = metadata.join(_shuffled(stored), list(keys), "left")
     newly = (F.col("reconciled_result") == 0) & F.coalesce("in_store", F.lit(False))
     return joined.select(
         *keys,

@@ -131,6 +131,27 @@ def test_dead_letters_without_a_key(spark):
     assert {r.sequence for r in compare.dlq_not_in_store(dlq, store, noted).collect()} == {2, 3}
 
 
+def test_joins_of_records_are_not_broadcast(spark, folder):
+    """The keys of the store grow with the input, so they do not go through the driver."""
+
+    def kept(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}")
+        return spark.read.schema(schema).parquet(f"{folder}/{name}")
+
+    dlq = kept("dlq", [("t", "k", 1, "x"), ("t", "k", 1, "y"), ("t", "k", 2, "x"), ("t", None, 3, "x")], "topic string, key string, sequence int, reason string")
+    store = kept("store", [("t", "k", 2), ("t", "k", 2)], "topic string, id string, sequence int")
+    noted = kept("noted", [("t", None, 3)], "topic_name string, hbase_id string, sequence int")
+    meta = kept("meta", [("k", 2, "t", 0, None)], "hbase_id string, hbase_timestamp int, topic_name string, reconciled_result int, reconciled_timestamp timestamp")
+    text = kept("text", [("t", "k", "{}")], "topic string, id string, value string")
+    absent = compare.dlq_not_in_store(dlq, store, noted)
+    known = compare.metadata_reconcile(meta, store.withColumnRenamed("sequence", "version"), F.lit("2024-01-01").cast("timestamp"))
+    looked = compare.store_lookup_compare(text, text)
+    for df in (absent, known, looked):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in absent.collect()) == [("t", "k", 1, "x"), ("t", "k", 1, "y")]
+    assert known.first().reconciled_result == 1 and looked.first().passed
+
+
 def test_reconcile_only_touches_open_rows(spark):
     schema = "hbase_id string, hbase_timestamp bigint, topic_name string, reconciled_result int, reconciled_timestamp timestamp"
     meta = spark.createDataFrame([("a", 1, "t", 0, None), ("b", 1, "t", 0, None)], schema)
