@@ -344,14 +344,20 @@ def _(spark, sf_dir):
 # --- streaming ------------------------------------------------------------
 
 
+TOPIC_TASK_BYTES = 64 << 20  # message text that one task writes, so what it sorts by topic stays bounded
+
+
 def _message_stream(spark, sf_dir):
     """The event messages as a file-backed topic, newest first, read as a stream of several batches."""
     path = scratch_path(spark, "topic")
     messages = b.envelopes(spark, sf_dir).select("topic", F.col("event_id").cast("string").alias("key"), "value")
+    # a file per topic, part and task; tasks follow the size, and batches hold as many times more files, so they stay a few
+    size = messages.agg(F.sum(F.octet_length("value"))).first()[0] or 0
+    tasks = 1 + size // (3 * TOPIC_TASK_BYTES)
     for part in (2, 1, 0):
-        # a file per topic and part, however the events are split, so that the stream has its few batches
-        kafka.file_topic_write(messages.where(F.pmod(F.col("key").cast("long"), F.lit(3)) == part).repartition(1), path)
-    stream = kafka.file_topic_stream(spark, path, 6)
+        some = messages.where(F.pmod(F.col("key").cast("long"), F.lit(3)) == part)
+        kafka.file_topic_write(some.repartition(tasks, "key", "value"), path)
+    stream = kafka.file_topic_stream(spark, path, 6 * tasks)
     return stream.select(F.col("key").cast("bigint").alias("sequence"), "topic", "value")
 
 

@@ -1,6 +1,7 @@
 """Sources, sinks, generators, comparisons and streaming twins."""
 
 import base64
+import glob
 import gzip
 import hashlib
 import json
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from tallystone.functions import dates, secrets, topics
 from tallystone.operators import compare, ranking, versions
 from tallystone.plans import bindings as b
+from tallystone.plans import io
 from tallystone.session import scratch_root
 from tallystone.sources import generate, kafka, readers, sinks, tables
 from tallystone.streaming import ingest
@@ -266,3 +268,21 @@ def test_bookmarks(spark):
 
 def test_scratch_follows_the_session(spark):
     assert scratch_root(spark) == scratch_root(spark)
+
+
+def test_the_tasks_that_write_the_topic_follow_its_size(spark, folder, monkeypatch):
+    monkeypatch.setattr(io, "TOPIC_TASK_BYTES", 20_000, raising=False)
+    monkeypatch.setattr(io, "scratch_path", lambda spark, name: f"{folder}/{name}")
+    e = spark.range(900).select(
+        F.col("id").alias("event_id"), F.lit("2024-01-01").cast("timestamp").alias("ts"), (F.col("id") % 7).alias("user_id"),
+        F.when(F.col("id") % 10 == 0, "b").otherwise("a").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    e.coalesce(1).write.parquet(folder + "/events.parquet")
+    stream = io._message_stream(spark, folder)
+    rows = spark.read.parquet(folder + "/topic").groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in rows) == 900 and max(r["count"] for r in rows) < 150  # 270 with one task a part
+    job = stream.writeStream.format("parquet").option("path", folder + "/out").option("checkpointLocation", folder + "/cp").trigger(availableNow=True).start()
+    job.awaitTermination()
+    assert len(glob.glob(folder + "/cp/commits/[0-9]*")) <= 3  # the batches stay a few
+    back = spark.read.schema("sequence bigint, topic string, value string").parquet(folder + "/out")
+    assert [tuple(r) for r in back.groupBy("topic").agg(F.count("*"), F.countDistinct("sequence")).orderBy("topic").collect()] == [("db.events.a", 810, 810), ("db.events.b", 90, 90)]
