@@ -48,14 +48,38 @@ STATEMENT_AMOUNTS = (
 )
 
 
+# Marks of a packed row: below all printable characters, so packed rows sort as their columns do.
+_NO_TEXT, _NEXT_TEXT = "\x00", "\x01"
+
+
+def _packed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Text columns as one text, a third as wide while rows are sorted and shuffled; see :func:`_unpacked`.
+
+    A row whose texts hold a mark of its own keeps them in an array.
+    """
+    everything = F.concat_ws("", *names)
+    marked = F.contains(everything, F.lit(_NO_TEXT)) | F.contains(everything, F.lit(_NEXT_TEXT))
+    one = F.concat_ws(_NEXT_TEXT, *[F.coalesce(F.col(n), F.lit(_NO_TEXT)) for n in names])
+    return df.withColumns({"_texts": F.when(~marked, one), "_marked": F.when(marked, F.array(*names))}).drop(*names)
+
+
+def _unpacked(df: DataFrame, names: list[str]) -> DataFrame:
+    """The text columns that :func:`_packed` was given."""
+    cut = computed_once(df, _cut=F.split("_texts", _NEXT_TEXT, -1))
+    text = lambda i: F.coalesce(F.get("_marked", F.lit(i)), F.nullif(F.get("_cut", F.lit(i)), F.lit(_NO_TEXT)))
+    return cut.withColumns({n: text(i) for i, n in enumerate(names)}).drop("_texts", "_marked", "_cut")
+
+
 def statement_fact(statements: DataFrame) -> DataFrame:
     """Newest version of each statement as a flat row, marked ``LATEST``.
 
     Amounts stay text; all are in the result, NULL where the input has no such
     column.  ``statements`` has ``id`` (statement id), ``version``,
-    ``sequence`` and the nested document columns.
+    ``sequence`` and the nested document columns.  Amounts travel as one text.
     """
-    newest = latest_version_per_id(statements, ["id"], ["version", "sequence"])
+    texts = [c for c in STATEMENT_AMOUNTS if dict(statements.dtypes).get(c) == "string"]
+    newest = latest_version_per_id(_packed(statements, texts) if texts else statements, ["id"], ["version", "sequence"])
+    newest = _unpacked(newest, texts) if texts else newest
     held = set(newest.columns)
     amounts = [(F.col(c) if c in held else F.lit(None).cast("string")).alias(c.lower()) for c in STATEMENT_AMOUNTS]
     period = F.col("assessmentPeriod")

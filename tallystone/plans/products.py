@@ -8,7 +8,7 @@ from tallystone.functions import dates
 from tallystone.operators import checks, claimants, products, versions
 from tallystone.plans import bindings as b
 from tallystone.plans.registry import query
-from tallystone.session import materialise, scratch_path
+from tallystone.session import materialise, scan_in_small_tasks, scratch_path
 from tallystone.sources import readers
 
 TODAY = 19990101
@@ -136,6 +136,7 @@ _AMOUNT_SQL = ", ".join(f"cast(cast(l_extendedprice + {i} as decimal(18,2)) as v
          from lineitem)) where rn = 1""",
 )
 def _(spark, sf_dir):
+    scan_in_small_tasks(spark)  # a line of some 20 bytes becomes a statement of some 400
     return products.statement_fact(_statement_versions(spark, sf_dir))
 
 

@@ -7,6 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallystone.operators import checks, claimants, products, routing
+from tallystone.plans import catalog
+from tallystone.session import scan_in_small_tasks
 from tallystone.sources import generate
 
 
@@ -231,3 +233,38 @@ def test_counts_and_status(spark):
     topics = spark.createDataFrame([("c", "a"), ("c", "b"), ("d", "a")], "correlation_id string, collection string")
     got = {r.correlation_id: r.all_matched for r in checks.status_all_in(statuses, topics, ["Sent"]).collect()}
     assert got == {"c": False, "d": False}
+
+
+def test_amounts_travel_as_one_text(spark):
+    """Nineteen texts a row are sorted and shuffled as one; nulls, empty texts and the marks themselves come back."""
+    period = "assessmentPeriod struct<assessmentPeriodId: string, contractId: string, startDate: int, endDate: int>"
+    schema = f"id string, version bigint, sequence bigint, {period}, takeHomePay string, advances string, deductions double, sanctions string"
+    p = ("ap", "k", 20240101, 20240131)
+    rows = [
+        ("a", 1, 9, p, "9.99", "9", 9.0, "9"), ("a", 2, 1, p, "1.50", None, 2.5, ""), ("b", 1, 1, p, None, None, None, None),
+        ("c", 1, 1, p, "x\x01y", "\x00", 1.0, None), ("d", 1, 1, p, "", "", None, "\x1f\n|"), (None, 1, 1, None, "7", "8", 1.0, "9"),
+    ]
+    fact = products.statement_fact(spark.createDataFrame(rows, schema))
+    got = {r.statement_id: (r.takehomepay, r.advances, r.deductions, r.sanctions, r.totalpayment) for r in fact.collect()}
+    assert got == {
+        "a": ("1.50", None, 2.5, "", None), "b": (None, None, None, None, None), "c": ("x\x01y", "\x00", 1.0, None, None),
+        "d": ("", "", None, "\x1f\n|", None), None: ("7", "8", 1.0, "9", None),
+    }
+    below = fact._jdf.queryExecution().optimizedPlan().toString().split("Aggregate [id", 1)[1]
+    assert "max(struct(" in below and "takeHomePay" not in below.split("max(struct(", 1)[1].split("\n", 1)[0]
+
+
+def test_statements_are_scanned_in_small_tasks(spark, folder):
+    name = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "128MB")
+        lines = "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_extendedprice double, l_shipdate timestamp"
+        spark.createDataFrame([], lines).write.parquet(folder + "/lineitem.parquet")
+        assert catalog.QUERIES["product_statement_fact"](spark, folder).count() == 0
+        assert int(spark.conf.get(name)) == 16 << 20
+        spark.conf.set(name, "1MB")
+        scan_in_small_tasks(spark)
+        assert int(spark.conf.get(name)) == 1 << 20  # never larger than it was
+    finally:
+        spark.conf.set(name, before)
