@@ -6,10 +6,10 @@
    256 subsets of an anchor's components. A row's byte is the index into it, so a plane's
    contribution is one lookup per group, and the planes are shifted and added from the top:
    the full exact inner product, without a multiplication.
-3. Every anchor block meets every block of rows, twice: rows of the anchor's own label give
-   its positives, and then rows of other labels whose score lies in a positive's window give
-   its negatives. A block answers with its own first few rows of each anchor, and a window
-   over the answers keeps the first of all.
+3. Anchors are packed into shards. A task has one shard and reads part of the blocks, each as
+   it comes, twice: rows of the anchor's own label give its positives, and then rows of other
+   labels whose score lies in a positive's window give its negatives. A task answers with its
+   own first few rows of each anchor, and a window over the answers keeps the first of all.
 """
 
 from __future__ import annotations
@@ -27,8 +27,11 @@ from tallystone.llm.common import finish_steps, give_back, named
 from tallystone.session import materialise
 
 ROWS = 4096  # rows of a block
-BLOCK = "block int, n long, ids binary, nulls binary, labels binary, planes binary, places binary, parts binary"
-FOUND = "anchor long, anchor_id long, partner_id long, score long"
+ANCHORS, COMPONENTS = 4096, 1 << 18  # anchors of a shard, and their components if vectors are long
+TOGETHER = 128  # anchors scored at once, so that their tables stay in a processor's cache
+BLOCK = "block int, n long, ids binary, nulls binary, labels binary, planes binary, anchors binary, anchor_ids binary, anchor_labels binary, parts binary"
+SHARD = "shard int, anchors binary, anchor_ids binary, anchor_labels binary, parts binary"
+FOUND = "shard int, anchor long, partner_id long, score long"
 MINED = "anchor long, anchor_id long, positive_id long, rank_of_positive int, positive_score long, partner_id long, score long"
 
 
@@ -81,8 +84,34 @@ def _firsts(anchor: np.ndarray, score: np.ndarray, null: np.ndarray, ids: np.nda
     return order[rank < k]
 
 
+class _First:
+    """The first k entries of every key, of all that were added; floor is the least score that can still be one."""
+
+    def __init__(self, keys: int, k: int):
+        self.k, self.floor = k, np.full(keys, np.iinfo(np.int64).min)
+        self.key, self.score, self.ids, self.null = *(np.zeros(0, np.int64) for _ in range(3)), np.zeros(0, bool)
+
+    def add(self, key: np.ndarray, score: np.ndarray, null: np.ndarray, ids: np.ndarray) -> None:
+        live = score >= self.floor[key]
+        if self.k < 1 or not live.any():
+            return
+        held = ((self.key, key), (self.score, score), (self.null, null), (self.ids, ids))
+        key, score, null, ids = (np.concatenate([old, new[live]]) for old, new in held)
+        some = _firsts(key, score, null, ids, self.k)
+        self.key, self.score, self.null, self.ids = key[some], score[some], null[some], ids[some]
+        edges = np.searchsorted(self.key, np.arange(len(self.floor) + 1))
+        full = np.flatnonzero(np.diff(edges) == self.k)
+        self.floor[full] = self.score[edges[full + 1] - 1]
+
+
+def _batch(values: tuple, schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    names, types = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, t in zip(values, types, strict=True)], names=list(names))
+
+
 def _packed(rows: DataFrame, planes: int, kind: type, blocks: int) -> DataFrame:
-    """One row per block; places and parts are its anchors' rows and their components."""
+    """One row per block; anchors are its anchors' numbers (block and row), parts their components."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]  # one block
@@ -96,52 +125,172 @@ def _packed(rows: DataFrame, planes: int, kind: type, blocks: int) -> DataFrame:
         values[np.arange(values.shape[1]) < sizes[:, None]] = flat
         ids, labels = table.column("id").combine_chunks(), table.column("label").to_numpy()
         order = np.argsort(labels, kind="stable")  # rows of a label follow each other
-        null, names = ids.is_null().to_numpy(zero_copy_only=False)[order], ids.fill_null(0).to_numpy()[order]
+        null, names, labels = ids.is_null().to_numpy(zero_copy_only=False)[order], ids.fill_null(0).to_numpy()[order], labels[order]
         places = np.flatnonzero(table.column("is_anchor").to_numpy()[order])
-        values = values[order]
-        out = (TaskContext.get().partitionId(), len(order), names.tobytes(), null.tobytes(), labels[order].tobytes(), bit_planes(values, planes).tobytes(), places.tobytes(), values[places].astype(kind).tobytes())
-        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 6]
-        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(out, kinds, strict=True)], names=[c.split()[0] for c in BLOCK.split(", ")])
+        values, block = values[order], TaskContext.get().partitionId()
+        of_anchors = ((np.int64(block) << 32) | places, names[places], labels[places], values[places].astype(kind))
+        out = (block, len(order), *(x.tobytes() for x in (names, null, labels, bit_planes(values, planes), *of_anchors)))
+        yield _batch(tuple([x] for x in out), BLOCK)
 
     return materialise(rows.repartition(blocks).mapInArrow(pack, BLOCK), "vector-blocks")
 
 
-def _meetings(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
-    """Every block of anchors (``own_`` columns) beside every block of rows, dealt by the latter."""
-    count = blocks.agg(F.max("block")).first()[0]
-    sides = anchors.select([F.col(c).alias(f"own_{c}") for c in anchors.columns])
-    sides = sides.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(count or 0))))
-    return blocks.select("block", "n", "ids", "nulls", "labels", "planes").join(sides, "block")
+def _shards(blocks: DataFrame, kind: type, count: int) -> DataFrame:
+    """The anchors of all blocks in about ``count`` rows; anchors of a label follow each other."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in b.to_pylist()]  # one shard
+        if not held:
+            return
+        anchors, ids, labels = (np.concatenate([np.frombuffer(r[c], np.int64) for r in held]) for c in ("anchors", "anchor_ids", "anchor_labels"))
+        parts = [np.frombuffer(r["parts"], kind).reshape(len(r["anchors"]) // 8, -1) for r in held]
+        wide = max(p.shape[1] for p in parts)
+        parts = np.concatenate([np.pad(p, ((0, 0), (0, wide - p.shape[1]))) for p in parts])
+        order = np.argsort(labels, kind="stable")
+        yield _batch(([TaskContext.get().partitionId()], *([x[order].tobytes()] for x in (anchors, ids, labels, parts))), SHARD)
+
+    some = blocks.filter(F.octet_length("anchors") > 0).select("anchors", "anchor_ids", "anchor_labels", "parts")
+    return materialise(some.repartition(count).mapInArrow(pack, SHARD), "anchor-shards")
+
+
+def _meetings(shards: DataFrame, blocks: DataFrame, count: int) -> DataFrame:
+    """Every block beside every shard, for as many tasks as a shuffle has: a task has one shard and reads its blocks from the table.
+
+    Nothing is sent to the driver and no block is shuffled. A shard is no larger for more
+    blocks, so the size of a table says nothing about a join of them: no side may be broadcast.
+    """
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = blocks.select("block", "n", "ids", "nulls", "labels", "planes").coalesce(-(-tasks // count))
+    return rows.crossJoin(shards.repartitionByRange(count, "shard").hint("shuffle_replicate_nl"))
 
 
 class _Block:
-    """A row of ``_meetings`` as arrays."""
+    """Rows of a block as arrays."""
 
-    def __init__(self, row: dict, planes: int, kind: type):
-        self.ids, self.null, self.labels = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool), np.frombuffer(row["labels"], np.int64)
+    def __init__(self, row: dict, planes: int):
+        self.block, self.labels = row["block"], np.frombuffer(row["labels"], np.int64)
+        self.ids, self.null = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["nulls"], bool)
         self.planes = np.frombuffer(row["planes"], np.uint8).reshape(planes, -1, row["n"])
-        self.places = np.frombuffer(row["own_places"], np.int64)
-        self.parts = np.frombuffer(row["own_parts"], kind).reshape(len(self.places), -1)
-        own = np.frombuffer(row["own_labels"], np.int64)
-        self.anchor_label, self.anchor_id = own[self.places], np.frombuffer(row["own_ids"], np.int64)[self.places]
-        self.anchor = (np.int64(row["own_block"]) << 32) | self.places
-        self.same = row["block"] == row["own_block"]
-        # blocks of shorter vectors: what is missing is zero
-        groups = max(self.planes.shape[1], -(-self.parts.shape[1] // 8))
-        self.planes = np.pad(self.planes, ((0, 0), (0, groups - self.planes.shape[1]), (0, 0)))
-        self.parts = np.pad(self.parts, ((0, 0), (0, 8 * groups - self.parts.shape[1])))
-
-
-def _by_row(frame: DataFrame, step, schema: str) -> DataFrame:
-    """Apply ``step`` (row -> columns) to one row at a time; a batch holds few rows, as each is a block."""
-    kinds = [pa.int32() if x.endswith(" int") else pa.int64() for x in schema.split(", ")]
-    names = [x.split()[0] for x in schema.split(", ")]
+
+
+class _Shard:
+    """Anchors of a shard as arrays, and what its task has found for them."""
+
+    def __init__(self, row: dict, kind: type):
+        self.shard = row["shard"]
+        self.anchor, self.ids, self.labels = (np.frombuffer(row[c], np.int64) for c in ("anchors", "anchor_ids", "anchor_labels"))
+        self.parts = np.frombuffer(row["parts"], kind).reshape(len(self.anchor), -1)
+
+    def scores(self, lo: int, hi: int, planes: np.ndarray) -> np.ndarray:
+        """[row][anchor] of the anchors from lo to hi; what shorter vectors miss is zero and adds nothing."""
+        groups = min(planes.shape[1], -(-self.parts.shape[1] // 8))
+        return scores(subset_sums(self.parts[lo:hi, : 8 * groups], self.parts.dtype.type), planes[:, :groups])
+
+
+class _Nearest(_Shard):
+    """Positives of a shard's anchors."""
+
+    def __init__(self, row: dict, kind: type, positives: int):
+        super().__init__(row, kind)
+        self.first = _First(len(self.anchor), positives)
+        edges = np.flatnonzero(np.concatenate([[True], self.labels[1:] != self.labels[:-1], [True]]))
+        self.chunks = [(at, min(hi, at + TOGETHER)) for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True) for at in range(lo, hi, TOGETHER)]
+
+    def meet(self, b: _Block) -> None:
+        out = []
+        for c, d in self.chunks:  # anchors of one label
+            lo, hi = np.searchsorted(b.labels, self.labels[c]), np.searchsorted(b.labels, self.labels[c], "right")
+            if hi == lo:
+                continue
+            s = self.scores(c, d, b.planes[:, :, lo:hi])
+            floor = self.first.floor[c:d]
+            if (floor == np.iinfo(np.int64).min).any():
+                at = max(0, len(s) - self.first.k - 1)
+                floor = np.maximum(floor, np.partition(s, at, axis=0)[at])
+            i, a = np.nonzero(s >= floor.astype(s.dtype))
+            other = ((np.int64(b.block) << 32) | (lo + i)) != self.anchor[c + a]  # an anchor is no partner of its own, whatever the score
+            i, a = i[other], a[other]
+            out.append((c + a, s[i, a].astype(np.int64), b.null[lo + i], b.ids[lo + i]))
+        if out:
+            self.first.add(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def answer(self) -> tuple:
+        f = self.first
+        return np.full(len(f.key), self.shard, np.int32), self.anchor[f.key], _nullable(f.ids, f.null), f.score
+
+
+class _Windowed(_Shard):
+    """Negatives of a shard's anchors in the windows of their positives."""
+
+    def __init__(self, row: dict, kind: type, negatives: int, low: int, high: int):
+        super().__init__(row, kind)
+        order = np.argsort(self.anchor)
+        owner = order[np.searchsorted(self.anchor, np.array([w["anchor"] for w in row["positives"]], np.int64), sorter=order)]
+        by_owner = np.argsort(owner, kind="stable")
+        self.owner, self.wanted = owner[by_owner], [row["positives"][i] for i in by_owner.tolist()]
+        target = [w["score"] for w in self.wanted]
+        self.least = np.array([-(-low * t // 100) for t in target], np.int64)
+        self.greatest = np.array([high * t // 100 for t in target], np.int64)
+        self.first = _First(len(target), negatives)
+
+    def meet(self, b: _Block) -> None:
+        out, least, k = [], np.maximum(self.least, self.first.floor), self.first.k
+        for c in range(0, len(self.anchor), TOGETHER):
+            d = min(len(self.anchor), c + TOGETHER)
+            lo, hi = np.searchsorted(self.owner, [c, d])
+            if hi == lo:
+                continue
+            owner, bottom, top = self.owner[lo:hi] - c, least[lo:hi], self.greatest[lo:hi]
+            lows, highs = np.full(d - c, np.iinfo(np.int64).max), np.full(d - c, np.iinfo(np.int64).min)
+            np.minimum.at(lows, owner, bottom)
+            np.maximum.at(highs, owner, top)
+            s = self.scores(c, d, b.planes)
+            edge = np.iinfo(s.dtype)  # no score is that low or high
+            i, a = np.nonzero((s >= lows.clip(edge.min, edge.max).astype(s.dtype)) & (s <= highs.clip(edge.min, edge.max).astype(s.dtype)) & (b.labels[:, None] != self.labels[c:d]))
+            if not len(i):
+                continue
+            s = s[i, a].astype(np.int64)
+            order = np.lexsort((b.ids[i], b.null[i], -s, a))
+            i, a, s = i[order], a[order], s[order]
+            edges = np.searchsorted(a, np.arange(d - c + 1))
+            at = _first_at_most(s, edges[owner], edges[owner + 1], top)[:, None] + np.arange(k)
+            inside = at < edges[owner + 1][:, None]
+            inside &= s[np.where(inside, at, 0)] >= bottom[:, None]
+            whose, at = lo + np.nonzero(inside)[0], at[inside]
+            out.append((whose, s[at], b.null[i[at]], b.ids[i[at]]))
+        if out:
+            self.first.add(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+    def answer(self) -> tuple:
+        f, own = self.first, self.owner[self.first.key]
+        positive = pa.array([w["partner_id"] for w in self.wanted], pa.int64()).take(pa.array(f.key))
+        rank, target = np.array([w["rank_of_positive"] for w in self.wanted], np.int32), np.array([w["score"] for w in self.wanted], np.int64)
+        return self.anchor[own], self.ids[own], positive, rank[f.key], target[f.key], _nullable(f.ids, f.null), f.score
+
+
+def _first_at_most(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """For every run [lo, hi) of s, which falls in it, the first place with at most ``most``, or hi."""
+    while (some := lo < hi).any():
+        middle = (lo + hi) // 2
+        over = some & (s[np.where(some, middle, 0)] > most)
+        lo, hi = np.where(over, middle + 1, lo), np.where(some & ~over, middle, hi)
+    return lo
+
+
+def _by_task(frame: DataFrame, start, planes: int, schema: str) -> DataFrame:
+    """Let ``start(row)`` of every shard meet the blocks one at a time; a batch holds few rows, as each is a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards = {}
         for batch in batches:
             for i in range(batch.num_rows):
-                out = step(batch.slice(i, 1).to_pylist()[0])
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], names=names)
+                row = batch.slice(i, 1)
+                shard = row.column("shard")[0].as_py()
+                if shard not in shards:
+                    shards[shard] = start(row.to_pylist()[0])
+                shards[shard].meet(_Block(row.select(["block", "n", "ids", "nulls", "labels", "planes"]).to_pylist()[0], planes))
+        for shard in shards.values():
+            yield _batch(shard.answer(), schema)
         give_back()
 
     return frame.mapInArrow(run, schema)
@@ -190,7 +339,7 @@ def mine(
     )
     rows = rows.filter("label is not null and vector is not null and finite").drop("finite")
     largest = F.max(F.abs(F.array_max(F.transform("vector", F.abs))))
-    n, most, d = rows.agg(F.count("*"), F.coalesce(largest, F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    n, owners, most, d = rows.agg(F.count("*"), F.count_if("is_anchor"), F.coalesce(largest, F.lit(0.0)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
     reach = int(256 * most) + 1
     if reach * reach * max(d, 1) >= 1 << 63:
         raise ValueError(f"scores of components up to {most} do not fit a long")
@@ -199,67 +348,18 @@ def mine(
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(block_rows))
     blocks = _packed(rows, planes, kind, max(1, -(-n // block_rows)))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    anchors = blocks.filter(F.octet_length("places") > 0).select("block", "ids", "labels", "places", "parts")
-
-    def nearest(row: dict):
-        b = _Block(row, planes, kind)
-        out = []
-        for label in np.unique(b.anchor_label):
-            mine = np.flatnonzero(b.anchor_label == label)
-            lo, hi = np.searchsorted(b.labels, label), np.searchsorted(b.labels, label, "right")
-            if hi == lo:
-                continue
-            s = scores(subset_sums(b.parts[mine], kind), b.planes[:, :, lo:hi])
-            if b.same:  # an anchor is no partner of its own, whatever the score
-                own = np.zeros(s.shape, bool)
-                own[b.places[mine] - lo, np.arange(len(mine))] = True
-            at = max(0, len(s) - positives - 1)
-            i, a = np.nonzero(s >= np.partition(s, at, axis=0)[at])
-            if b.same:
-                other = ~own[i, a]
-                i, a = i[other], a[other]
-            s = s[i, a].astype(np.int64)
-            some = _firsts(a, s, b.null[lo + i], b.ids[lo + i], positives)
-            out.append((mine[a[some]], lo + i[some], s[some]))
-        a, i, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else [np.zeros(0, np.int64)] * 3
-        return b.anchor[a], b.anchor_id[a], _nullable(b.ids[i], b.null[i]), s
+    count = max(1, -(-owners // max(1, min(ANCHORS, COMPONENTS // max(1, d)))))
+    shards = _shards(blocks, kind, count)
 
     order = (F.desc("score"), F.asc_nulls_last("partner_id"))
-    found = _by_row(_meetings(anchors, blocks), nearest, FOUND)
+    found = _by_task(_meetings(shards, blocks, count), lambda row: _Nearest(row, kind, positives), planes, FOUND)
     found = found.withColumn("rank_of_positive", F.row_number().over(W.partitionBy("anchor").orderBy(*order))).filter(F.col("rank_of_positive") <= positives)
-    kept = found.groupBy(F.shiftright("anchor", 32).cast("int").alias("block")).agg(F.sort_array(F.collect_list(F.struct("anchor", "rank_of_positive", "partner_id", "score"))).alias("positives"))
-    anchors = materialise(anchors.join(kept, "block"), "anchor-blocks")  # at most ``positives`` of each anchor of a block
-
-    def windowed(row: dict):
-        b = _Block(row, planes, kind)
-        wanted = row["own_positives"]
-        owner = np.searchsorted(b.anchor, np.array([w["anchor"] for w in wanted], np.int64))
-        target = [w["score"] for w in wanted]
-        least = np.array([-(-low * t // 100) for t in target], np.int64)
-        greatest = np.array([high * t // 100 for t in target], np.int64)
-        lows, highs = np.full(len(b.anchor), np.iinfo(np.int64).max), np.full(len(b.anchor), np.iinfo(np.int64).min)
-        np.minimum.at(lows, owner, least)
-        np.maximum.at(highs, owner, greatest)
-        s = scores(subset_sums(b.parts, kind), b.planes)
-        i, a = np.nonzero((s >= lows) & (s <= highs) & (b.labels[:, None] != b.anchor_label))
-        s = s[i, a].astype(np.int64)
-        order = np.lexsort((b.ids[i], b.null[i], -s, a))
-        i, a, s = i[order], a[order], s[order]
-        edges = np.searchsorted(a, np.arange(len(b.anchor) + 1))
-        picked, whose = [], []
-        for w, (o, lo, hi) in enumerate(zip(owner.tolist(), least.tolist(), greatest.tolist(), strict=True)):
-            part = -s[edges[o] : edges[o + 1]]
-            first, last = np.searchsorted(part, -hi, "left"), np.searchsorted(part, -lo, "right")
-            take = np.arange(first, max(first, min(last, first + negatives))) + edges[o]
-            picked.append(take)
-            whose += [w] * len(take)
-        at, whose = np.concatenate(picked) if picked else np.zeros(0, np.int64), np.array(whose, np.int64)
-        own = owner[whose]
-        positive = pa.array([w["partner_id"] for w in wanted], pa.int64()).take(pa.array(whose))
-        rank = np.array([w["rank_of_positive"] for w in wanted], np.int32)[whose]
-        return b.anchor[own], b.anchor_id[own], positive, rank, np.array(target, np.int64)[whose], _nullable(b.ids[i[at]], b.null[i[at]]), s[at]
-
-    out = materialise(_by_row(_meetings(anchors, blocks), windowed, MINED), "hard-negatives")
+    # at most ``positives`` of each anchor of a shard
+    kept = found.groupBy("shard").agg(F.collect_list(F.struct("anchor", "rank_of_positive", "partner_id", "score")).alias("positives"))
+    shards = materialise(shards.join(kept.hint("merge"), "shard"), "positives-of-shards")
+
+    out = _by_task(_meetings(shards, blocks, count), lambda row: _Windowed(row, kind, negatives, low, high), planes, MINED)
+    out = materialise(out, "hard-negatives")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rank = F.row_number().over(W.partitionBy("anchor", "rank_of_positive").orderBy(*order))
     out = out.withColumn("rank", rank).filter(F.col("rank") <= negatives)

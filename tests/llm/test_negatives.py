@@ -57,6 +57,31 @@ def test_odd_rows(table):
     assert got(ng.mine(table(data), anchor, 2, 7, 10, 100)) == brute(data, lambda i: i % 10 == 0, 2, 7, 10, 100)
 
 
+def test_many_anchors(table, monkeypatch):
+    rng = random.Random(8)
+    data = [(i // 2, [float(np.float32(rng.choice((0.1, 0.4, 1.0)) * rng.choice((-1, 1, 1)))) for _ in range(4)], int(i % 20 > 12)) for i in range(320)]
+    want = brute(data, lambda i: True)
+    assert len(want) > 1000
+    assert got(ng.mine(table(data), F.lit(True), block_rows=32)) == want  # one shard, scored in parts
+    monkeypatch.setattr(ng, "ANCHORS", 64)
+    assert got(ng.mine(table(data), F.lit(True), block_rows=32)) == want
+    assert ng.mine(table(data), F.lit(True), 0).count() == ng.mine(table(data), F.lit(True), 5, 0).count() == 0
+
+
+def test_no_table_goes_to_the_driver(table, monkeypatch):
+    """The size that Spark expects of a small table says nothing about pairs of its blocks: they must not be broadcast."""
+    plans, keep = [], ng.materialise
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ng, "materialise", lambda df, name: plans.append((name, plan(df))) or keep(df, name))
+    rng = random.Random(9)
+    data = [(i, [rng.gauss(0.3, 1) for _ in range(6)], i % 3) for i in range(200)]
+    out = ng.mine(table(data), F.col("vec_id") % 10 == 0, block_rows=32)
+    plans.append(("result", plan(out)))
+    assert out.count() > 0
+    assert [name for name, p in plans if "Broadcast" in p] == []
+    assert [name for name, p in plans if "Generate" in p] == []  # nor is a block written once for every other
+
+
 def test_large_components(table, spark):
     data = [(i, [float(1000 * i), float(-3 * i), 7.5], i % 2) for i in range(40)]
     assert got(ng.mine(table(data), F.col("vec_id") % 5 == 0)) == brute(data, lambda i: i % 5 == 0)
